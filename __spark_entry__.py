@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rolecall.functions.derive import at_midnight
 from rolecall.operators.filters import PostingFilter
+from rolecall.operators.ranking import axis_order
 from rolecall.plans import findings, industry, overview, salary, search, trends
 from rolecall.plans.adhoc import ask
 from rolecall.sources.shared import derived_once
@@ -78,6 +79,9 @@ _REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "kpi_overview": overview.market_kpis,
     "kpi_overview_filtered": lambda t: overview.market_kpis(t, _all_choices()),
     "top_industries": overview.top_industries,
+    "top_industries_axis": lambda t: axis_order(
+        overview.top_industries(t), "industry", "postings"
+    ),
     "salary_bands": overview.salary_bands,
     "salary_band_share": overview.salary_band_shares,
     "seniority_profile": overview.seniority_profile,
@@ -87,6 +91,9 @@ _REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     # industry
     "industry_kpi": lambda t: industry.industry_kpis(t, INDUSTRY),
     "industry_top_roles": lambda t: industry.top_roles(t, INDUSTRY),
+    "industry_top_roles_axis": lambda t: axis_order(
+        industry.top_roles(t, INDUSTRY), "title", "count"
+    ),
     "industry_salary_hist": lambda t: industry.salary_histogram(t, INDUSTRY),
     "industry_top_companies": lambda t: industry.top_companies(t, INDUSTRY),
     "industry_salary_sample": lambda t: industry.salary_sample(
@@ -100,7 +107,9 @@ _REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "large_industry_salaries": salary.large_industry_salaries,
     "salary_by_employment": salary.salary_by_employment,
     "top_paying_roles": salary.top_paying_roles,
-    "top_paying_roles_axis": lambda t: salary.role_axis(salary.top_paying_roles(t)),
+    "top_paying_roles_axis": lambda t: axis_order(
+        salary.top_paying_roles(t), "title", "avg_salary"
+    ),
     # trends
     "monthly_trend": lambda t: trends.monthly_trend(t, CUT),
     "quarterly_industry_trend": lambda t: trends.quarterly_trend(t, CUT),
@@ -309,6 +318,11 @@ _ORACLES: dict[str, str] = {
         SELECT industry, COUNT(*) AS postings, round(AVG(pay), 0) AS avg_salary
         FROM paid WHERE industry IS NOT NULL GROUP BY industry
         ORDER BY postings DESC, industry LIMIT 12""",
+    "top_industries_axis": """
+        SELECT industry, CAST(SUM(postings) AS BIGINT) AS total FROM (
+          SELECT industry, COUNT(*) AS postings FROM paid WHERE industry IS NOT NULL
+          GROUP BY industry ORDER BY postings DESC, industry LIMIT 12)
+        GROUP BY industry""",
     "salary_bands": _BANDS_SQL
     + 'SELECT band, COUNT(*) AS "count" FROM banded GROUP BY band',
     "salary_band_share": _BANDS_SQL
@@ -342,6 +356,11 @@ _ORACLES: dict[str, str] = {
         SELECT title, COUNT(*) AS "count", round(AVG(pay), 0) AS avg_sal
         FROM sector GROUP BY title
         ORDER BY "count" DESC, title NULLS LAST LIMIT 10""",
+    "industry_top_roles_axis": """
+        SELECT title, CAST(SUM(n) AS BIGINT) AS total FROM (
+          SELECT title, COUNT(*) AS n FROM sector GROUP BY title
+          ORDER BY n DESC, title NULLS LAST LIMIT 10)
+        GROUP BY title""",
     "industry_salary_hist": _hist_sql("named WHERE industry = 'Brand#4'", 500, 30000),
     "industry_top_companies": """
         SELECT company, COUNT(*) AS postings, round(AVG(pay), 0) AS avg_salary

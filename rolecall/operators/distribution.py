@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from rolecall.operators.percentiles import percentile_profile
+from rolecall.operators.ranking import few_in_order
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
@@ -19,16 +20,13 @@ def histogram(
     number = F.floor((F.col(value) - F.lit(low)) / F.lit(width)).cast("long")
     counted = rows.filter(F.col(value).between(low, high)).groupBy(number.alias("bin"))
     start = F.lit(float(low)) + F.col("bin") * F.lit(float(width))
-    return (
-        counted.agg(F.count(F.lit(1)).alias("count"))
-        .select(
-            "bin",
-            start.alias("bin_from"),
-            (start + F.lit(float(width))).alias("bin_to"),
-            "count",
-        )
-        .orderBy("bin")
+    bins = counted.agg(F.count(F.lit(1)).alias("count")).select(
+        "bin",
+        start.alias("bin_from"),
+        (start + F.lit(float(width))).alias("bin_to"),
+        "count",
     )
+    return few_in_order(bins, "bin")
 
 
 def quartiles(counts: DataFrame, key: str, value: str) -> DataFrame:

@@ -13,10 +13,10 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Buckets per doubling of the value: about 0.07 % wide each. All doubles together
-# span about 2,100 doublings of each sign, so a group has at most some 4.3 million
-# buckets; values from 500 to 30,000 have about 6,000.
-_PER_DOUBLING = 1024
+# Buckets per doubling of the value: each is about 0.5 % wide. All doubles together
+# span about 2,100 doublings of each sign, so a group has at most some 540,000
+# buckets; values from 500 to 30,000 have about 760.
+_PER_DOUBLING = 128
 _OFFSET = 1100 * _PER_DOUBLING
 
 
@@ -59,7 +59,7 @@ def percentile_profile(
     running = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     buckets = buckets.select(
         *[F.col(name).alias(f"_j{name}") for name in names],
-        F.col("_b").alias("_jb"),
+        F.col("_b").alias("_j_b"),
         "_bn",
         (F.sum("_bn").over(running) - F.col("_bn")).alias("_before"),
         F.sum("_bn").over(group).alias("_total"),
@@ -75,8 +75,13 @@ def percentile_profile(
 
     sides = [(p, side) for p in wanted.values() for side in (F.floor, F.ceil)]
     targets = buckets.filter(reduce(or_, [holds(rank(p, side)) for p, side in sides]))
-    same = [F.col(name).eqNullSafe(F.col(f"_j{name}")) for name in names]
-    near = placed.join(targets, [F.col("_b") == F.col("_jb"), *same])
+    # Null-safe throughout: plain equality would add a null test to one of the two
+    # readers of ``counts`` and so keep them from sharing one shuffle.
+    same = [F.col(name).eqNullSafe(F.col(f"_j{name}")) for name in [*names, "_b"]]
+    near = placed.join(targets, same)
+    # By group, so that the window and the last aggregation need no further shuffle;
+    # only values in the wanted buckets are left.
+    near = near.repartition(*names) if names else near.repartition(1)
     inside = Window.partitionBy(*names, "_b").orderBy("_v")
     inside = inside.rowsBetween(Window.unboundedPreceding, 0)
     near = near.withColumn("_upto", F.sum("n").over(inside) + F.col("_before"))

@@ -10,6 +10,15 @@ def ties(*keys: str) -> list[Column]:
     return [F.col(key).asc_nulls_last() for key in keys]
 
 
+def few_in_order(rows: DataFrame, *order: str | Column) -> DataFrame:
+    """Sorts rows of a fixed small number in one task.
+
+    Saves the sampling job and the range shuffle of a general sort. Only for results
+    whose size does not grow with the data, such as bands or a top-k list.
+    """
+    return rows.coalesce(1).orderBy(*order)
+
+
 def top_k(rows: DataFrame, measure: str, k: int, *keys: str) -> DataFrame:
     """The k rows with the largest measure; ties go to the smaller keys."""
     return rows.orderBy(F.col(measure).desc_nulls_last(), *ties(*keys)).limit(k)
@@ -29,6 +38,12 @@ def keep_groups(rows: DataFrame, top: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(top), key, "left_semi")
 
 
+def axis_order(rows: DataFrame, key: str, measure: str) -> DataFrame:
+    """The keys of a bounded report by rising total of a measure: (key, total)."""
+    totals = rows.groupBy(key).agg(F.sum(measure).alias("total"))
+    return few_in_order(totals, *ties("total", key))
+
+
 def in_large_groups(rows: DataFrame, key: str, more_than: int) -> DataFrame:
     """Rows of the groups that have more than ``more_than`` rows.
 

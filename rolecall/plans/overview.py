@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from rolecall.functions.derive import category_list, row_count, salary_band, whole_mean
 from rolecall.operators.comparison import share_of_total
 from rolecall.operators.filters import EVERYTHING, PostingFilter
-from rolecall.operators.ranking import ties, top_k
+from rolecall.operators.ranking import few_in_order, ties, top_k
 
 
 def industry_facets(postings: DataFrame, k: int = 20) -> DataFrame:
@@ -22,26 +22,15 @@ def market_kpis(
 ) -> DataFrame:
     """One row: postings, companies, mean salary and industries.
 
-    Rows are first aggregated by (company, industry). Two distinct counts over raw rows
-    would have Spark expand each row three times before aggregating; here
-    only the pairs are expanded. ``approximate`` uses sketches in a single pass.
+    The distinct counts shuffle distinct names only, whatever their share of the rows.
+    ``approximate`` uses sketches, which shuffle nothing but themselves.
     """
-    rows = chosen.apply(postings)
-    if approximate:
-        return rows.agg(
-            row_count().alias("total"),
-            F.approx_count_distinct("postedCompany_name").alias("companies"),
-            whole_mean(F.col("average_salary")).alias("avg_sal"),
-            F.approx_count_distinct("primary_category").alias("industries"),
-        )
-    pairs = rows.groupBy("postedCompany_name", "primary_category").agg(
-        row_count().alias("_n"), F.sum("average_salary").alias("_s")
-    )
-    return pairs.agg(
-        F.coalesce(F.sum("_n"), F.lit(0).cast("long")).alias("total"),
-        F.count_distinct("postedCompany_name").alias("companies"),
-        F.round(F.sum("_s") / F.sum("_n"), 0).alias("avg_sal"),
-        F.count_distinct("primary_category").alias("industries"),
+    distinct = F.approx_count_distinct if approximate else F.count_distinct
+    return chosen.apply(postings).agg(
+        row_count().alias("total"),
+        distinct("postedCompany_name").alias("companies"),
+        whole_mean(F.col("average_salary")).alias("avg_sal"),
+        distinct("primary_category").alias("industries"),
     )
 
 
@@ -60,7 +49,7 @@ def salary_bands(
     postings: DataFrame, chosen: PostingFilter = EVERYTHING
 ) -> DataFrame:
     """Postings per salary band, lowest band first: (band, count)."""
-    return _bands(postings, chosen).orderBy("_lowest").drop("_lowest")
+    return few_in_order(_bands(postings, chosen), "_lowest").drop("_lowest")
 
 
 def salary_band_shares(
@@ -68,7 +57,7 @@ def salary_band_shares(
 ) -> DataFrame:
     """As ``salary_bands``, with each band's percentage of all postings."""
     shares = share_of_total(_bands(postings, chosen), "count", "share_pct")
-    return shares.orderBy("_lowest").drop("_lowest")
+    return few_in_order(shares, "_lowest").drop("_lowest")
 
 
 def _bands(postings: DataFrame, chosen: PostingFilter) -> DataFrame:

@@ -10,6 +10,7 @@ from rolecall.operators.distribution import box_stats, quartiles
 from rolecall.operators.filters import EVERYTHING, PostingFilter
 from rolecall.operators.percentiles import percentile_profile, value_counts
 from rolecall.operators.ranking import (
+    few_in_order,
     in_large_groups,
     keep_groups,
     ties,
@@ -57,7 +58,8 @@ def salary_matrix(
     schema does not depend on the data; ``present_levels`` tells which hold a cell.
     """
     wide = salary_cells(postings, more_than, k).groupBy("industry")
-    return wide.pivot("seniority", levels).agg(F.first("avg_salary")).orderBy("industry")
+    matrix = wide.pivot("seniority", levels).agg(F.first("avg_salary"))
+    return few_in_order(matrix, "industry")
 
 
 def present_levels(
@@ -67,7 +69,7 @@ def present_levels(
     ordinal = F.array_position(F.lit(levels), F.col("seniority"))
     found = _cells(postings, more_than).select("seniority").distinct()
     listed = found.select(F.col("seniority").alias("level"), ordinal.alias("ordinal"))
-    return listed.filter(F.col("ordinal") > 0).orderBy("ordinal")
+    return few_in_order(listed.filter(F.col("ordinal") > 0), "ordinal")
 
 
 def large_industry_salaries(
@@ -106,7 +108,7 @@ def salary_box(
     boxes = boxes.filter(F.col("n") > more_than)
     top = top_k(boxes, "median", k, "industry").drop("mean")
     stats = box_stats(counts, top, "industry", "average_salary")
-    return stats.orderBy(F.desc("median"), *ties("industry"))
+    return few_in_order(stats, F.desc("median"), *ties("industry"))
 
 
 def salary_by_employment(postings: DataFrame) -> DataFrame:
@@ -143,9 +145,3 @@ def top_paying_roles(
     )
     frequent = grouped.filter(F.col("postings") >= at_least)
     return top_k(frequent, "avg_salary", k, "title", "industry")
-
-
-def role_axis(roles: DataFrame) -> DataFrame:
-    """Titles of a role report by rising total of its mean salaries."""
-    totals = roles.groupBy("title").agg(F.sum("avg_salary").alias("total"))
-    return totals.orderBy(*ties("total", "title"))

@@ -16,7 +16,7 @@ from rolecall.functions.derive import (
     whole_mean,
 )
 from rolecall.operators.comparison import period_growth
-from rolecall.operators.ranking import keep_groups, ties, top_groups
+from rolecall.operators.ranking import few_in_order, keep_groups, ties, top_groups
 
 _POSTED = "metadata_originalPostingDate"
 
@@ -45,7 +45,8 @@ def monthly_trend(postings: DataFrame, since: date = SERIES_START) -> DataFrame:
         whole_mean(F.col("average_salary")).alias("avg_salary"),
         F.count_distinct("postedCompany_name").alias("companies"),
     )
-    return grouped.withColumn("month", at_midnight(F.col("month"))).orderBy("month")
+    months = grouped.withColumn("month", at_midnight(F.col("month")))
+    return few_in_order(months, "month")
 
 
 def _quarterly(postings: DataFrame, since: date) -> DataFrame:
@@ -66,7 +67,7 @@ def quarterly_trend(
     top = top_groups(cells, "industry", "postings", k)
     kept = keep_groups(cells, top, "industry")
     kept = kept.withColumn("quarter", at_midnight(F.col("quarter")))
-    return kept.orderBy("industry", "quarter")
+    return few_in_order(kept, "industry", "quarter")
 
 
 def quarterly_growth(
@@ -107,7 +108,7 @@ def _tiers(rows: DataFrame, tier: Column, name: str, order: Column) -> DataFrame
         whole_mean(F.col("average_salary")).alias("avg_sal"),
         F.min(order).alias("_lowest"),
     )
-    return grouped.orderBy(*ties("_lowest", name)).drop("_lowest")
+    return few_in_order(grouped, *ties("_lowest", name)).drop("_lowest")
 
 
 def repost_tiers(postings: DataFrame) -> DataFrame:

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from rolecall.sources.ingest import write_postings
 
-_written: dict[tuple[str, str], str] = {}
+_written: dict[tuple[str, str], tuple[str, StructType]] = {}
 _lock = Lock()
 
 
@@ -28,11 +29,12 @@ def derived_once(
         return build()
     application = spark.conf.get("spark.app.id")
     with _lock:
-        path = _written.get((application, name))
-        if path is None:
+        if (application, name) not in _written:
             label = hashlib.sha1(name.encode()).hexdigest()[:16]
             path = f"{root.rstrip('/')}/rolecall/{application}/{label}"
             files = spark.conf.get("spark.rolecall.ingest.files", None)
-            write_postings(build(), path, files=int(files) if files else None)
-            _written[application, name] = path
-    return spark.read.parquet(path)
+            table = build()
+            write_postings(table, path, files=int(files) if files else None)
+            _written[application, name] = path, table.schema
+        path, schema = _written[application, name]
+    return spark.read.schema(schema).parquet(path)
