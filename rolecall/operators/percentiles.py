@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 # buckets; values from 500 to 30,000 have about 760.
 _PER_DOUBLING = 128
 _OFFSET = 1100 * _PER_DOUBLING
+# Infinity saturates to this bucket; NaN, which sorts above it, joins it.
+_LAST = 2**63 - 1
 
 
 def value_counts(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -28,9 +30,9 @@ def value_counts(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def _bucket(value: Column) -> Column:
     """A bucket number that never falls when the value rises."""
-    steps = F.floor(F.log2(F.abs(value)) * _PER_DOUBLING) + _OFFSET
+    steps = F.floor(F.log2(F.abs(value)) * _PER_DOUBLING + _OFFSET)
     return (
-        F.when(F.isnan(value), F.lit(2 * _OFFSET).cast("long"))
+        F.when(F.isnan(value), F.lit(_LAST))
         .when(value > 0, steps)
         .when(value < 0, -steps)
         .otherwise(F.lit(0).cast("long"))
