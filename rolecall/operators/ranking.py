@@ -31,11 +31,13 @@ def top_groups(cells: DataFrame, key: str, measure: str, n: int) -> DataFrame:
 
 
 def keep_groups(rows: DataFrame, top: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is in ``top``, a key list that was cut by a limit.
+    """Rows whose key is in ``top``, a list of distinct keys that was cut by a limit.
 
-    The limit is what bounds the broadcast.
+    The limit is what bounds the broadcast. The keys being distinct, an inner join
+    equals a semi-join; Spark would push the latter below the aggregation that made
+    ``rows`` and so scan the table a second time.
     """
-    return rows.join(F.broadcast(top), key, "left_semi")
+    return rows.join(F.broadcast(top), key)
 
 
 def axis_order(rows: DataFrame, key: str, measure: str) -> DataFrame:
@@ -44,17 +46,23 @@ def axis_order(rows: DataFrame, key: str, measure: str) -> DataFrame:
     return few_in_order(totals, *ties("total", key))
 
 
-def in_large_groups(rows: DataFrame, key: str, more_than: int) -> DataFrame:
+def in_large_groups(
+    rows: DataFrame, key: str, more_than: int, splits: int = 64
+) -> DataFrame:
     """Rows of the groups that have more than ``more_than`` rows.
 
     Counts first and joins the surviving keys back, so that no group is ever
     gathered in one task; a window over the raw rows would do that. The number of
-    surviving keys is not bounded, so how to join is left to the planner, which sees
-    the real size and splits a hot key at run time.
+    surviving keys is not bounded, so how to join is left to the planner. If it has to
+    shuffle the rows, a hot group is spread over ``splits`` parts by the task that read
+    each row: that, unlike a random number, is the same when a lost task runs again.
     """
     large = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_size"))
-    large = large.filter(F.col("_size") > more_than).select(key)
-    return rows.join(large, key, "left_semi")
+    large = large.filter(F.col("_size") > more_than).select(
+        key, F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("_split")
+    )
+    split = F.pmod(F.spark_partition_id(), F.lit(splits)).alias("_split")
+    return rows.select("*", split).join(large, [key, "_split"], "left_semi").drop("_split")
 
 
 def with_dense_rank(rows: DataFrame, measure: str, rank: str) -> DataFrame:

@@ -19,6 +19,7 @@ def spark():
         "tests",
         spark__checkpoint__dir=tempfile.mkdtemp(prefix="rolecall-tests-"),
         spark__ui__showConsoleProgress="false",
+        spark__sql__maxMetadataStringLength="2000",
     )
     session.sparkContext.setLogLevel("OFF")
     yield session

@@ -1,0 +1,116 @@
+"""From CSV or Parquet to the clean table, and the table derived once."""
+
+import os
+from datetime import date
+from types import SimpleNamespace
+
+import pytest
+from pyspark.sql import functions as F
+
+from frames import postings, rows
+from rolecall.model import CLEAN_SCHEMA, POSTING_SCHEMA
+from rolecall.plans import findings, overview
+from rolecall.sources import ingest, shared, star
+
+HEADER = ["extra", *POSTING_SCHEMA.names]
+LINES = [
+    # doubled quotes, a comma and a line break inside categories
+    '1,"Cook, ""Chef""","[{""id"":1,""category"":""Food""},\n{""id"":2,""category"":""B""}]",'
+    "Acme,Executive,Permanent,1000,3000,2000.5,2023-01-31,0,5",
+    # empty cells, quoted and not
+    '2,"",,,,,,,,,,',
+    # cells that do not fit their types
+    "3,Clerk,[],Acme,Manager,Contract,low,3000,2000,31/01/2023,2.7,3.0",
+]
+
+
+@pytest.fixture
+def csv_file(tmp_path):
+    path = tmp_path / "postings.csv"
+    path.write_text(",".join(HEADER) + "\n" + "\n".join(LINES) + "\n", encoding="utf-8")
+    return str(path)
+
+
+def test_csv(spark, csv_file):
+    table = ingest.clean(ingest.read_csv(spark, csv_file))
+    assert [(f.name, f.dataType) for f in table.schema] == [
+        (f.name, f.dataType) for f in CLEAN_SCHEMA
+    ]
+    first, empty, rejected = sorted(rows(table), key=lambda row: row[-1] + (row[0] is None) / 2)
+    assert first == (
+        'Cook, "Chef"',
+        '[{"id":1,"category":"Food"},\n{"id":2,"category":"B"}]',
+        "Acme", "Executive", "Permanent", 1000.0, 3000.0, 2000.5, date(2023, 1, 31), 0, 5,
+        "Food", 0,
+    )
+    assert empty == (None,) * 12 + (0,)
+    assert rejected[5:11] == (None, 3000.0, 2000.0, None, None, 3)
+    assert rejected[-2:] == ("", 3)
+
+
+def test_csv_date_format(spark, csv_file):
+    table = ingest.clean(ingest.read_csv(spark, csv_file), date_format="dd/MM/yyyy")
+    days = table.select("metadata_originalPostingDate").where("title = 'Clerk'")
+    assert rows(days) == [(date(2023, 1, 31),)]
+
+
+def test_profile_counts_rejects_and_null_salaries(spark, csv_file):
+    profile = findings.load_profile(ingest.clean(ingest.read_csv(spark, csv_file)))
+    assert rows(profile) == [(3, 1, 3, date(2023, 1, 31), date(2023, 1, 31))]
+
+
+def test_category_list_is_written_on_request(spark, csv_file):
+    table = ingest.clean(ingest.read_csv(spark, csv_file), with_category_list=True)
+    names = {row.industry for row in overview.category_counts(table).collect()}
+    assert names == {"Food", "B"}
+
+
+@pytest.mark.parametrize("by_month", [False, True])
+def test_write_and_open(spark, table, tmp_path, by_month):
+    path = str(tmp_path / "clean")
+    ingest.write_postings(table, path, by_month=by_month)
+    opened = ingest.open_postings(spark, path)
+    names = CLEAN_SCHEMA.names
+    assert opened.select(names).exceptAll(table.select(names)).isEmpty()
+    assert opened.count() == table.count()
+    folders = [name for name in os.listdir(path) if name.startswith("posting_month=")]
+    assert bool(folders) == by_month
+
+
+def test_files_are_sorted_by_industry(spark, table, tmp_path):
+    path = str(tmp_path / "clean")
+    ingest.write_postings(table, path, files=3)
+    stored = spark.read.parquet(path).withColumn("file", F.input_file_name())
+    assert stored.select("file").distinct().count() == 3
+    per_file = {}
+    for row in stored.select("file", "primary_category").collect():
+        per_file.setdefault(row.file, []).append(row.primary_category or "")
+    assert all(held == sorted(held) for held in per_file.values())
+
+
+def test_typed_parquet_is_taken_as_it_is(spark, tmp_path):
+    raw = postings(spark, {}, {"average_salary": None}).select(POSTING_SCHEMA.names)
+    raw.write.parquet(str(tmp_path / "raw"))
+    table = ingest.clean(spark.read.parquet(str(tmp_path / "raw")))
+    assert table.agg(F.sum("rejected_cells")).first()[0] == 0
+    assert table.select(POSTING_SCHEMA.names).exceptAll(raw).isEmpty()
+
+
+# -- derived once
+
+
+def test_table_is_written_once_to_the_shared_folder(spark, table, small):
+    def fail():
+        raise AssertionError("built again")
+
+    again = shared.derived_once(spark, small, fail)
+    root = spark.conf.get("spark.checkpoint.dir")
+    assert again.inputFiles() == table.inputFiles()
+    assert all(root in name for name in again.inputFiles())
+    assert again.exceptAll(star.star_postings(spark, small)).isEmpty()
+
+
+def test_nothing_is_written_without_the_setting(spark, small):
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default))
+    frame = shared.derived_once(unset, "unused", lambda: star.star_postings(spark, small))
+    assert any(name.endswith("lineitem.parquet") for name in frame.inputFiles())
