@@ -8,10 +8,7 @@ bucket, and only the buckets that hold a wanted rank are put in order.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 # Buckets per doubling of the value: each is about 0.5 % wide. All doubles together
 # span about 2,100 doublings of each sign, so a group has at most some 540,000
@@ -28,14 +25,12 @@ def value_counts(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return counted.agg(F.count(F.lit(1)).alias("n"))
 
 
-def _bucket(value: Column) -> Column:
-    """A bucket number that never falls when the value rises."""
-    steps = F.floor(F.log2(F.abs(value)) * _PER_DOUBLING + _OFFSET)
+def _bucket(value: str) -> str:
+    """SQL for a bucket number that never falls when the value rises."""
+    steps = f"floor(log2(abs({value})) * {_PER_DOUBLING} + {_OFFSET})"
     return (
-        F.when(F.isnan(value), F.lit(_LAST))
-        .when(value > 0, steps)
-        .when(value < 0, -steps)
-        .otherwise(F.lit(0).cast("long"))
+        f"CASE WHEN isnan({value}) THEN {_LAST}L WHEN {value} > 0 THEN {steps} "
+        f"WHEN {value} < 0 THEN -{steps} ELSE 0L END"
     )
 
 
@@ -48,68 +43,65 @@ def percentile_profile(
     no keys the result is one row, all null but ``n`` over no input.
     """
     names = [f"_k{i}" for i in range(len(keys))]
-    placed = counts.select(
-        *[F.col(key).alias(name) for key, name in zip(keys, names)],
-        F.col(value).alias("_v"),
+    group = f"PARTITION BY {', '.join(names)}" if names else ""
+    bucket = ", ".join([*names, "_b"])
+    shares = [f"{float(share)!r}D" for share in wanted.values()]
+    # Each percentile lies between the values at two ranks, counted from 0.
+    ranks = [
+        f"{side}((_total - 1) * {share})" for share in shares for side in ("floor", "ceil")
+    ]
+
+    placed = counts.selectExpr(
+        *[f"`{key}` AS {name}" for key, name in zip(keys, names)],
+        f"`{value}` AS _v",
         "n",
-        _bucket(F.col(value)).alias("_b"),
+        f"{_bucket(f'`{value}`')} AS _b",
     )
-    buckets = placed.groupBy(*names, "_b").agg(
-        F.sum("n").alias("_bn"), F.sum(F.col("_v") * F.col("n")).alias("_bs")
+    sums = placed.groupBy(*names, "_b").agg(
+        F.expr("sum(n) AS _bn"), F.expr("sum(_v * n) AS _bs")
     )
-    group = Window.partitionBy(*(names or [F.lit(0)]))
-    running = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    buckets = buckets.select(
-        *[F.col(name).alias(f"_j{name}") for name in names],
-        F.col("_b").alias("_j_b"),
+    buckets = sums.selectExpr(
+        *[f"{name} AS _j{name}" for name in [*names, "_b"]],
         "_bn",
-        (F.sum("_bn").over(running) - F.col("_bn")).alias("_before"),
-        F.sum("_bn").over(group).alias("_total"),
-        (F.sum("_bs").over(group) / F.sum("_bn").over(group)).alias("_mean"),
+        f"sum(_bn) OVER ({group} ORDER BY _b ROWS UNBOUNDED PRECEDING) - _bn AS _before",
+        f"sum(_bn) OVER ({group}) AS _total",
+        f"sum(_bs) OVER ({group}) / sum(_bn) OVER ({group}) AS _mean",
     )
-
-    def rank(share: float, side) -> Column:
-        return side((F.col("_total") - 1) * F.lit(float(share)))
-
-    def holds(position: Column) -> Column:
-        after = F.col("_before") + F.col("_bn")
-        return (position >= F.col("_before")) & (position < after)
-
-    sides = [(p, side) for p in wanted.values() for side in (F.floor, F.ceil)]
-    targets = buckets.filter(reduce(or_, [holds(rank(p, side)) for p, side in sides]))
+    held = [f"({rank} >= _before AND {rank} < _before + _bn)" for rank in ranks]
+    targets = buckets.filter(" OR ".join(held))
     # Null-safe throughout: plain equality would add a null test to one of the two
     # readers of ``counts`` and so keep them from sharing one shuffle.
-    same = [F.col(name).eqNullSafe(F.col(f"_j{name}")) for name in [*names, "_b"]]
-    near = placed.join(targets, same)
+    same = " AND ".join(f"{name} <=> _j{name}" for name in [*names, "_b"])
+    near = placed.join(targets, F.expr(same))
     # By group, so that the window and the last aggregation need no further shuffle;
     # only values in the wanted buckets are left.
     near = near.repartition(*names) if names else near.repartition(1)
-    inside = Window.partitionBy(*names, "_b").orderBy("_v")
-    inside = inside.rowsBetween(Window.unboundedPreceding, 0)
-    near = near.withColumn("_upto", F.sum("n").over(inside) + F.col("_before"))
-
-    def at(position: Column) -> Column:
-        return F.min(F.when(F.col("_upto") > position, F.col("_v")))
-
-    ranked = near.groupBy(*names).agg(
-        F.max("_total").alias("n"),
-        F.max("_mean").alias("mean"),
-        *[at(rank(p, F.floor)).alias(f"_lo{i}") for i, p in enumerate(wanted.values())],
-        *[at(rank(p, F.ceil)).alias(f"_hi{i}") for i, p in enumerate(wanted.values())],
+    upto = (
+        f"_before + sum(n) OVER (PARTITION BY {bucket} ORDER BY _v "
+        "ROWS UNBOUNDED PRECEDING) AS _upto"
+    )
+    ranked = near.selectExpr("*", upto).groupBy(*names).agg(
+        F.expr("max(_total) AS _n"),
+        F.expr("max(_mean) AS mean"),
+        *[
+            F.expr(f"min(CASE WHEN _upto > {rank} THEN _v END) AS _at{i}")
+            for i, rank in enumerate(ranks)
+        ],
     )
 
-    def interpolate(i: int, share: float) -> Column:
-        position = (F.col("n") - 1) * F.lit(float(share))
-        low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        weighed = (F.ceil(position) - position) * low + (position - F.floor(position)) * high
-        return F.when(low == high, low).otherwise(weighed)
+    def interpolated(i: int, share: str, label: str) -> str:
+        low, high, rank = f"_at{2 * i}", f"_at{2 * i + 1}", f"((_n - 1) * {share})"
+        return (
+            f"CASE WHEN {low} = {high} THEN {low} ELSE (ceil({rank}) - {rank}) * {low} "
+            f"+ ({rank} - floor({rank})) * {high} END AS `{label}`"
+        )
 
-    return ranked.select(
-        *[F.col(name).alias(key) for key, name in zip(keys, names)],
-        F.coalesce("n", F.lit(0).cast("long")).alias("n"),
+    return ranked.selectExpr(
+        *[f"{name} AS `{key}`" for key, name in zip(keys, names)],
+        "coalesce(_n, 0L) AS n",
         "mean",
         *[
-            interpolate(i, share).alias(label)
-            for i, (label, share) in enumerate(wanted.items())
+            interpolated(i, share, label)
+            for i, (share, label) in enumerate(zip(shares, wanted))
         ],
     )
