@@ -130,7 +130,7 @@ def category_counts(postings: DataFrame) -> DataFrame:
         lists = F.col("category_list")
     else:
         lists = category_list(F.col("categories"))
-    names = F.array_distinct(F.transform(lists, lambda item: item["category"]))
+    names = F.array_distinct(lists["category"])
     each = postings.select("average_salary", F.explode(names).alias("industry"))
     return each.groupBy("industry").agg(
         row_count().alias("postings"), whole_mean(F.col("average_salary")).alias("avg_salary")

@@ -31,14 +31,29 @@ def _month_start_from(day: date) -> date:
     return date(day.year + day.month // 12, day.month % 12 + 1, 1)
 
 
+def _posted(postings: DataFrame, start: date, end: date | None = None) -> Column:
+    """Posted from ``start`` to before ``end``.
+
+    If the table is split into folders by month, the folder is tested too, so that
+    others are not read.
+    """
+    posted = F.col(_POSTED) >= F.lit(start)
+    if end is not None:
+        posted &= F.col(_POSTED) < F.lit(end)
+    if "posting_month" in postings.columns:
+        posted &= F.col("posting_month") >= F.lit(start.replace(day=1))
+        if end is not None:
+            posted &= F.col("posting_month") <= F.lit(end)
+    return posted
+
+
 def monthly_trend(postings: DataFrame, since: date = SERIES_START) -> DataFrame:
     """Postings, mean salary and companies per month, from the first month >= since.
 
     The cut is made on the rows, where the scan can use it, and equals a cut on months.
     """
     rows = postings.filter(
-        (F.col(_POSTED) >= F.lit(_month_start_from(since)))
-        & (F.col("average_salary") > 0)
+        _posted(postings, _month_start_from(since)) & (F.col("average_salary") > 0)
     )
     grouped = rows.groupBy(month_of(F.col(_POSTED)).alias("month")).agg(
         row_count().alias("postings"),
@@ -51,7 +66,7 @@ def monthly_trend(postings: DataFrame, since: date = SERIES_START) -> DataFrame:
 
 def _quarterly(postings: DataFrame, since: date) -> DataFrame:
     rows = postings.filter(
-        (F.col(_POSTED) >= F.lit(since)) & F.col("primary_category").isNotNull()
+        _posted(postings, since) & F.col("primary_category").isNotNull()
     )
     return rows.groupBy(
         F.col("primary_category").alias("industry"),
@@ -92,7 +107,7 @@ def market_multiple(postings: DataFrame, earlier: date, later: date) -> DataFram
         month = (day.month - 1) // 3 * 3 + 1
         start = date(day.year, month, 1)
         end = date(day.year + (month + 3) // 13, (month + 2) % 12 + 1, 1)
-        return (F.col(_POSTED) >= F.lit(start)) & (F.col(_POSTED) < F.lit(end))
+        return _posted(postings, start, end)
 
     counted = postings.filter(within(earlier) | within(later)).agg(
         F.count_if(quarter == quarter_of(F.lit(earlier))).alias("earlier_postings"),

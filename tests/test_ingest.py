@@ -1,6 +1,7 @@
 """From CSV or Parquet to the clean table, and the table derived once."""
 
 import os
+import re
 from datetime import date
 from types import SimpleNamespace
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from frames import postings, rows
 from rolecall.model import CLEAN_SCHEMA, POSTING_SCHEMA
-from rolecall.plans import findings, overview
+from rolecall.plans import findings, overview, trends
 from rolecall.sources import ingest, shared, star
 
 HEADER = ["extra", *POSTING_SCHEMA.names]
@@ -77,6 +78,34 @@ def test_write_and_open(spark, table, tmp_path, by_month):
     assert bool(folders) == by_month
 
 
+def test_months_are_pruned_by_folder(spark, table, tmp_path):
+    path = str(tmp_path / "clean")
+    ingest.write_postings(table, path, by_month=True)
+    opened = ingest.open_postings(spark, path)
+    cut = date(1997, 2, 15)
+    for report in (
+        lambda t: trends.monthly_trend(t, cut),
+        lambda t: trends.quarterly_trend(t, cut),
+        lambda t: trends.market_multiple(t, cut, date(1998, 12, 31)),
+    ):
+        pruned = report(opened)
+        assert rows(pruned) == rows(report(table))
+        text = pruned._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"PartitionFilters: \[[^\]]*posting_month", text)
+
+
+def test_large_month_is_split_over_files(spark, table, tmp_path):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16KB")
+    try:
+        path = str(tmp_path / "clean")
+        day = F.lit(date(2023, 1, 1))
+        one = table.repartition(8).withColumn("metadata_originalPostingDate", day)
+        ingest.write_postings(one, path, by_month=True)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(ingest.open_postings(spark, path).inputFiles()) > 4
+
+
 def test_files_are_sorted_by_industry(spark, table, tmp_path):
     path = str(tmp_path / "clean")
     ingest.write_postings(table, path, files=3)

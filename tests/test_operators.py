@@ -129,6 +129,14 @@ def test_sample_does_not_depend_on_layout(spark, table):
     assert longer[:50] == once
 
 
+def test_sample_with_many_copies(spark):
+    items = [(0, "copy")] * 400 + [(i, "x") for i in range(300)]
+    table = spark.createDataFrame(items, "k int, v string").repartition(5)
+    every = rows(table.orderBy(sampling.hash_order("k", "v"), "k", "v"))
+    for n in (1, 150, 450, 700, 900):
+        assert rows(sampling.repeatable_sample(table, ["k", "v"], n)) == every[:n]
+
+
 def test_sample_takes_all_when_short(spark):
     table = frame(spark, "k int, v string", (1, "a"), (2, None))
     assert sorted(rows(sampling.repeatable_sample(table, ["k", "v"], 10))) == [
