@@ -6,6 +6,13 @@ import math
 
 import duckdb
 
+TYPES = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "timestamp_ntz": "TIMESTAMP",
+}
 TABLES = ["lineitem", "orders", "part", "supplier", "customer"]
 
 
@@ -30,11 +37,13 @@ def normalised(columns: list[str], rows) -> list[tuple]:
 
 
 def differences(frame, connection, text: str) -> str | None:
-    result = connection.execute(text)
-    expected_columns = [item[0] for item in result.description]
+    result = connection.sql(text)
+    expected_columns = result.columns
+    expected_types = dict(zip(expected_columns, map(str, result.types)))
+    types = {name: TYPES.get(kind, kind) for name, kind in frame.dtypes}
+    if types != expected_types:
+        return f"columns {types} != {expected_types}"
     expected = result.fetchall()
-    if sorted(frame.columns) != sorted(expected_columns):
-        return f"columns {sorted(frame.columns)} != {sorted(expected_columns)}"
     got = normalised(frame.columns, [tuple(row) for row in frame.collect()])
     wanted = normalised(expected_columns, expected)
     if got == wanted:
