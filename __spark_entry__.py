@@ -158,7 +158,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: over(report) for name, report in _REPORTS.items()}
 
 
-# The table as DuckDB sees it. It stands before every oracle text.
+# The table as DuckDB sees it, written apart from the library on purpose. It stands before every oracle text.
 _POSTINGS_SQL = """
 WITH postings AS (
   SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey,
@@ -226,6 +226,7 @@ _CELLS_SQL = """
 )
 """
 
+# The labels and bounds of the bands here and of the tiers below.
 _BANDS_SQL = """
 , banded AS (
   SELECT CASE WHEN pay < 3000 THEN 'Low (<S$3K)'

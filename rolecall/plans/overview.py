@@ -123,15 +123,21 @@ def overview_tiles(
 def category_counts(postings: DataFrame) -> DataFrame:
     """Postings and mean salary per category, a posting counting in each of its own.
 
-    The other reports count a posting under its first category only.
+    The other reports count a posting under its first category only. Postings with the
+    same text are counted together first, so that each text is parsed once.
     """
 
-    if "category_list" in postings.columns:
-        lists = F.col("category_list")
-    else:
-        lists = category_list(F.col("categories"))
+    stored = "category_list" in postings.columns
+    key = "category_list" if stored else "categories"
+    alike = postings.groupBy(key).agg(
+        row_count().alias("_n"),
+        F.sum("average_salary").alias("_s"),
+        F.count("average_salary").alias("_paid"),
+    )
+    lists = F.col(key) if stored else category_list(F.col(key))
     names = F.array_distinct(lists["category"])
-    each = postings.select("average_salary", F.explode(names).alias("industry"))
+    each = alike.select("_n", "_s", "_paid", F.explode(names).alias("industry"))
     return each.groupBy("industry").agg(
-        row_count().alias("postings"), whole_mean(F.col("average_salary")).alias("avg_salary")
+        F.sum("_n").alias("postings"),
+        F.round(F.sum("_s") / F.sum("_paid"), 0).alias("avg_salary"),
     )

@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -13,11 +12,11 @@ TESTDATA = os.environ.get("TESTDATA_DIR", "/root/testdata")
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = local_session(
         4,
         "tests",
-        spark__checkpoint__dir=tempfile.mkdtemp(prefix="rolecall-tests-"),
+        spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
         spark__ui__showConsoleProgress="false",
         spark__sql__maxMetadataStringLength="2000",
     )

@@ -38,6 +38,13 @@ def test_first_category_counts(spark):
     ]
 
 
+def test_category_without_salaries(spark):
+    table = postings(spark, {"average_salary": None}, {"categories": named("B")})
+    assert sorted(rows(overview.category_counts(table)), key=str) == [
+        ("Admin", 1, None), ("B", 1, 4000.0),
+    ]
+
+
 def test_approximate_kpis(spark, table):
     exact, near = rows(overview.market_kpis(table))[0], rows(
         overview.market_kpis(table, approximate=True)
