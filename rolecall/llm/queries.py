@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from rolecall.llm.decontamination import decontaminate
 from rolecall.llm.line_dedup import dedup_lines
 from rolecall.llm.sharding import stratified_shards
 
@@ -40,9 +41,24 @@ def _sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bench = _table(spark, sf_dir, "benchmark")
+    found = decontaminate(_documents(spark, sf_dir), bench)
+    items = F.array_join("contamination.items", ",").cast("binary")
+    return found.select(
+        "doc_id",
+        "contamination.n_words",
+        "contamination.n_hit",
+        F.size("contamination.items").cast("long").alias("n_items"),
+        F.sha2(items, 256).alias("items_sha256"),
+        (F.col("contamination.n_hit") > 0).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": _line_dedup,
     "op5_stratified_sharding": _sharding,
+    "op7_decontamination": _decontamination,
 }
 
 ORACLES: dict[str, str] = {
@@ -104,4 +120,42 @@ ORACLES: dict[str, str] = {
                idx - (idx * 8 // total * total + 7) // 8 AS slot,
                CAST(NULL AS INT) AS grown_shard, source
         FROM placed""",
+    "op7_decontamination": r"""
+        WITH doc_words AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+        ), item_words AS (
+          SELECT CAST(item_id AS VARCHAR) AS item,
+                 regexp_extract_all(translate(coalesce(text, ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
+        ), windows AS (
+          SELECT DISTINCT item, size,
+                 array_to_string(words[pos : pos + size - 1], ' ') AS run
+          FROM (SELECT item, words, least(len(words), 10) AS size,
+                       unnest(range(1, len(words) - least(len(words), 10) + 2)) AS pos
+                FROM item_words WHERE len(words) > 0)
+        ), places AS (
+          SELECT doc_id, size, pos,
+                 array_to_string(words[pos : pos + size - 1], ' ') AS run
+          FROM (SELECT doc_id, words, size,
+                       unnest(range(1, len(words) - size + 2)) AS pos
+                FROM doc_words, (SELECT DISTINCT size FROM windows)
+                WHERE len(words) >= size)
+        ), hits AS (
+          SELECT doc_id, pos, size, item FROM places JOIN windows USING (size, run)
+        ), words_hit AS (
+          SELECT doc_id, COUNT(DISTINCT word) AS n_hit FROM (
+            SELECT doc_id, unnest(range(pos, pos + size)) AS word FROM hits)
+          GROUP BY doc_id
+        ), items_hit AS (
+          SELECT doc_id, COUNT(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+          FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
+               coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AS contaminated
+        FROM doc_words LEFT JOIN words_hit USING (doc_id) LEFT JOIN items_hit USING (doc_id)""",
 }
