@@ -11,6 +11,7 @@ TYPES = {
     "int": "INTEGER",
     "double": "DOUBLE",
     "string": "VARCHAR",
+    "boolean": "BOOLEAN",
     "timestamp_ntz": "TIMESTAMP",
 }
 TABLES = ["lineitem", "orders", "part", "supplier", "customer"]
