@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rolecall.llm.decontamination import decontaminate
 from rolecall.llm.line_dedup import dedup_lines
+from rolecall.llm.packing import pack_documents
+from rolecall.llm.scratch import written
 from rolecall.llm.sharding import stratified_shards
+from rolecall.llm.token_output import packed_matrices
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,10 +59,39 @@ def _decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return pack_documents(_documents(spark, sf_dir), path, keep_ids=False)
+
+
+def _token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    matrices = written(packed_matrices(_documents(spark, sf_dir), path), "matrices")
+    segments = matrices.select(
+        "sequence_id",
+        "ids",
+        F.posexplode(F.arrays_zip("doc_ids", "starts", "doc_tokens")).alias("i", "piece"),
+        F.expr("cu_seqlens[i]").alias("offset"),
+        F.expr("cu_seqlens[i + 1] - cu_seqlens[i]").alias("length"),
+    )
+    ids = F.expr("substring(ids, cast(4 * offset + 1 as int), cast(4 * length as int))")
+    return segments.select(
+        F.col("piece.doc_ids").alias("doc_id"),
+        F.col("piece.starts").alias("start"),
+        "length",
+        F.crc32(ids).alias("ids_crc32"),
+        F.col("piece.doc_tokens").alias("doc_tokens"),
+        "sequence_id",
+        "offset",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": _line_dedup,
     "op5_stratified_sharding": _sharding,
+    "op6_hilbert_packing": _packing,
     "op7_decontamination": _decontamination,
+    "op10_token_matrices": _token_output,
 }
 
 ORACLES: dict[str, str] = {

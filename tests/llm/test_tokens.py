@@ -1,0 +1,145 @@
+"""Ids and packings against the tokenizer itself and exact round trips."""
+
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings, strategies as st
+from tokenizers import Tokenizer
+
+from rolecall.llm import queries
+from rolecall.llm.packing import hilbert_keys, pack_documents
+from rolecall.llm.token_output import best_fit_decreasing, packed_matrices
+from rolecall.llm.tokens import WordTokenizer, read_vocabulary
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+ODD = ["", " ", "it's I'LL don't 'S ''s", "½²³ 12.5% µ ªº ß ŸÿĮį", "é İ Σς ΑΣ 中文 😀",
+       "a\x85b\xa0c\x1cd\x00e", "<|endoftext|> <|startoftext|>", "x" * 5000, "﻿A​B"]
+
+
+@pytest.fixture(scope="module")
+def plain():
+    tokenizer = Tokenizer.from_file(PATH)
+    tokenizer.encode_special_tokens = True
+    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@pytest.fixture(scope="module")
+def quick():
+    return WordTokenizer(read_vocabulary(PATH))
+
+
+@pytest.mark.parametrize("text", ODD)
+def test_quick_ids_equal_the_tokenizer(plain, quick, text):
+    assert np.frombuffer(quick.ids(text), quick.dtype).tolist() == plain(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.characters(max_codepoint=0x17F, exclude_categories=("Cs",)), max_size=40))
+def test_quick_ids_equal_the_tokenizer_on_latin_texts(plain, quick, text):
+    assert np.frombuffer(quick.ids(text), quick.dtype).tolist() == plain(text)
+
+
+def test_hilbert_curve_visits_every_cell_by_single_steps():
+    for dimensions, bits in ((2, 4), (3, 3)):
+        cells = np.indices([1 << bits] * dimensions).reshape(dimensions, -1).T
+        order = np.argsort(hilbert_keys(cells, bits))
+        assert sorted(hilbert_keys(cells, bits)) == list(range(len(cells)))
+        steps = np.abs(np.diff(cells[order], axis=0)).sum(axis=1)
+        assert (steps == 1).all()
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=40))
+def test_best_fit_equals_a_plain_search(sizes):
+    bins = []
+    for size in sorted(sizes, reverse=True):
+        fitting = [b for b in bins if sum(b) + size <= 20]
+        if fitting:
+            max(fitting, key=sum).append(size)
+        else:
+            bins.append([size])
+    got = best_fit_decreasing(sizes, 20)
+    assert sorted(i for members in got for i in members) == list(range(len(sizes)))
+    assert sorted(sum(sizes[i] for i in m) for m in got) == sorted(map(sum, bins))
+
+
+def _frame(spark, texts, extra="1 AS n"):
+    rows = [(i, t) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", extra)
+
+
+def _whole(plain, text):
+    return np.array(plain(text or "") + [2], "<u4")
+
+
+TEXTS = [None, "", "one two three", "one two three", *ODD, "word " * 9000]
+
+
+def test_packing_loses_nothing(spark, plain):
+    docs = _frame(spark, TEXTS, "'x' AS row")
+    pieces = pack_documents(docs, PATH, length=64).collect()
+    by_doc, by_sequence = {}, {}
+    for p in sorted(pieces, key=lambda p: (p.doc_id, p.start)):
+        ids = np.frombuffer(p.ids, "<u4")
+        assert p.length == len(ids) and p.ids_crc32 == zlib.crc32(p.ids)
+        assert p.start == len(by_doc.setdefault(p.doc_id, []))
+        by_doc[p.doc_id].extend(ids.tolist())
+        by_sequence.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    for i, text in enumerate(TEXTS):
+        assert by_doc[i] == _whole(plain, text).tolist()
+    _gapless(by_sequence, 64)
+    assert sorted(by_sequence) == list(range(len(by_sequence)))
+    assert sum(sum(n for _, n in s) < 64 for s in by_sequence.values()) <= 1
+
+
+def _gapless(by_sequence, length):
+    for spans in by_sequence.values():
+        at = 0
+        for offset, n in sorted(spans):
+            assert offset == at and n > 0
+            at += n
+        assert at <= length
+
+
+def test_matrices_round_trip(spark, plain):
+    docs = _frame(spark, TEXTS, "'x' AS ids")
+    by_doc = {}
+    for row in packed_matrices(docs, PATH, length=128, pool_ids=1000).collect():
+        ids, places = np.frombuffer(row.ids, "<u4"), np.frombuffer(row.positions, "<u2")
+        assert len(ids) == len(places) == 128 and row.cu_seqlens[0] == 0
+        assert row.cu_seqlens[-1] == row.n_tokens and not ids[row.n_tokens :].any()
+        for i, (doc, start) in enumerate(zip(row.doc_ids, row.starts)):
+            a, b = row.cu_seqlens[i : i + 2]
+            assert places[a:b].tolist() == list(range(b - a))
+            by_doc.setdefault(doc, []).append((start, ids[a:b].tolist()))
+    for i, text in enumerate(TEXTS):
+        whole = [x for _, piece in sorted(by_doc[i]) for x in piece]
+        assert whole == _whole(plain, text).tolist()
+
+
+def test_empty_table_gives_nothing(spark):
+    docs = _frame(spark, ["a"]).where("doc_id > 5")
+    assert pack_documents(docs, PATH).count() == 0
+    assert packed_matrices(docs, PATH).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op6_hilbert_packing", "op10_token_matrices"])
+def test_query_holds_every_id_of_whole_documents(spark, small, plain, name):
+    texts = {r.doc_id: r.text for r in queries._documents(spark, small).collect()}
+    by_doc, by_sequence, total = {}, {}, 0
+    for p in queries.QUERIES[name](spark, small).collect():
+        by_doc.setdefault(p.doc_id, []).append(p)
+        by_sequence.setdefault(p.sequence_id, []).append((p.offset, p.length))
+        total += p.length
+    assert by_doc.keys() == texts.keys()
+    for doc, pieces in by_doc.items():
+        whole, at = _whole(plain, texts[doc]), 0
+        for p in sorted(pieces, key=lambda p: p.start):
+            assert p.start == at and p.doc_tokens == len(whole)
+            at += p.length
+            assert zlib.crc32(whole[p.start : at].tobytes()) == p.ids_crc32
+        assert at == len(whole)
+    _gapless(by_sequence, 4096)
+    assert len(by_sequence) <= -(-total // 4096) + 8
