@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from rolecall.llm.scratch import written
-from rolecall.llm.tokens import WordTokenizer, read_vocabulary
+from rolecall.llm.tokens import WordTokenizer, read_vocabulary, word_tokenizer
 
 DIMENSIONS, BITS, BUCKETS = 3, 16, 256
 
@@ -83,7 +83,7 @@ def _tokenized(docs, id_col, text_col, vocabulary, end_id, seed, by_words) -> Da
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(shared.value, by_words)
+        tokenizer = word_tokenizer(shared.value, by_words)
         projection = Projection(seed)
         end = np.array([end_id], tokenizer.dtype).tobytes()
         for batch in batches:

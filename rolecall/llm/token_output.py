@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rolecall.llm.tokens import WordTokenizer, read_vocabulary
+from rolecall.llm.tokens import read_vocabulary, word_tokenizer
 
 SEQUENCES = (
     "n_tokens long, ids binary, cu_seqlens array<long>, positions binary, "
@@ -122,7 +122,7 @@ def packed_matrices(
         )
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(shared.value, by_words)
+        tokenizer = word_tokenizer(shared.value, by_words)
         end = np.array([end_id], tokenizer.dtype).tobytes()
         pool, size = [], 0
         for batch in batches:

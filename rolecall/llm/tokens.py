@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -17,6 +18,7 @@ _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _WORD_PIECES = re.compile(
     f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\\s{_LETTER}{_NUMBER}]+"
 )
+WORD_END = "</w>"
 _CACHED_CHARS = 1 << 24
 
 
@@ -25,6 +27,12 @@ def read_vocabulary(path: str) -> str:
     return Path(path).read_text(encoding="utf-8")
 
 
+@lru_cache(maxsize=2)
+def word_tokenizer(vocabulary: str, by_words: bool = True) -> WordTokenizer:
+    """One tokenizer for all tasks of a Python worker, with what it has learnt."""
+    return WordTokenizer(vocabulary, by_words)
+
+
 class WordTokenizer:
     """Ids as little-endian unsigned integers: 16 bits, or 32 if the vocabulary is larger.
 
@@ -39,6 +47,9 @@ class WordTokenizer:
         wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.dtype = np.dtype("<u4" if wide else "<u2")
         self.by_words = by_words
+        vocab = self.tokenizer.get_vocab().items()
+        self.ends_word = np.zeros(1 + max(i for _, i in vocab), bool)
+        self.ends_word[[i for token, i in vocab if token.endswith(WORD_END)]] = True
         self.known: dict[str, bytes] = {}
         self.chars = 0
 
@@ -46,6 +57,14 @@ class WordTokenizer:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, self.dtype).tobytes() for x in found]
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """As ``_encode``, but in one call: each word's last token has the word-end mark."""
+        ids = np.frombuffer(self._encode([" ".join(words)])[0], self.dtype)
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(words):
+            return self._encode(words)
+        return [part.tobytes() for part in np.split(ids, ends[:-1])]
+
     def ids(self, text: str) -> bytes:
         if not self.by_words or _UNUSUAL.search(text):
             return self._encode([text])[0]
@@ -58,6 +77,6 @@ class WordTokenizer:
             self.known.clear()
             self.chars = 0
         unknown = [piece for piece in set(pieces) if piece not in self.known]
-        self.known.update(zip(unknown, self._encode(unknown), strict=True))
+        self.known.update(zip(unknown, self._encode_words(unknown), strict=True))
         self.chars += sum(map(len, unknown)) + 32 * len(unknown)
         return b"".join(map(self.known.__getitem__, pieces))
