@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rolecall.llm.decontamination import decontaminate
+from rolecall.llm.language_id import held_out, learn, with_language
 from rolecall.llm.line_dedup import dedup_lines
 from rolecall.llm.packing import pack_documents
 from rolecall.llm.scratch import written
@@ -86,11 +87,22 @@ def _token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return with_language(docs, learn(docs)).select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "language.lang_pred",
+        "language.score",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": _line_dedup,
     "op5_stratified_sharding": _sharding,
     "op6_hilbert_packing": _packing,
     "op7_decontamination": _decontamination,
+    "op8_language_id": _language,
     "op10_token_matrices": _token_output,
 }
 
