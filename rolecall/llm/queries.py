@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rolecall.llm.decontamination import decontaminate
 from rolecall.llm.language_id import held_out, learn, with_language
 from rolecall.llm.line_dedup import dedup_lines
+from rolecall.llm.ngram_join import ngram_components
 from rolecall.llm.packing import pack_documents
 from rolecall.llm.scratch import written
 from rolecall.llm.sharding import stratified_shards
@@ -97,12 +98,17 @@ def _language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": _line_dedup,
     "op5_stratified_sharding": _sharding,
     "op6_hilbert_packing": _packing,
     "op7_decontamination": _decontamination,
     "op8_language_id": _language,
+    "op9_ngram_join": _ngram_join,
     "op10_token_matrices": _token_output,
 }
 
@@ -203,4 +209,35 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(items, '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AS contaminated
         FROM doc_words LEFT JOIN words_hit USING (doc_id) LEFT JOIN items_hit USING (doc_id)""",
+    "op9_ngram_join": r"""
+        WITH RECURSIVE worded AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x20\x09-\x0D]+') AS words FROM documents
+        ), shingled AS (
+          SELECT DISTINCT doc_id, array_to_string(words[pos : pos + 3], ' ') AS shingle
+          FROM (SELECT doc_id, words,
+                       unnest(range(1, greatest(len(words) - 3, 1) + 1)) AS pos
+                FROM worded WHERE len(words) > 0)
+        ), sized AS (
+          SELECT doc_id, COUNT(*) AS n FROM shingled GROUP BY doc_id
+        ), meetings AS (
+          SELECT x.doc_id AS a, y.doc_id AS b, COUNT(*) AS shared
+          FROM shingled x JOIN shingled y ON x.shingle = y.shingle AND x.doc_id < y.doc_id
+          GROUP BY 1, 2
+        ), links AS (
+          SELECT a, b FROM meetings
+          JOIN sized s ON s.doc_id = a JOIN sized t ON t.doc_id = b
+          WHERE 100 * shared >= 85 * (s.n + t.n - shared)
+        ), both_ways AS (
+          SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+        ), reached AS (
+          SELECT doc_id AS a, doc_id AS b FROM sized
+          UNION SELECT r.a, w.b FROM reached r JOIN both_ways w ON r.b = w.a
+        )
+        SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles,
+               coalesce(MIN(r.b), d.doc_id) AS component_id
+        FROM documents d LEFT JOIN sized s USING (doc_id)
+        LEFT JOIN reached r ON r.a = d.doc_id
+        GROUP BY d.doc_id, s.n""",
 }
