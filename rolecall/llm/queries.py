@@ -14,6 +14,7 @@ from rolecall.llm.ngram_join import ngram_components
 from rolecall.llm.packing import pack_documents
 from rolecall.llm.scratch import written
 from rolecall.llm.sharding import stratified_shards
+from rolecall.llm.substring_dedup import dedup_passages
 from rolecall.llm.token_output import packed_matrices
 
 
@@ -102,8 +103,18 @@ def _ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_documents(spark, sf_dir))
 
 
+def _substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_passages(_documents(spark, sf_dir)).select(
+        "doc_id",
+        "passages.n_words",
+        "passages.n_removed",
+        F.sha2(F.col("passages.kept").cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": _line_dedup,
+    "op3_substring_dedup": _substring_dedup,
     "op5_stratified_sharding": _sharding,
     "op6_hilbert_packing": _packing,
     "op7_decontamination": _decontamination,
@@ -240,4 +251,28 @@ ORACLES: dict[str, str] = {
         FROM documents d LEFT JOIN sized s USING (doc_id)
         LEFT JOIN reached r ON r.a = d.doc_id
         GROUP BY d.doc_id, s.n""",
+    "op3_substring_dedup": r"""
+        WITH worded AS (
+          SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+          FROM documents
+        ), places AS (
+          SELECT doc_id, pos, array_to_string(words[pos : pos + 19], ' ') AS run
+          FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS pos
+                FROM worded WHERE len(words) >= 20)
+        ), later AS (
+          SELECT doc_id, pos FROM places
+          QUALIFY ROW_NUMBER() OVER (PARTITION BY run ORDER BY doc_id, pos) > 1
+        ), removed AS (
+          SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS pos FROM later
+        ), single AS (
+          SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos
+          FROM worded
+        ), kept AS (
+          SELECT doc_id, COUNT(*) AS n, string_agg(word, ' ' ORDER BY pos) AS body
+          FROM single ANTI JOIN removed USING (doc_id, pos) GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
+               len(words) - coalesce(n, 0) AS n_removed,
+               sha256(coalesce(body, '')) AS kept_sha256
+        FROM worded LEFT JOIN kept USING (doc_id)""",
 }

@@ -5,6 +5,7 @@ A written table cuts the lineage: later steps read files that outlive any execut
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,6 +32,9 @@ def written(table: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     path = f"{_root(spark)}/rolecall-llm/{name}-{uuid.uuid4().hex}"
     table.write.option("compression", codec).parquet(path)
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    # Shuffle files of what led here go once the driver has collected its garbage.
+    gc.collect()
+    spark._jvm.System.gc()
     return spark.read.schema(table.schema).parquet(path)
 
 
