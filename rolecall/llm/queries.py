@@ -12,10 +12,12 @@ from rolecall.llm.language_id import held_out, learn, with_language
 from rolecall.llm.line_dedup import dedup_lines
 from rolecall.llm.ngram_join import ngram_components
 from rolecall.llm.packing import pack_documents
+from rolecall.llm.pii import KINDS, with_personal_data
 from rolecall.llm.scratch import written
 from rolecall.llm.sharding import stratified_shards
 from rolecall.llm.substring_dedup import dedup_passages
 from rolecall.llm.token_output import packed_matrices
+from rolecall.llm.topk_search import exact_top_k
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,9 +114,36 @@ def _substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def _personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = with_personal_data(_documents(spark, sf_dir))
+    base = F.filter("personal", lambda s: s["base"])
+
+    def listed(spans):
+        texts = F.transform(
+            spans, lambda s: F.concat_ws(":", s["kind"], s["begin"], s["end"])
+        )
+        return F.array_join(texts, ",")
+
+    def count(kind):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in KINDS],
+        F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"),
+        listed(F.col("personal")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": _line_dedup,
+    "op2_exact_top_k": _top_k,
     "op3_substring_dedup": _substring_dedup,
+    "op4_personal_data": _personal_data,
     "op5_stratified_sharding": _sharding,
     "op6_hilbert_packing": _packing,
     "op7_decontamination": _decontamination,
@@ -275,4 +304,21 @@ ORACLES: dict[str, str] = {
                len(words) - coalesce(n, 0) AS n_removed,
                sha256(coalesce(body, '')) AS kept_sha256
         FROM worded LEFT JOIN kept USING (doc_id)""",
+    "op2_exact_top_k": r"""
+        WITH scaled AS (
+          SELECT vec_id, list_transform(embedding,
+                   lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+          FROM embeddings
+          WHERE embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+          SELECT q.vec_id AS query_id, c.vec_id,
+                 CAST(list_sum(list_transform(list_zip(q.v, c.v),
+                   lambda z: z[1] * z[2])) AS BIGINT) AS score
+          FROM scaled q JOIN scaled c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+        )
+        SELECT query_id, CAST(ROW_NUMBER() OVER best AS INT) AS rank, vec_id, score
+        FROM scored
+        WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+        QUALIFY ROW_NUMBER() OVER best <= 5""",
 }

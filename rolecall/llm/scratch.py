@@ -26,12 +26,16 @@ def _root(spark: SparkSession) -> str:
     return root
 
 
-def written(table: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """``table``, written as Parquet to the shared folder and read again."""
+def written(table: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+    """``table``, written as Parquet to the shared folder and read again.
+
+    ``forget`` removes it, unless it is ``lasting``.
+    """
     spark = table.sparkSession
     path = f"{_root(spark)}/rolecall-llm/{name}-{uuid.uuid4().hex}"
-    table.write.option("compression", codec).parquet(path)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    table.write.option("compression", "zstd").parquet(path)
+    if not lasting:
+        _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     # Shuffle files of what led here go once the driver has collected its garbage.
     gc.collect()
     spark._jvm.System.gc()

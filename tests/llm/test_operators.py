@@ -1,0 +1,386 @@
+"""Edge cases of every operator, and results against brute force."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import compare
+from rolecall.llm import language_id, pii, queries
+from rolecall.llm.components import components
+from rolecall.llm.decontamination import decontaminate
+from rolecall.llm.line_dedup import dedup_lines
+from rolecall.llm.ngram_join import linked, ngram_components
+from rolecall.llm.sharding import stratified_shards
+from rolecall.llm.substring_dedup import dedup_passages
+from rolecall.llm.topk_search import exact_top_k
+
+WORDS = [f"w{i}" for i in range(400)]
+
+
+@pytest.fixture(scope="module")
+def connection(medium):
+    with duckdb.connect() as open_connection:
+        for name in ("documents", "embeddings", "benchmark"):
+            open_connection.execute(
+                f"CREATE VIEW {name} AS SELECT * FROM '{medium}/{name}.parquet'"
+            )
+        yield open_connection
+
+
+@pytest.mark.parametrize("name", queries.ORACLES)
+def test_query_equals_oracle(spark, medium, connection, name):
+    frame = queries.QUERIES[name](spark, medium)
+    assert compare.differences(frame, connection, queries.ORACLES[name]) is None
+
+
+def _docs(spark, texts, ids=None, **more):
+    """Documents with columns whose names could clash with an operator's own."""
+    rows = list(zip(ids or range(len(texts)), texts))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    clash = {"id": 7, "hash": "x", "pos": 1, "doc": 2, "row": 3, "key": 4, "n": 5}
+    clash |= {"words": 1, "source": None, "lang": None, "body": "b", "t": 1} | more
+    return frame.withColumns({k: F.lit(v) for k, v in clash.items()})
+
+
+def _sentence(rng, n, words=WORDS):
+    return " ".join(rng.choices(words, k=n))
+
+
+EDGES = [None, "", "\n", " \n\t\n", "A" * 40, "a" * 40 + "  ", "x\n" * 3000, "é" * 12]
+
+
+def _brute_lines(rows, least=10):
+    def key(line):
+        bare = line.strip(" \t\n\x0b\x0c\r")
+        return "".join(c.lower() if "A" <= c <= "Z" else c for c in bare)
+
+    firsts = {}
+    for doc, text in rows:
+        for line in (text or "").split("\n"):
+            if doc is not None and len(key(line)) >= least:
+                firsts[key(line)] = min(doc, firsts.get(key(line), doc))
+    out = []
+    for doc, text in rows:
+        lines = (text or "").split("\n")
+        kept = [x for x in lines if doc is None or firsts.get(key(x), doc) == doc]
+        out.append((doc, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return sorted(out, key=str)
+
+
+def test_line_dedup_against_brute_force(spark):
+    rng = random.Random(1)
+    pool = [_sentence(rng, 4) for _ in range(40)] + ["short", "ÉTÉ long enough", "été long enough"]
+    texts = EDGES + ["\n".join(rng.choices(pool, k=rng.randint(1, 200))) for _ in range(60)]
+    ids = [*range(len(texts) - 1), None]
+    rows = list(zip(ids, texts)) + [(3, texts[3]), (20, texts[20])]
+    frame = _docs(spark, [t for _, t in rows], [i for i, _ in rows])
+    got = dedup_lines(frame).selectExpr(
+        "doc_id", "lines.n_lines", "lines.n_dropped", "lines.kept"
+    )
+    assert sorted(map(tuple, got.collect()), key=str) == _brute_lines(rows)
+    assert set(frame.columns) <= set(dedup_lines(frame).columns)
+
+
+def test_shards_are_even_and_mixed(spark):
+    texts = [None, "", *(f"text {i % 7}" for i in range(998))]
+    docs = _docs(spark, texts).withColumn(
+        "source", F.when(F.col("doc_id") % 3 == 0, "hot").otherwise(F.expr("if(doc_id % 5 = 0, null, 'b')"))
+    )
+    docs = docs.unionByName(docs.where("doc_id < 4"))
+    rows = stratified_shards(docs, carry=["text", "hash"]).collect()
+    assert len(rows) == 1004 and rows[0].hash == "x"
+    counts = Counter(r.shard for r in rows)
+    assert max(counts.values()) - min(counts.values()) <= 1
+    by = defaultdict(list)
+    for r in rows:
+        by[r.shard].append(r.slot)
+        assert r.size == len((r.text or "").encode()) + 1
+    assert all(sorted(slots) == list(range(len(slots))) for slots in by.values())
+    mixed = Counter((r.shard, r.source) for r in rows)
+    for source in ("hot", "b", None):
+        each = [mixed[shard, source] for shard in range(8)]
+        assert max(each) - min(each) <= 2
+    assert stratified_shards(docs.where("false")).count() == 0
+
+
+def _brute_passages(rows, window):
+    seen, out = set(), []
+    cover = defaultdict(set)
+    for doc, text in sorted(r for r in rows if r[0] is not None):
+        words = (text or "").split()
+        for i in range(len(words) - window + 1):
+            run = tuple(words[i : i + window])
+            if run in seen:
+                cover[doc].update(range(i, i + window))
+            seen.add(run)
+    for doc, text in rows:
+        words = (text or "").split()
+        kept = [w for i, w in enumerate(words) if doc is None or i not in cover[doc]]
+        out.append((doc, len(words), len(words) - len(kept), " ".join(kept)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("window, base", [(8, 4), (8, 2), (20, 10)])
+def test_passages_against_brute_force(spark, window, base):
+    rng = random.Random(window + base)
+    passages = [_sentence(rng, rng.randint(5, 60)) for _ in range(12)]
+    texts = [None, "", "a " * 300, "a " * 300, _sentence(rng, 7), passages[0], passages[0]]
+    for _ in range(60):
+        parts = [rng.choice(passages) if rng.random() < 0.5 else _sentence(rng, 30) for _ in range(4)]
+        texts.append(" \n".join(parts))
+    texts += texts[10:14]
+    rows = list(zip([*range(len(texts) - 1), None], texts))
+    frame = _docs(spark, texts, [i for i, _ in rows])
+    got = dedup_passages(frame, window=window, base=base).selectExpr(
+        "doc_id", "passages.n_words", "passages.n_removed", "passages.kept"
+    )
+    assert sorted(map(tuple, got.collect()), key=str) == _brute_passages(rows, window)
+
+
+def _brute_components(rows, percent=85):
+    sets = {}
+    for doc, text in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({i: i + 32 for i in range(65, 91)}))
+        size = min(4, len(words))
+        sets[doc] = {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if words else set()
+    group = {doc: doc for doc in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= percent * len(sets[a] | sets[b]):
+                low, high = sorted((group[a], group[b]))
+                group = {d: low if g == high else g for d, g in group.items()}
+    return sorted((doc, len(sets[doc]), group[doc]) for doc in sets)
+
+
+def test_ngram_components_against_brute_force(spark, monkeypatch):
+    from rolecall.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)  # so that clusters are cut
+    rng = random.Random(5)
+    common = _sentence(rng, 30)
+    texts = [None, "", " ", "one", "ONE", "one two", "a b c d", "A B C D e"]
+    for _ in range(12):
+        base = (common + " " + _sentence(rng, rng.randint(5, 150))).split()
+        for _ in range(rng.randint(1, 20)):
+            copy = list(base)
+            for _ in range(rng.randint(0, 4)):
+                copy[rng.randrange(len(copy))] = rng.choice(WORDS)
+            texts.append(" ".join(copy))
+    texts += texts[3:12]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    frame = _docs(spark, [t for _, t in rows], [i for i, _ in rows])
+    got = sorted(map(tuple, ngram_components(frame).collect()))
+    assert got == _brute_components(rows)
+    empty = ngram_components(frame.where("false"))
+    assert empty.columns == ["doc_id", "n_shingles", "component_id"] and empty.count() == 0
+
+
+def test_block_search_finds_what_links_join():
+    rng = np.random.default_rng(3)
+
+    def joined(n, links):
+        group = list(range(n))
+        for a, b in links:
+            low, high = sorted((group[a], group[b]))
+            group = [low if g == high else g for g in group]
+        return group
+
+    for _ in range(30):
+        bases = [rng.integers(0, 400, rng.integers(1, 60)) for _ in range(6)]
+        sets = []
+        for _ in range(50):
+            base = bases[rng.integers(6)].copy()
+            base[rng.integers(0, len(base), rng.integers(0, 4))] = rng.integers(0, 400)
+            sets.append(np.unique(base.astype(np.uint64)))
+        blocks = rng.integers(0, 2, len(sets))
+        true = [
+            (i, j)
+            for i in range(len(sets))
+            for j in range(i)
+            if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))
+        ]
+        across = [(i, j) for i, j in true if blocks[i] != blocks[j]]
+        assert joined(50, true) == joined(50, linked(sets, 85))
+        assert joined(50, across) == joined(50, linked(sets, 85, blocks))
+
+
+def test_components_of_paths_stars_and_nothing(spark):
+    path = [(i, i + 1) for i in range(100, 140)]
+    star = [(7, i) for i in range(200, 400)]
+    links = spark.createDataFrame([*path, *star, (5, 5), (140, 7)], "a long, b long")
+    found = {r.node: r.component for r in components(links).collect()}
+    assert set(found) == {7, *range(100, 141), *range(200, 400)}
+    assert set(found.values()) == {7}
+    assert components(links.where("false")).count() == 0
+
+
+def _brute_hits(text, items, window):
+    def words(x):
+        lowered = (x or "").translate({i: i + 32 for i in range(65, 91)})
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
+
+    mine, hit, names = words(text), set(), set()
+    for item, body in items:
+        theirs = words(body)
+        size = min(window, len(theirs))
+        for i in range(len(theirs) - size + 1) if size and item is not None else ():
+            for j in range(len(mine) - size + 1):
+                if mine[j : j + size] == theirs[i : i + size]:
+                    hit.update(range(j, j + size))
+                    names.add(str(item))
+    return len(mine), len(hit), sorted(names)
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 24, 200])
+def test_decontamination_against_brute_force(spark, block_bytes):
+    rng = random.Random(9)
+    few = WORDS[:6]
+    items = [(i, _sentence(rng, rng.randint(1, 25), few if i % 3 else WORDS)) for i in range(20)]
+    items += [(3, items[5][1]), (None, items[1][1]), (77, None), (78, "?!"), (79, "é X-ray 9")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [None, "", "É é X, ray 9 x RAY", items[0][1].upper()]
+    for _ in range(60):
+        item = rng.choice(items[:20])[1].split()
+        cut = item[rng.randint(0, 3) :]
+        texts.append(_sentence(rng, 20, few) + "; " + " ".join(cut) + "\n" + _sentence(rng, 9))
+    frame = _docs(spark, [*texts, texts[5]], [*range(len(texts)), 5])
+    got = decontaminate(frame, bench, window=10, block_bytes=block_bytes).selectExpr(
+        "doc_id", "contamination.n_words", "contamination.n_hit", "contamination.items"
+    )
+    want = [(i, *_brute_hits(t, items, 10)) for i, t in enumerate(texts)]
+    want.append((5, *want[5][1:]))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    none = decontaminate(frame, bench.where("false"))
+    assert none.where("contamination.n_hit > 0").count() == 0
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e6])
+def test_top_k_against_brute_force(spark, scale):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=8) * scale]) for i in range(300)]
+    rows += [(i, rows[7][1]) for i in range(300, 330)]  # a common vector
+    rows += [(400, None), (450, [1.0, None]), (500, [float("nan")] * 8), (None, rows[0][1])]
+    rows += [(550, [float("inf")] * 8), (600, []), (650, [1.5, -2.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    frame = frame.withColumns({"id": F.lit(1), "v": F.lit(2), "pivot": F.lit(3)})
+    used = {
+        i: [int(np.floor(256 * x)) for x in v] + [0] * (8 - len(v))
+        for i, v in rows
+        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)
+    }
+    want = []
+    for q in (i for i in used if i % 50 == 0):
+        score = {c: sum(a * b for a, b in zip(used[q], used[c])) for c in used if c != q}
+        best = sorted(score, key=lambda c: (-score[c], c))[:5]
+        want += [(q, rank + 1, c, min(score[c], (1 << 63) - 1)) for rank, c in enumerate(best)]
+    got = exact_top_k(frame, pivots=16, block=3).select("query_id", "rank", "vec_id", "score")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert exact_top_k(frame.where("false")).count() == 0
+
+
+_PLAIN = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    ("card", r"[0-9]([\x20-]?[0-9])+"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+]
+
+
+def _brute_spans(text):
+    out = []
+    for order, (kind, pattern) in enumerate(_PLAIN):
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m.group())
+            doubled = [int(d) * (1 + i % 2) for i, d in enumerate(reversed(digits))]
+            good = {
+                "email": True,
+                "ip": kind == "ip" and all(int(p) <= 255 for p in m.group().split(".")),
+                "card": 12 <= len(digits) <= 19 and sum(x - 9 * (x > 9) for x in doubled) % 10 == 0,
+                "phone": 9 <= len(digits) <= 15,
+            }[kind]
+            if good:
+                out.append((m.start(), order, m.end()))
+    return sorted(out)
+
+
+def test_base_spans_equal_the_plain_patterns():
+    rng = random.Random(2)
+    alphabet = "ab1279.@+-() %é\n"
+    cases = ["".join(rng.choices(alphabet, k=rng.randint(0, 60))) for _ in range(4000)]
+    cases += [None, "", "a@b.c_d@e.f@g.h.i", "1.2.3.4.5.6.7.8", "0300.1.1.1 256.1.1.1", "é" * 9 + "x@y.zz"]
+    cases += ["4539 1488 0343 6467", "+1 (017) 555-7713", "4539148803436467 4539148803436467"]
+    for text in cases:
+        assert pii.base_spans(text) == _brute_spans(text), text
+
+
+def test_long_runs_are_read_in_linear_time():
+    for text in ("a" * 400_000 + "@", "1" * 400_000, "1 " * 200_000, "+" * 400_000, "a@" * 200_000):
+        pii.added_spans(text, pii.base_spans(text))
+
+
+def test_the_model_labels_repeats_and_leaves_others_alone():
+    text = "call +1 (017) 555-7713 or 10175557713 now; order 8812345, card 4539148803436467 2024"
+    base = pii.base_spans(text)
+    added = [(text[a:b], pii.KINDS[k]) for a, k, b in pii.added_spans(text, base)]
+    assert added == [("10175557713", "phone")]
+    assert pii.added_spans("lone number 10175557713", []) == []
+
+
+def test_message_passing_equals_enumeration_on_a_tree():
+    rng = np.random.default_rng(0)
+    unary, edges = rng.normal(size=(4, 5)), np.array([[0, 1], [1, 2], [1, 3]])
+    weights = np.array([0.5, 1.5, 2.0])
+    total = np.zeros((4, 5))
+    for labels in np.ndindex(5, 5, 5, 5):
+        same = np.array([labels[a] == labels[b] for a, b in edges])
+        chance = np.exp(sum(unary[i, x] for i, x in enumerate(labels)) + weights @ same)
+        for i, x in enumerate(labels):
+            total[i, x] += chance
+    total /= total.sum(axis=1, keepdims=True)
+    assert np.allclose(pii.beliefs(unary, edges, weights), total, atol=1e-3)
+
+
+def test_personal_data_query_against_brute_force(spark, medium):
+    texts = {r.doc_id: r.text for r in queries._documents(spark, medium).collect()}
+    kinds = [k for k, _ in _PLAIN]
+    for r in queries.QUERIES["op4_personal_data"](spark, medium).collect():
+        base = _brute_spans(texts.pop(r.doc_id))
+        listed = ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in base)
+        assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [
+            sum(k == i for _, k, _ in base) for i in range(4)
+        ]
+        assert not listed or set(listed.split(",")) <= set(r.spans.split(","))
+    assert not texts
+
+
+def test_language_of_held_out_documents(spark, medium):
+    docs = queries._documents(spark, medium).select("doc_id", "lang")
+    rows = queries.QUERIES["op8_language_id"](spark, medium).join(docs, "doc_id").collect()
+    held = [r for r in rows if r.held_out]
+    assert len(rows) == docs.count() and 0.15 < len(held) / len(rows) < 0.35
+    assert sum(r.lang == r.lang_pred for r in held) >= 0.97 * len(held)
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_language_edges(spark):
+    network = language_id.train([("the of and this " * 20, "en"), ("der die das und " * 20, "de")])
+    texts = [None, "", "12 !?", "ß", "the and", "der und " * 9000]
+    docs = _docs(spark, texts)
+    got = language_id.with_language(docs, network).orderBy("doc_id").collect()
+    assert [r.language.lang_pred for r in got[:3]] == ["und"] * 3
+    assert [r.language.lang_pred for r in got[4:]] == ["en", "de"]
+    assert language_id.learn(docs).languages == []  # no labels at all
+    nothing = language_id.with_language(docs, language_id.learn(docs)).collect()
+    assert {r.language.lang_pred for r in nothing} == {"und"}
+    # Labels of held-out rows are never read.
+    secret = docs.withColumn("lang", F.when(language_id.held_out(F.col("doc_id")), "zz"))
+    assert language_id.learn(secret).languages == []
