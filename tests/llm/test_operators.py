@@ -372,8 +372,9 @@ def test_language_of_held_out_documents(spark, medium):
 
 
 def test_language_edges(spark):
-    network = language_id.train([("the of and this " * 20, "en"), ("der die das und " * 20, "de")])
-    texts = [None, "", "12 !?", "ß", "the and", "der und " * 9000]
+    samples = [("the of and this " * 20, "en"), ("der die das und " * 20, "de")] * 60
+    network = language_id.train(samples)
+    texts = [None, "", "12 !?", "ß", "the of and this", "der das und " * 9000]
     docs = _docs(spark, texts)
     got = language_id.with_language(docs, network).orderBy("doc_id").collect()
     assert [r.language.lang_pred for r in got[:3]] == ["und"] * 3
