@@ -12,6 +12,7 @@ the smallest id that links lead to.
    l' - 1 must then still hold a common one. So a set without enough repeated shingles
    is out, and shingles that stand everywhere seldom lead anywhere.
 3. What is left falls into clusters, joined by common shingles. No link crosses them.
+   A large cluster is told apart once more by the same rule over whole sets.
 4. In each cluster a T-occurrence search answers each set's query: DivideSkip sets its
    longest inverted lists aside, merges the short ones, and probes the long ones by
    binary search for those that can still reach T. A large cluster is cut into blocks,
@@ -165,24 +166,8 @@ def linked(
     return links
 
 
-def _links(docs, clusters, id_col, text_col, size, percent) -> DataFrame:
-    """a and b: links between classes, enough of them to join all that link."""
-    members = clusters.groupBy("component").agg(F.count("*").alias("members"))
-    sized = clusters.join(
-        members.withColumnRenamed("component", "cluster"),
-        F.col("component") == F.col("cluster"),
-    )
-    sized = written(sized.select("node", "cluster", "members"), "clusters")
-    bins = max(1, sized.count() // (2 * BLOCK))
-    # Small clusters share a task by their hash; a large one has a task for each pair
-    # of its blocks, and each document goes to all pairs that its block is in.
-    blocks = F.expr(f"cast((members + {BLOCK - 1}) div {BLOCK} as int)")
-    block = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
-    sized = sized.withColumn("blocks", blocks).withColumn("block", block)
-    other = F.explode(F.expr("if(blocks = 1, array(0), sequence(0, blocks - 1))"))
-    share = F.when(
-        F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(bins))
-    ).otherwise(F.col("cluster"))
+def _members(docs, clusters, id_col, text_col, size) -> DataFrame:
+    """node, cluster, set of all that may link; written."""
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("t"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,20 +175,83 @@ def _links(docs, clusters, id_col, text_col, size, percent) -> DataFrame:
             for begin in range(0, batch.num_rows, 512):
                 part = batch.slice(begin, 512)
                 found = [
-                    shingles(Words(text.as_py(), lower=True), size).tobytes()
-                    for text in part.column(4)
+                    shingles(Words(text.as_py(), lower=True), size)
+                    for text in part.column(2)
                 ]
-                columns = [*part.columns[:4], pa.array(found, pa.binary())]
+                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                flat = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
+                sets = pa.ListArray.from_arrays(ends, flat)
                 yield pa.RecordBatch.from_arrays(
-                    columns, names=["node", "cluster", "blocks", "block", "set"]
+                    [part.column(0), part.column(1), sets],
+                    names=["node", "cluster", "set"],
                 )
 
-    rows = (
-        texts.join(sized, texts["id"] == sized["node"])
-        .select("node", "cluster", "blocks", "block", "t")
-        .mapInArrow(
-            read, "node long, cluster long, blocks int, block int, set binary"
+    joined = texts.join(clusters, texts["id"] == clusters["node"])
+    rows = joined.select("node", F.col("component").alias("cluster"), "t").mapInArrow(
+        read, "node long, cluster long, set array<long>"
+    )
+    return written(rows, "members")
+
+
+def _sized(clusters: DataFrame) -> DataFrame:
+    members = clusters.groupBy(F.col("cluster").alias("name")).agg(
+        F.count("*").alias("members")
+    )
+    return clusters.join(members, F.expr("cluster = name")).drop("name")
+
+
+def _split(members: DataFrame, percent: int) -> DataFrame:
+    """node, cluster, members: clusters of more than a block are told apart further.
+
+    Inside such a cluster whole sets are ordered, rarest first. Linked sets share at
+    least t, so all but the last t - 1 of a set's repeated shingles hold a common one.
+    """
+    sized = written(_sized(members.select("node", "cluster")), "sized")
+    large = sized.where(F.col("members") > BLOCK).select(F.col("node").alias("id"))
+    least = F.expr(f"({percent} * size(set) + 99) div 100").alias("least")
+    rows = members.join(large, F.expr("node = id")).select(
+        "node", "cluster", least, F.explode(F.array_distinct("set")).alias("h")
+    )
+    rows = written(rows, "large")
+    often = rows.groupBy(F.col("cluster").alias("c"), F.col("h").alias("shingle")).count()
+    often = often.where("count > 1")
+    kept = (
+        rows.join(often, F.expr("cluster = c AND h = shingle"))
+        .groupBy("node", "cluster", "least")
+        .agg(F.sort_array(F.collect_list(F.struct("count", "h"))).alias("found"))
+        .where("size(found) >= least")
+        .select(
+            "node",
+            "cluster",
+            F.explode(F.expr("slice(found, 1, int(size(found) - least + 1)).h")).alias("h"),
         )
+    )
+    kept = written(kept, "candidates")
+    hubs = kept.groupBy(F.col("cluster").alias("c"), F.col("h").alias("shingle"))
+    hubs = hubs.agg(F.min("node").alias("hub"))
+    stars = kept.join(hubs, F.expr("cluster = c AND h = shingle"))
+    parts = components(stars.select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    parts = _sized(parts.select("node", F.col("component").alias("cluster")))
+    small = sized.where(F.col("members") <= BLOCK)
+    return written(small.unionByName(parts.select(*small.columns)), "clusters")
+
+
+def _links(members: DataFrame, percent: int) -> DataFrame:
+    """a and b: links between classes, enough of them to join all that link."""
+    sized = _split(members, percent)
+    bins = max(1, sized.count() // (2 * BLOCK))
+    # Small clusters share a task by their hash; a large one has a task for each pair
+    # of its blocks, and each document goes to all pairs that its block is in.
+    blocks = F.expr(f"cast((members + {BLOCK - 1}) div {BLOCK} as int)")
+    block = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
+    sized = sized.withColumn("blocks", blocks).withColumn("block", block)
+    other = F.explode(F.expr("if(blocks = 1, array(0), sequence(0, blocks - 1))"))
+    share = F.when(
+        F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(bins))
+    ).otherwise(F.col("cluster"))
+    sets = members.select(F.col("node").alias("id"), "set")
+    rows = (
+        sets.join(sized, F.expr("id = node"))
         .withColumn("other", other)
         .select(
             "node",
@@ -220,7 +268,9 @@ def _links(docs, clusters, id_col, text_col, size, percent) -> DataFrame:
     def search(table: pa.Table) -> pa.Table:
         cluster = table["cluster"].to_numpy()
         node, block = table["node"].to_numpy(), table["block"].to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in table["set"].to_pylist()]
+        column = table["set"].combine_chunks()
+        ends, flat = column.offsets.to_numpy(), column.values.to_numpy()
+        sets = [flat[x:y] for x, y in zip(ends[:-1], ends[1:])]
         cross = bool(len(block)) and block.min() != block.max() and table["large"][0].as_py()
         a, b = [], []
         order = np.lexsort((node, cluster))
@@ -250,8 +300,8 @@ def ngram_components(
         F.first("spare").alias("spare"),
         F.first("head").alias("head"),
     )
-    links = _links(docs, _clusters(classes), id_col, text_col, size, percent)
-    joined = components(links)
+    members = _members(docs, _clusters(classes), id_col, text_col, size)
+    joined = components(_links(members, percent))
     reps = (
         sets.where("n > 0")
         .groupBy(F.col("key").alias("class"))
