@@ -12,7 +12,7 @@ the smallest id that links lead to.
    l' - 1 must then still hold a common one. So a set without enough repeated shingles
    is out, and shingles that stand everywhere seldom lead anywhere.
 3. What is left falls into clusters, joined by common shingles. No link crosses them.
-   A large cluster is told apart once more by the same rule over whole sets.
+   Clusters are told apart once more by the same rule over whole sets.
 4. In each cluster a T-occurrence search answers each set's query: DivideSkip sets its
    longest inverted lists aside, merges the short ones, and probes the long ones by
    binary search for those that can still reach T. A large cluster is cut into blocks,
@@ -186,7 +186,8 @@ def _members(docs, clusters, id_col, text_col, size) -> DataFrame:
                     names=["node", "cluster", "set"],
                 )
 
-    joined = texts.join(clusters, texts["id"] == clusters["node"])
+    # What may link grows with the corpus, so it is never broadcast.
+    joined = texts.join(clusters.hint("merge"), texts["id"] == clusters["node"])
     rows = joined.select("node", F.col("component").alias("cluster"), "t").mapInArrow(
         read, "node long, cluster long, set array<long>"
     )
@@ -201,18 +202,13 @@ def _sized(clusters: DataFrame) -> DataFrame:
 
 
 def _split(members: DataFrame, percent: int) -> DataFrame:
-    """node, cluster, members: clusters of more than a block are told apart further.
+    """node, cluster, members: clusters are told apart further.
 
-    Inside such a cluster whole sets are ordered, rarest first. Linked sets share at
-    least t, so all but the last t - 1 of a set's repeated shingles hold a common one.
+    Inside a cluster whole sets are ordered, rarest first. Linked sets share at least
+    t, so all but the last t - 1 of a set's repeated shingles hold a common one.
     """
-    sized = written(_sized(members.select("node", "cluster")), "sized")
-    large = sized.where(F.col("members") > BLOCK).select(F.col("node").alias("id"))
     least = F.expr(f"({percent} * size(set) + 99) div 100").alias("least")
-    rows = members.join(large, F.expr("node = id")).select(
-        "node", "cluster", least, F.explode(F.array_distinct("set")).alias("h")
-    )
-    rows = written(rows, "large")
+    rows = members.select("node", "cluster", least, F.explode("set").alias("h"))
     often = rows.groupBy(F.col("cluster").alias("c"), F.col("h").alias("shingle")).count()
     often = often.where("count > 1")
     kept = (
@@ -231,9 +227,8 @@ def _split(members: DataFrame, percent: int) -> DataFrame:
     hubs = hubs.agg(F.min("node").alias("hub"))
     stars = kept.join(hubs, F.expr("cluster = c AND h = shingle"))
     parts = components(stars.select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    parts = _sized(parts.select("node", F.col("component").alias("cluster")))
-    small = sized.where(F.col("members") <= BLOCK)
-    return written(small.unionByName(parts.select(*small.columns)), "clusters")
+    parts = parts.select("node", F.col("component").alias("cluster"))
+    return written(_sized(parts), "clusters")
 
 
 def _links(members: DataFrame, percent: int) -> DataFrame:
@@ -251,7 +246,7 @@ def _links(members: DataFrame, percent: int) -> DataFrame:
     ).otherwise(F.col("cluster"))
     sets = members.select(F.col("node").alias("id"), "set")
     rows = (
-        sets.join(sized, F.expr("id = node"))
+        sets.join(sized.hint("merge"), F.expr("id = node"))
         .withColumn("other", other)
         .select(
             "node",
