@@ -448,9 +448,10 @@ _ORACLES: dict[str, str] = {
           ORDER BY SUM(postings) DESC, industry LIMIT 6)""",
     "quarterly_growth": _QUARTERS_SQL
     + """
-        SELECT *, LAG(postings) OVER w AS previous,
-               CAST(postings AS DOUBLE) / LAG(postings) OVER w - 1 AS growth
-        FROM quarters WINDOW w AS (PARTITION BY industry ORDER BY quarter)""",
+        SELECT q.*, p.postings AS previous,
+               CAST(q.postings AS DOUBLE) / p.postings - 1 AS growth
+        FROM quarters q LEFT JOIN quarters p
+          ON p.industry = q.industry AND p.quarter = q.quarter - INTERVAL 3 MONTH""",
     "market_multiple": """
         SELECT COUNT(*) FILTER (WHERE posted < DATE '1997-04-01') AS earlier_postings,
                COUNT(*) FILTER (WHERE posted >= DATE '1997-07-01') AS later_postings,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def share_of_total(groups: DataFrame, count: str, share: str) -> DataFrame:
@@ -15,11 +15,17 @@ def share_of_total(groups: DataFrame, count: str, share: str) -> DataFrame:
 
 
 def period_growth(
-    cells: DataFrame, key: str, period: str, count: str
+    cells: DataFrame, key: str, period: str, count: str, before: Column | None = None
 ) -> DataFrame:
-    """Adds the previous period's count of the same key and the growth over it."""
+    """Adds the previous period's count of the same key and the growth over it.
+
+    With ``before``, the period that must come before each, both are null where the
+    key has no row for it; without, the previous row counts.
+    """
     order = Window.partitionBy(key).orderBy(period)
     previous = F.lag(count).over(order)
+    if before is not None:
+        previous = F.when(F.lag(period).over(order) == before, previous)
     return cells.withColumn("previous", previous).withColumn(
         "growth", F.col(count).cast("double") / F.col("previous") - 1
     )
@@ -29,5 +35,7 @@ def ratio_to_base(
     groups: DataFrame, key: str, base: str, measure: str, ratio: str
 ) -> DataFrame:
     """Adds ``measure`` as a multiple of the base group's; null without that group."""
-    base_row = groups.filter(F.col(key) == base).select(F.max(measure))
-    return groups.withColumn(ratio, F.col(measure) / base_row.scalar())
+    base_measure = F.max(F.when(F.col(key) == base, F.col(measure)))
+    # The rows are a fixed few, and finished: one scan serves both sides.
+    base_measure = base_measure.over(Window.partitionBy())
+    return groups.withColumn(ratio, F.col(measure) / base_measure)

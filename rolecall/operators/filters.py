@@ -14,11 +14,12 @@ class PostingFilter:
     """A salary range, always applied, and choices that apply when not empty.
 
     A lower bound of 0 means 1, so that unpaid postings never pass. Null salaries
-    never pass either. ``extra`` is any further condition.
+    never pass either. ``salary_to=None`` sets no upper bound. ``extra`` is any further
+    condition.
     """
 
     salary_from: float = 0
-    salary_to: float = 30000
+    salary_to: float | None = 30000
     industries: tuple[str, ...] = ()
     employment_types: tuple[str, ...] = ()
     levels: tuple[str, ...] = ()
@@ -26,7 +27,10 @@ class PostingFilter:
 
     def condition(self) -> Column:
         lowest = self.salary_from if self.salary_from > 0 else 1
-        clauses = [F.col("average_salary").between(lowest, self.salary_to)]
+        salary = F.col("average_salary")
+        clauses = [salary >= lowest]
+        if self.salary_to is not None:
+            clauses.append(salary <= self.salary_to)
         for name, chosen in (
             ("primary_category", self.industries),
             ("employmentTypes", self.employment_types),
@@ -42,4 +46,5 @@ class PostingFilter:
         return postings.filter(self.condition())
 
 
-EVERYTHING = PostingFilter()
+# The reports' range where no other is asked for: salaries from 1 to 30,000.
+USUAL_SALARIES = PostingFilter()

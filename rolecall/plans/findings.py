@@ -7,13 +7,13 @@ from pyspark.sql import DataFrame, functions as F
 from rolecall.functions.derive import row_count, whole_mean
 from rolecall.model import LEVELS
 from rolecall.operators.comparison import ratio_to_base
-from rolecall.operators.filters import EVERYTHING, PostingFilter
+from rolecall.operators.filters import USUAL_SALARIES, PostingFilter
 from rolecall.operators.ranking import ties, top_k, with_dense_rank
 from rolecall.plans.overview import seniority_profile
 
 
 def seniority_ratio(
-    postings: DataFrame, base: str = LEVELS[0], chosen: PostingFilter = EVERYTHING
+    postings: DataFrame, base: str = LEVELS[0], chosen: PostingFilter = USUAL_SALARIES
 ) -> DataFrame:
     """Each level's mean salary as a multiple of the base level's."""
     profile = seniority_profile(postings, chosen)
@@ -37,9 +37,9 @@ def industry_rank(postings: DataFrame) -> DataFrame:
 
 
 def top_companies_overall(
-    postings: DataFrame, chosen: PostingFilter = EVERYTHING, k: int = 5
+    postings: DataFrame, chosen: PostingFilter = USUAL_SALARIES, k: int = 5
 ) -> DataFrame:
-    """The k named companies with most postings: (company, postings)."""
+    """The k named companies with most postings in the salary range of ``chosen``."""
     rows = chosen.apply(postings).filter(F.col("postedCompany_name").isNotNull())
     grouped = rows.groupBy(F.col("postedCompany_name").alias("company"))
     return top_k(grouped.agg(row_count().alias("postings")), "postings", k, "company")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from rolecall.functions.derive import category_list, row_count, salary_band, whole_mean
 from rolecall.operators.comparison import share_of_total
-from rolecall.operators.filters import EVERYTHING, PostingFilter
+from rolecall.operators.filters import USUAL_SALARIES, PostingFilter
 from rolecall.operators.ranking import few_in_order, ties, top_k
 
 
@@ -18,7 +18,7 @@ def industry_facets(postings: DataFrame, k: int = 20) -> DataFrame:
 
 
 def market_kpis(
-    postings: DataFrame, chosen: PostingFilter = EVERYTHING, approximate: bool = False
+    postings: DataFrame, chosen: PostingFilter = USUAL_SALARIES, approximate: bool = False
 ) -> DataFrame:
     """One row: postings, companies, mean salary and industries.
 
@@ -35,7 +35,7 @@ def market_kpis(
 
 
 def top_industries(
-    postings: DataFrame, chosen: PostingFilter = EVERYTHING, k: int = 12
+    postings: DataFrame, chosen: PostingFilter = USUAL_SALARIES, k: int = 12
 ) -> DataFrame:
     """The k industries with most postings: (industry, postings, avg_salary)."""
     rows = chosen.apply(postings).filter(F.col("primary_category").isNotNull())
@@ -46,14 +46,14 @@ def top_industries(
 
 
 def salary_bands(
-    postings: DataFrame, chosen: PostingFilter = EVERYTHING
+    postings: DataFrame, chosen: PostingFilter = USUAL_SALARIES
 ) -> DataFrame:
     """Postings per salary band, lowest band first: (band, count)."""
     return few_in_order(_bands(postings, chosen), "_lowest").drop("_lowest")
 
 
 def salary_band_shares(
-    postings: DataFrame, chosen: PostingFilter = EVERYTHING
+    postings: DataFrame, chosen: PostingFilter = USUAL_SALARIES
 ) -> DataFrame:
     """As ``salary_bands``, with each band's percentage of all postings."""
     shares = share_of_total(_bands(postings, chosen), "count", "share_pct")
@@ -68,7 +68,7 @@ def _bands(postings: DataFrame, chosen: PostingFilter) -> DataFrame:
 
 
 def seniority_profile(
-    postings: DataFrame, chosen: PostingFilter = EVERYTHING
+    postings: DataFrame, chosen: PostingFilter = USUAL_SALARIES
 ) -> DataFrame:
     """Postings and mean salary per level, worst paid first."""
     rows = chosen.apply(postings).filter(F.col("positionLevels").isNotNull())
@@ -79,7 +79,7 @@ def seniority_profile(
 
 
 def employment_mix(
-    postings: DataFrame, chosen: PostingFilter = EVERYTHING
+    postings: DataFrame, chosen: PostingFilter = USUAL_SALARIES
 ) -> DataFrame:
     """Postings per employment type, most first: (type, count)."""
     rows = chosen.apply(postings).filter(F.col("employmentTypes").isNotNull())
@@ -89,7 +89,7 @@ def employment_mix(
 
 
 def overview_tiles(
-    postings: DataFrame, chosen: PostingFilter = EVERYTHING
+    postings: DataFrame, chosen: PostingFilter = USUAL_SALARIES
 ) -> DataFrame:
     """All four breakdowns from one scan: (tile, label, postings, avg_salary).
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from rolecall.functions.derive import row_count, whole_mean
 from rolecall.model import LEVELS
 from rolecall.operators.distribution import box_stats, quartiles
-from rolecall.operators.filters import EVERYTHING, PostingFilter
+from rolecall.operators.filters import USUAL_SALARIES, PostingFilter
 from rolecall.operators.percentiles import percentile_profile, value_counts
 from rolecall.operators.ranking import (
     few_in_order,
@@ -133,7 +133,7 @@ def salary_by_employment(postings: DataFrame) -> DataFrame:
 
 def top_paying_roles(
     postings: DataFrame,
-    chosen: PostingFilter = EVERYTHING,
+    chosen: PostingFilter = USUAL_SALARIES,
     at_least: int = 5,
     k: int = 20,
 ) -> DataFrame:

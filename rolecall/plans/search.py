@@ -12,7 +12,7 @@ from rolecall.functions.text import (
     one_decimal_text,
 )
 from rolecall.operators.distribution import histogram
-from rolecall.operators.filters import EVERYTHING, PostingFilter
+from rolecall.operators.filters import USUAL_SALARIES, PostingFilter
 from rolecall.operators.ranking import ties
 
 _KEYS = ["title", "industry", "seniority", "type"]
@@ -37,7 +37,7 @@ def _matching(
 
 def role_groups(
     postings: DataFrame,
-    chosen: PostingFilter = EVERYTHING,
+    chosen: PostingFilter = USUAL_SALARIES,
     keyword: str = "",
     at_least: int = 3,
     wildcards: bool = False,
@@ -61,7 +61,7 @@ def role_groups(
 
 def role_search(
     postings: DataFrame,
-    chosen: PostingFilter = EVERYTHING,
+    chosen: PostingFilter = USUAL_SALARIES,
     keyword: str = "",
     order: str = BEST_PAID,
     limit: int = 200,
@@ -90,7 +90,7 @@ def role_table(roles: DataFrame) -> DataFrame:
 
 def role_count(
     postings: DataFrame,
-    chosen: PostingFilter = EVERYTHING,
+    chosen: PostingFilter = USUAL_SALARIES,
     keyword: str = "",
     limit: int = 200,
     at_least: int = 3,
@@ -104,7 +104,7 @@ def role_count(
 
 def search_histogram(
     postings: DataFrame,
-    chosen: PostingFilter = EVERYTHING,
+    chosen: PostingFilter = USUAL_SALARIES,
     keyword: str = "",
     low: float = 500,
     high: float = 25000,

@@ -82,20 +82,22 @@ def quarterly_trend(
     top = top_groups(cells, "industry", "postings", k)
     kept = keep_groups(cells, top, "industry")
     kept = kept.withColumn("quarter", at_midnight(F.col("quarter")))
-    return few_in_order(kept, "industry", "quarter")
+    # Not one task: it would also merge the counts of the industries left out.
+    return kept.orderBy("industry", "quarter")
 
 
 def quarterly_growth(
     postings: DataFrame, since: date = SERIES_START, k: int | None = None
 ) -> DataFrame:
-    """Quarter-over-quarter growth per industry; null in an industry's first quarter.
+    """Quarter-over-quarter growth per industry; null after a quarter without postings.
 
     ``k`` keeps the k largest industries. The window holds one row per quarter.
     """
     cells = _quarterly(postings, since)
     if k is not None:
         cells = keep_groups(cells, top_groups(cells, "industry", "postings", k), "industry")
-    grown = period_growth(cells, "industry", "quarter", "postings")
+    before = F.add_months("quarter", -3)
+    grown = period_growth(cells, "industry", "quarter", "postings", before)
     return grown.withColumn("quarter", at_midnight(F.col("quarter")))
 
 

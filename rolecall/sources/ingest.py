@@ -8,17 +8,31 @@ from rolecall.functions.derive import category_list, primary_category
 from rolecall.model import CLEAN_SCHEMA, POSTING_SCHEMA
 
 
+_MALFORMED = "malformed_row"
+
+
 def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Raw CSV with a header, every column as text, empty cells as null.
 
-    Quotes inside a cell are doubled. ``multi_line`` is needed where a cell may hold a
+    Files whose headers differ, in names or order, fail the read. A row of too few or
+    too many cells is marked in ``malformed_row``, which ``clean`` counts. Quotes inside
+    a cell are doubled. ``multi_line`` is needed where a cell may hold a
     line break; a file is then read by one task, so deliver a large feed as many files,
     or switch it off where no cell holds one.
     """
     reader = spark.read.option("header", True).option("quote", '"').option("escape", '"')
-    raw = reader.option("multiLine", multi_line).option("emptyValue", "").csv(path)
+    reader = reader.option("multiLine", multi_line).option("emptyValue", "")
+    names = reader.csv(path).columns
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _MALFORMED]])
+    raw = (
+        reader.schema(schema)
+        .option("enforceSchema", False)
+        .option("columnNameOfCorruptRecord", _MALFORMED)
+        .csv(path)
+    )
     return raw.select(
-        [F.nullif(F.col(f"`{name}`"), F.lit("")).alias(name) for name in raw.columns]
+        *[F.nullif(F.col(f"`{name}`"), F.lit("")).alias(name) for name in names],
+        F.col(_MALFORMED).isNotNull().alias(_MALFORMED),
     )
 
 
@@ -29,6 +43,10 @@ def _typed(text: Column, kind: T.DataType, date_format: str | None) -> Column:
         # "3.0" is a whole number; "2.7" is not one and counts as rejected.
         number = text.try_cast("double")
         return F.when(number == F.floor(number), number.try_cast("int"))
+    if isinstance(kind, T.DoubleType):
+        # NaN and infinities are no salaries, and would spoil every mean.
+        number = text.try_cast(kind)
+        return F.when(F.abs(number) < F.lit(float("inf")), number)
     return text.try_cast(kind)
 
 
@@ -38,7 +56,7 @@ def clean(
     """Typed columns plus ``primary_category`` and the number of rejected cells.
 
     A cell whose text does not fit its type becomes null and is counted in
-    ``rejected_cells``. Columns already typed are taken as they are.
+    ``rejected_cells``; a malformed row counts as one more. Columns already typed are taken as they are.
     """
     typed, rejected = [], []
     for field in POSTING_SCHEMA.fields:
@@ -49,6 +67,8 @@ def clean(
         value = _typed(source.cast("string"), field.dataType, date_format)
         typed.append(value.alias(field.name))
         rejected.append((source.isNotNull() & value.isNull()).cast("int"))
+    if _MALFORMED in raw.columns:
+        rejected.append(F.col(_MALFORMED).cast("int"))
     lists = [category_list(F.col("categories")).alias("category_list")]
     return raw.select(
         *typed,

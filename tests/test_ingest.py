@@ -143,3 +143,21 @@ def test_nothing_is_written_without_the_setting(spark, small):
     unset = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default))
     frame = shared.derived_once(unset, "unused", lambda: star.star_postings(spark, small))
     assert any(name.endswith("lineitem.parquet") for name in frame.inputFiles())
+
+
+def _csv_folder(tmp_path, *files):
+    for i, lines in enumerate(files):
+        (tmp_path / f"{i}.csv").write_text("\n".join(lines) + "\n")
+    return str(tmp_path)
+
+
+def test_headers_of_other_order_fail_the_read(spark, tmp_path):
+    path = _csv_folder(tmp_path, ["a,b", "1,2"], ["b,a", "2,1"])
+    with pytest.raises(Exception, match="(?i)header"):
+        ingest.read_csv(spark, path).collect()
+
+
+def test_rows_of_wrong_length_are_marked(spark, tmp_path):
+    path = _csv_folder(tmp_path, ["a,b", "1,2", "3", "4,5,6"])
+    rows = ingest.read_csv(spark, path).collect()
+    assert [r.malformed_row for r in rows] == [False, True, True]

@@ -211,6 +211,14 @@ def test_growth_starts_null_in_each_group(spark):
     ]
 
 
+def test_growth_after_a_gap_is_null(spark):
+    rows = [("a", 1, 10), ("a", 2, 20), ("a", 4, 40)]
+    table = spark.createDataFrame(rows, "k string, q int, n long")
+    before = F.col("q") - 1
+    got = comparison.period_growth(table, "k", "q", "n", before).orderBy("q").collect()
+    assert [(r.previous, r.growth) for r in got] == [(None, None), (10, 1.0), (None, None)]
+
+
 def test_ratio_to_base(spark):
     table = frame(spark, "k string, v double", ("low", 2.0), ("high", 8.0), ("none", None))
     got = comparison.ratio_to_base(table, "k", "low", "v", "r").select("k", "r")
