@@ -20,8 +20,9 @@ from rolecall.operators.filters import PostingFilter
 from rolecall.operators.ranking import axis_order
 from rolecall.plans import findings, industry, overview, salary, search, trends
 from rolecall.plans.adhoc import ask
+from rolecall.sources.ingest import clean
 from rolecall.sources.shared import derived_once
-from rolecall.sources.star import star_postings
+from rolecall.sources.star import as_delivered, star_postings
 
 # The parameters that suit the test tables.
 CUT = date(1997, 1, 1)
@@ -74,6 +75,20 @@ def _load_profile(table: DataFrame) -> DataFrame:
     )
 
 
+def _ingest_clean(table: DataFrame) -> DataFrame:
+    posted = "metadata_originalPostingDate"
+    cleaned = clean(as_delivered(table))
+    return cleaned.withColumn(posted, at_midnight(F.col(posted)))
+
+
+def _ingest_categories(table: DataFrame) -> DataFrame:
+    """Categories of texts of which some are cut short."""
+    torn = F.expr("substring(categories, 1, length(categories) - 1)")
+    cut = F.when(F.col("l_partkey") % 7 == 0, torn).otherwise(F.col("categories"))
+    raw = as_delivered(table.withColumn("categories", cut))
+    return overview.category_counts(clean(raw, with_category_list=True))
+
+
 def _titles_by_type(table: DataFrame) -> DataFrame:
     return ask(
         table,
@@ -159,6 +174,10 @@ _REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "top_companies": findings.top_companies_overall,
     "load_profile": _load_profile,
     "adhoc_sql": _titles_by_type,
+    # ingest
+    "ingest_clean": _ingest_clean,
+    "ingest_profile": lambda t: _load_profile(clean(as_delivered(t))),
+    "ingest_categories": _ingest_categories,
 }
 
 
@@ -267,6 +286,46 @@ _QUARTERS_SQL = """
 )
 """
 
+_DELIVERED_SQL = """
+, delivered AS (
+  SELECT *,
+    CASE WHEN l_orderkey % 17 = 0 THEN 'n/a' ELSE CAST(low AS VARCHAR) END AS low_text,
+    CASE WHEN l_orderkey % 19 = 0 THEN 'NaN' WHEN l_orderkey % 23 = 0 THEN 'Infinity'
+         WHEN l_orderkey % 29 = 0 THEN ' ' || CAST(pay AS VARCHAR)
+         ELSE CAST(pay AS VARCHAR) END AS pay_text,
+    CASE WHEN l_orderkey % 43 = 0 THEN 'soon' ELSE CAST(posted AS VARCHAR) END
+      AS posted_text,
+    CASE WHEN l_partkey % 29 = 0 THEN '2.7' ELSE CAST(reposts AS VARCHAR) END
+      AS reposts_text,
+    CASE WHEN l_partkey % 31 = 0 THEN CAST(apps AS VARCHAR) || '.0'
+         ELSE CAST(apps AS VARCHAR) END AS apps_text
+  FROM named
+), numbers AS (
+  SELECT *, TRY_CAST(low_text AS DOUBLE) AS low_value,
+    TRY_CAST(pay_text AS DOUBLE) AS pay_number,
+    TRY_CAST(posted_text AS DATE) AS posted_value,
+    TRY_CAST(reposts_text AS DOUBLE) AS reposts_number,
+    TRY_CAST(apps_text AS DOUBLE) AS apps_number
+  FROM delivered
+), typed AS (
+  SELECT *, CASE WHEN isfinite(pay_number) THEN pay_number END AS pay_value,
+    CASE WHEN reposts_number = floor(reposts_number)
+         THEN CAST(reposts_number AS INTEGER) END AS reposts_value,
+    CASE WHEN apps_number = floor(apps_number)
+         THEN CAST(apps_number AS INTEGER) END AS apps_value
+  FROM numbers
+), counted AS (
+  SELECT *, CAST(
+    CAST(low_text IS NOT NULL AND low_value IS NULL AS INT)
+    + CAST(pay_text IS NOT NULL AND pay_value IS NULL AS INT)
+    + CAST(posted_text IS NOT NULL AND posted_value IS NULL AS INT)
+    + CAST(reposts_text IS NOT NULL AND reposts_value IS NULL AS INT)
+    + CAST(apps_text IS NOT NULL AND apps_value IS NULL AS INT)
+    + CAST(l_suppkey % 41 = 0 AS INT) AS INTEGER) AS rejected
+  FROM typed
+)
+"""
+
 _LARGE_SQL = """
 , ranged AS (
   SELECT industry, pay FROM named
@@ -523,6 +582,35 @@ _ORACLES: dict[str, str] = {
     "adhoc_sql": """
         SELECT type, COUNT(*) AS postings, COUNT(DISTINCT title) AS titles
         FROM named WHERE pay > 3000 AND level = '2-HIGH' GROUP BY type""",
+    "ingest_clean": _DELIVERED_SQL
+    + """
+        SELECT title, categories, company AS "postedCompany_name",
+               level AS "positionLevels", type AS "employmentTypes",
+               low_value AS salary_minimum, high AS salary_maximum,
+               pay_value AS average_salary,
+               CAST(posted_value AS TIMESTAMP) AS "metadata_originalPostingDate",
+               reposts_value AS "metadata_repostCount",
+               apps_value AS "metadata_totalNumberJobApplication",
+               industry AS primary_category, rejected AS rejected_cells
+        FROM counted""",
+    "ingest_profile": _DELIVERED_SQL
+    + """
+        SELECT COUNT(*) AS "rows", COUNT(*) - COUNT(pay_value) AS null_salaries,
+               CAST(SUM(rejected) AS BIGINT) AS rejected_cells,
+               CAST(MIN(posted_value) AS TIMESTAMP) AS first_posted,
+               CAST(MAX(posted_value) AS TIMESTAMP) AS last_posted
+        FROM counted""",
+    "ingest_categories": _DELIVERED_SQL
+    + """
+        SELECT category AS industry, COUNT(*) AS postings,
+               round(AVG(pay_value), 0) AS avg_salary
+        FROM (
+          SELECT pay_value, unnest(list_distinct(
+            CASE WHEN l_partkey % 7 = 0 THEN [industry]
+                 ELSE regexp_extract_all(categories, '"category":"([^"]+)"', 1)
+            END)) AS category
+          FROM counted)
+        WHERE category <> '' GROUP BY category""",
 }
 
 

@@ -16,8 +16,14 @@ def primary_category(categories: Column) -> Column:
 
 
 def category_list(categories: Column) -> Column:
-    """All categories as an array of (id, category), parsed as true JSON."""
-    return F.from_json(categories, CATEGORY_LIST_TYPE)
+    """All categories as an array of (id, category), parsed as true JSON.
+
+    Text that is not well formed gives its first named category, without an id.
+    """
+    first = primary_category(categories)
+    only = F.struct(F.lit(None).cast("int").alias("id"), first.alias("category"))
+    parsed = F.from_json(categories, CATEGORY_LIST_TYPE)
+    return F.coalesce(parsed, F.when(first != "", F.array(only)))
 
 
 # The labels and bounds of the three tier columns below.

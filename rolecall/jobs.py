@@ -87,6 +87,7 @@ def _parser() -> argparse.ArgumentParser:
     report.add_argument("name", choices=sorted(REPORTS))
     report.add_argument("--table", required=True)
     report.add_argument("--out", required=True)
+    report.add_argument("--category-list", action="store_true")
     report.add_argument("--salary-from", type=float, default=0)
     report.add_argument("--salary-to", type=float, default=30000)
     report.add_argument("--industries", nargs="*", default=[])
@@ -106,7 +107,7 @@ def main(arguments: list[str] | None = None) -> None:
     if options.job == "ingest":
         _ingest(spark, options)
     else:
-        table = open_postings(spark, options.table)
+        table = open_postings(spark, options.table, options.category_list)
         run_report(table, options).write.mode("overwrite").parquet(options.out)
 
 

@@ -123,8 +123,9 @@ def overview_tiles(
 def category_counts(postings: DataFrame) -> DataFrame:
     """Postings and mean salary per category, a posting counting in each of its own.
 
-    The other reports count a posting under its first category only. Postings with the
-    same text are counted together first, so that each text is parsed once.
+    The other reports count a posting under its first category only. Empty names do not
+    count, as in those. Postings with the same text are counted together first, so that
+    each text is parsed once.
     """
 
     stored = "category_list" in postings.columns
@@ -135,7 +136,7 @@ def category_counts(postings: DataFrame) -> DataFrame:
         F.count("average_salary").alias("_paid"),
     )
     lists = F.col(key) if stored else category_list(F.col(key))
-    names = F.array_distinct(lists["category"])
+    names = F.filter(F.array_distinct(lists["category"]), lambda name: name != "")
     each = alike.select("_n", "_s", "_paid", F.explode(names).alias("industry"))
     return each.groupBy("industry").agg(
         F.sum("_n").alias("postings"),

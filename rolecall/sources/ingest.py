@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from rolecall.functions.derive import category_list, primary_category
-from rolecall.model import CLEAN_SCHEMA, POSTING_SCHEMA
+from rolecall.model import CATEGORY_LIST_TYPE, CLEAN_SCHEMA, POSTING_SCHEMA
 
-
-_MALFORMED = "malformed_row"
+MALFORMED_ROW = "malformed_row"
 
 
 def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -23,16 +22,16 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFra
     reader = spark.read.option("header", True).option("quote", '"').option("escape", '"')
     reader = reader.option("multiLine", multi_line).option("emptyValue", "")
     names = reader.csv(path).columns
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _MALFORMED]])
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, MALFORMED_ROW]])
     raw = (
         reader.schema(schema)
         .option("enforceSchema", False)
-        .option("columnNameOfCorruptRecord", _MALFORMED)
+        .option("columnNameOfCorruptRecord", MALFORMED_ROW)
         .csv(path)
     )
     return raw.select(
         *[F.nullif(F.col(f"`{name}`"), F.lit("")).alias(name) for name in names],
-        F.col(_MALFORMED).isNotNull().alias(_MALFORMED),
+        F.col(MALFORMED_ROW).isNotNull().alias(MALFORMED_ROW),
     )
 
 
@@ -67,8 +66,8 @@ def clean(
         value = _typed(source.cast("string"), field.dataType, date_format)
         typed.append(value.alias(field.name))
         rejected.append((source.isNotNull() & value.isNull()).cast("int"))
-    if _MALFORMED in raw.columns:
-        rejected.append(F.col(_MALFORMED).cast("int"))
+    if MALFORMED_ROW in raw.columns:
+        rejected.append(F.col(MALFORMED_ROW).cast("int"))
     lists = [category_list(F.col("categories")).alias("category_list")]
     return raw.select(
         *typed,
@@ -102,6 +101,14 @@ def write_postings(
     writer.parquet(path)
 
 
-def open_postings(spark: SparkSession, path: str) -> DataFrame:
-    """The clean table, with its schema declared rather than inferred."""
-    return spark.read.schema(CLEAN_SCHEMA).parquet(path)
+def open_postings(
+    spark: SparkSession, path: str, with_category_list: bool = False
+) -> DataFrame:
+    """The clean table, with its schema declared rather than inferred.
+
+    ``with_category_list`` is for a table that was cleaned with it.
+    """
+    schema = T.StructType(list(CLEAN_SCHEMA.fields))
+    if with_category_list:
+        schema = schema.add("category_list", CATEGORY_LIST_TYPE)
+    return spark.read.schema(schema).parquet(path)

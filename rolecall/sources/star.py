@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rolecall.functions.derive import primary_category
+from rolecall.model import POSTING_SCHEMA
+from rolecall.sources.ingest import MALFORMED_ROW
 
 
 def _every(key: str, n: int):
@@ -85,3 +87,29 @@ def star_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(orders, "l_orderkey")
         .withColumn("rejected_cells", F.lit(0))
     )
+
+
+def as_delivered(postings: DataFrame) -> DataFrame:
+    """The stand-in table as text, as a CSV would hand it over, with faults at some keys."""
+
+    def text(name: str) -> Column:
+        return F.col(name).cast("string")
+
+    pay = text("average_salary")
+    applications = text("metadata_totalNumberJobApplication")
+    planted = {
+        "salary_minimum": F.when(_every("l_orderkey", 17), "n/a"),
+        "average_salary": F.when(_every("l_orderkey", 19), "NaN")
+        .when(_every("l_orderkey", 23), "Infinity")
+        .when(_every("l_orderkey", 29), F.concat(F.lit(" "), pay)),
+        "metadata_originalPostingDate": F.when(_every("l_orderkey", 43), "soon"),
+        "metadata_repostCount": F.when(_every("l_partkey", 29), "2.7"),
+        "metadata_totalNumberJobApplication": F.when(
+            _every("l_partkey", 31), F.concat(applications, F.lit(".0"))
+        ),
+    }
+    cells = [
+        (planted[name].otherwise(text(name)) if name in planted else text(name)).alias(name)
+        for name in POSTING_SCHEMA.names
+    ]
+    return postings.select(*cells, _every("l_suppkey", 41).alias(MALFORMED_ROW))
