@@ -46,17 +46,19 @@ def _ingest(spark: SparkSession, options: argparse.Namespace) -> None:
 
 
 def run_report(table: DataFrame, options: argparse.Namespace) -> DataFrame:
-    """The named report with those of the given options that it takes."""
+    """The named report; options that it does not take, or lacks, are an error."""
     report = REPORTS[options.name]
     takes = inspect.signature(report).parameters
+    choices = {
+        "salary_from": options.salary_from,
+        "salary_to": options.salary_to,
+        "industries": tuple(options.industries),
+        "employment_types": tuple(options.types),
+        "levels": tuple(options.levels),
+    }
+    choices = {k: v for k, v in choices.items() if v not in (None, ())}
     given = {
-        "chosen": PostingFilter(
-            options.salary_from,
-            options.salary_to,
-            tuple(options.industries),
-            tuple(options.types),
-            tuple(options.levels),
-        ),
+        "chosen": PostingFilter(**choices) if choices else None,
         "industry": options.industry,
         "keyword": options.keyword,
         "order": options.order,
@@ -64,9 +66,14 @@ def run_report(table: DataFrame, options: argparse.Namespace) -> DataFrame:
         "earlier": options.earlier,
         "later": options.later,
     }
-    return report(
-        table, **{k: v for k, v in given.items() if k in takes and v is not None}
-    )
+    given = {k: v for k, v in given.items() if v is not None}
+    if unused := [k for k in given if k not in takes]:
+        names = [", ".join(choices) if k == "chosen" else k for k in unused]
+        raise ValueError(f"{options.name} takes no {', '.join(names)}")
+    needed = [k for k, v in takes.items() if v.default is v.empty and k not in given]
+    if missing := needed[1:]:  # the first is the table
+        raise ValueError(f"{options.name} needs {', '.join(missing)}")
+    return report(table, **given)
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -88,8 +95,8 @@ def _parser() -> argparse.ArgumentParser:
     report.add_argument("--table", required=True)
     report.add_argument("--out", required=True)
     report.add_argument("--category-list", action="store_true")
-    report.add_argument("--salary-from", type=float, default=0)
-    report.add_argument("--salary-to", type=float, default=30000)
+    report.add_argument("--salary-from", type=float)
+    report.add_argument("--salary-to", type=float)
     report.add_argument("--industries", nargs="*", default=[])
     report.add_argument("--types", nargs="*", default=[])
     report.add_argument("--levels", nargs="*", default=[])

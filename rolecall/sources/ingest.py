@@ -55,7 +55,8 @@ def clean(
     """Typed columns plus ``primary_category`` and the number of rejected cells.
 
     A cell whose text does not fit its type becomes null and is counted in
-    ``rejected_cells``; a malformed row counts as one more. Columns already typed are taken as they are.
+    ``rejected_cells``; a malformed row counts as one more. Columns already typed are
+    taken as they are.
     """
     typed, rejected = [], []
     for field in POSTING_SCHEMA.fields:
@@ -110,5 +111,5 @@ def open_postings(
     """
     schema = T.StructType(list(CLEAN_SCHEMA.fields))
     if with_category_list:
-        schema = schema.add("category_list", CATEGORY_LIST_TYPE)
+        schema = schema.add("category_list", T.DataType.fromDDL(CATEGORY_LIST_TYPE))
     return spark.read.schema(schema).parquet(path)

@@ -4,6 +4,7 @@ import pytest
 
 from frames import rows
 from rolecall import jobs
+from rolecall.model import POSTING_SCHEMA
 from test_ingest import csv_file  # noqa: F401
 
 
@@ -44,6 +45,40 @@ def test_dates(spark, clean_table, tmp_path):
     assert got == []
 
 
+def test_stored_categories_keep_malformed_text(spark, tmp_path):
+    raw, table = str(tmp_path / "raw"), str(tmp_path / "table")
+    texts = [
+        '[{"id":1,"category":"Food"},{"id":2,"category":"Retail"}]',
+        '[{"id":1,"category":"Food"},{"id":2,"cat',
+        '[{"id":1,"category":""},{"id":2,"category":"Retail"}]',
+        "[]",
+        None,
+    ]
+    delivered = spark.createDataFrame([(text,) for text in texts], "categories string")
+    for field in POSTING_SCHEMA.fields:
+        if field.name != "categories":
+            delivered = delivered.selectExpr("*", f"'1000' AS {field.name}")
+    delivered.write.parquet(raw)
+    jobs.main(["ingest", "--parquet", raw, "--out", table, "--category-list"])
+    want = [("Food", 2, 1000.0), ("Retail", 2, 1000.0)]
+    for stored in ([], ["--category-list"]):
+        assert sorted(report(spark, table, tmp_path, "category_counts", *stored)) == want
+
+
+@pytest.mark.parametrize(
+    "arguments, says",
+    [
+        (["repost_tiers", "--levels", "Manager"], "levels"),
+        (["industry_facets", "--salary-from", "9000"], "salary_from"),
+        (["industry_kpis"], "needs industry"),
+        (["market_multiple", "--earlier", "2023-01-01"], "needs later"),
+    ],
+)
+def test_options_that_do_not_fit_are_refused(spark, clean_table, tmp_path, arguments, says):
+    with pytest.raises(ValueError, match=says):
+        report(spark, clean_table, tmp_path, *arguments)
+
+
 def test_every_report_takes_its_table_first():
     import inspect
 
