@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 # Characters for which the quick way below equals the tokenizer's own normalising:
 # printable ASCII, tab and line ends, and Latin letters and signs up to U+012F, which
@@ -18,7 +20,6 @@ _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _WORD_PIECES = re.compile(
     f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\\s{_LETTER}{_NUMBER}]+"
 )
-WORD_END = "</w>"
 _CACHED_CHARS = 1 << 24
 
 
@@ -37,8 +38,9 @@ class WordTokenizer:
     """Ids as little-endian unsigned integers: 16 bits, or 32 if the vocabulary is larger.
 
     For a tokenizer that lower-cases, drops white space and merges inside words only
-    (``by_words``), a word's ids don't depend on its neighbours, so each distinct word is
-    encoded once and remembered, within a bound. Otherwise texts are encoded whole.
+    (``by_words``), the ids between two spaces don't depend on what stands around, so each
+    distinct stretch is encoded once and remembered, within a bound. Otherwise texts are
+    encoded whole.
     """
 
     def __init__(self, vocabulary: str, by_words: bool = True):
@@ -47,9 +49,10 @@ class WordTokenizer:
         wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.dtype = np.dtype("<u4" if wide else "<u2")
         self.by_words = by_words
-        vocab = self.tokenizer.get_vocab().items()
-        self.ends_word = np.zeros(1 + max(i for _, i in vocab), bool)
-        self.ends_word[[i for token, i in vocab if token.endswith(WORD_END)]] = True
+        # What the model sees of each character: its bytes, as letters.
+        shown = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        usual = (chr(i) for i in range(33, 0x130))
+        self.shown = {ord(x): shown(x)[0][0] for x in usual if not _UNUSUAL.search(x)}
         self.known: dict[str, bytes] = {}
         self.chars = 0
 
@@ -57,26 +60,35 @@ class WordTokenizer:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, self.dtype).tobytes() for x in found]
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """As ``_encode``, but in one call: each word's last token has the word-end mark."""
-        ids = np.frombuffer(self._encode([" ".join(words)])[0], self.dtype)
-        ends = np.flatnonzero(self.ends_word[ids]) + 1
-        if len(ends) != len(words):
-            return self._encode(words)
-        return [part.tobytes() for part in np.split(ids, ends[:-1])]
+    def _encode_word(self, word: str) -> bytes:
+        """As ``_encode``, for a lower-case word that the model gets whole."""
+        tokens = self.tokenizer.model.tokenize(word.translate(self.shown))
+        return array(self.dtype.char, [token.id for token in tokens]).tobytes()
+
+    def _learn(self, stretches: set[str]) -> None:
+        """Remember the ids of texts without white space, and of the words in them."""
+        known = self.known
+        for x in stretches:
+            words = _WORD_PIECES.findall(x)
+            for word in words:
+                if word not in known:
+                    known[word] = self._encode_word(word)
+                    self.chars += len(word) + 32
+            if len(words) > 1:
+                known[x] = b"".join([known[word] for word in words])
+                self.chars += len(x) + 32
 
     def ids(self, text: str) -> bytes:
         if not self.by_words or _UNUSUAL.search(text):
             return self._encode([text])[0]
-        pieces = _WORD_PIECES.findall(text.lower())
-        try:
-            return b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:
-            pass
-        if self.chars > _CACHED_CHARS:
-            self.known.clear()
-            self.chars = 0
-        unknown = [piece for piece in set(pieces) if piece not in self.known]
-        self.known.update(zip(unknown, self._encode_words(unknown), strict=True))
-        self.chars += sum(map(len, unknown)) + 32 * len(unknown)
-        return b"".join(map(self.known.__getitem__, pieces))
+        stretches = text.lower().split()
+        found = list(map(self.known.get, stretches))
+        if None in found:
+            if self.chars > _CACHED_CHARS:
+                self.known.clear()
+                self.chars = 0
+            unknown = [i for i, ids in enumerate(found) if ids is None]
+            self._learn({stretches[i] for i in unknown})
+            for i in unknown:
+                found[i] = self.known[stretches[i]]
+        return b"".join(found)
