@@ -1,10 +1,12 @@
 """The pipeline's stages, each against a brute-force version on its own input."""
 
+import random
+
 import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from test_operators import _brute_components, _brute_hits, _brute_lines
+from test_operators import _brute_components, _brute_hits, _brute_lines, _sentence
 
 
 def _rows(frame):
@@ -51,6 +53,40 @@ def test_stages_take_effect_and_lose_nothing_else(spark, small, tmp_path):
             assert not total
 
 
+def _five_word_components(rows):
+    sets = {}
+    for doc, text in rows:
+        words = text.lower().split()
+        size = min(5, len(words))
+        sets[doc] = {tuple(words[i : i + size]) for i in range(len(words) - size + 1)}
+    group = {doc: doc for doc in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            both = len(sets[a] & sets[b])
+            if a < b and 100 * both >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((group[a], group[b]))
+                group = {d: low if g == high else g for d, g in group.items()}
+    return group
+
+
+def test_near_copies_go_by_five_words_and_four_fifths(spark, small):
+    rng = random.Random(8)
+    rows = []
+    for _ in range(30):
+        base = _sentence(rng, 104)
+        rows += [base, base + " " + _sentence(rng, rng.choice([15, 18, 20, 25, 26, 40]))]
+        words = base.split()
+        for at in rng.sample(range(104), rng.randint(1, 3)):
+            words[at] = "edited"
+        rows.append(" ".join(words))
+    rows = list(enumerate(rows))
+    assert any(len(text.split()) == 124 for _, text in rows)  # 100 of 120 shingles
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, small).collect()}
+    groups = _five_word_components(rows)
+    assert got == {doc for doc, group in groups.items() if doc == group}
+
+
 def test_run_equals_the_stages(spark, small):
     pieces = corpus_pipeline.run(spark, small).collect()
     assert pieces and {r.sequence_id for r in pieces} == set(
