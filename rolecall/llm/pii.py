@@ -10,8 +10,11 @@ Base spans are nodes whose label is given. Labels come from loopy message passin
 the document's graph; base spans always stay.
 
 Each token is linked to the one before it and, by each of its keys, to the last token of
-that key, so the graph grows with the text and not with the square of the repeats. The
-weights are set by hand below: no labelled spans exist to learn them from.
+that key and to a base span of each kind that has it, so that the evidence doesn't fade
+with the number of repeats, and the graph grows with the text and not with the square of
+the repeats. Digits written with blanks are one token where they are the end of a base
+span's digits. Messages are passed until they settle. The weights are set by hand below:
+no labelled spans exist to learn them from.
 
 Defined results: a null text is empty; texts without a digit or an @ have no spans;
 places are code points; equal texts get equal spans; any length of text is read whole.
@@ -19,6 +22,7 @@ places are code points; equal texts get equal spans; any length of text is read
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -38,6 +42,8 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MAYBE = re.compile("[0-9@]")
 _TOKEN = re.compile(r"[^\s,;|<>\"']+")
+_NUMBER = re.compile(r"[0-9().+/-]+")
+_BLANKS = re.compile(r"\)?[ \t\xa0]+([-./][ \t\xa0]+)?")
 _NOT_DIGIT = re.compile("[^0-9]")
 _NOT_ALNUM = re.compile("[^a-z0-9]")
 
@@ -46,11 +52,13 @@ _NOT_ALNUM = re.compile("[^a-z0-9]")
 LONE = 2.0  # for "none"
 SHAPE = 1.0  # for a kind whose shape the token has
 MISFIT = -4.0  # for a kind whose shape it can't have
-GIVEN = 12.0  # for the label of a base span
 SKIP = 2.5  # for equal labels of repeated or similar tokens
 CHAIN = 0.3  # for equal labels of neighbours
-ROUNDS, DAMPING, SURE = 12, 0.3, 0.5
+DAMPING, SURE = 0.3, 0.5
+SETTLED = 1e-6  # the greatest change of a message in the last round
+PATIENCE = 200  # rounds after which steps shrink, so that messages that swing settle too
 TAIL = 7  # digits at the end by which numbers resemble each other
+LONGEST = 19  # digits of the longest base span
 
 
 def _luhn(digits: str) -> bool:
@@ -119,7 +127,7 @@ def _keys(token: str) -> Iterator[str]:
 
 
 def beliefs(unary: np.ndarray, edges: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Label probabilities of each node, by loopy sum-product message passing.
+    """Label probabilities of each node, by loopy sum-product message passing till it settles.
 
     An edge gives exp(weight) where its ends agree, and 1 elsewhere.
     """
@@ -130,14 +138,21 @@ def beliefs(unary: np.ndarray, edges: np.ndarray, weights: np.ndarray) -> np.nda
     node = np.exp(unary - unary.max(axis=1, keepdims=True))
     message = np.full((len(ends), kinds), 1 / kinds)
     agree = np.expm1(both)[:, None]
-    for _ in range(ROUNDS):
+    step, change = 1 - DAMPING, np.inf
+    for done in itertools.count():
+        if not len(ends) or change <= SETTLED:
+            break
         logs = np.log(message)
         total = np.log(node)
         np.add.at(total, ends[:, 1], logs)
         out = np.exp(_levelled(total[ends[:, 0]] - logs[back]))
         fresh = out.sum(axis=1, keepdims=True) + agree * out
         fresh /= fresh.sum(axis=1, keepdims=True)
-        message = DAMPING * message + (1 - DAMPING) * fresh
+        if done >= PATIENCE:
+            step *= 0.98
+        moved = step * (fresh - message)
+        change = np.abs(moved).max()
+        message += moved
     total = np.log(node)
     np.add.at(total, ends[:, 1], np.log(message))
     out = np.exp(_levelled(total))
@@ -148,6 +163,39 @@ def _levelled(logs: np.ndarray) -> np.ndarray:
     return logs - logs.max(axis=1, keepdims=True)
 
 
+def _joined(
+    text: str, tokens: list[tuple[int, int]], base: list[tuple[int, int, int]]
+) -> list[tuple[int, int]]:
+    """Tokens, numbers in a row joined where together they end a base span's digits."""
+    ends = set()
+    for a, kind, b in base:
+        if KINDS[kind] in ("card", "phone"):
+            digits = _NOT_DIGIT.sub("", text[a:b])
+            ends.update(digits[i:] for i in range(len(digits) - TAIL + 1))
+    if not ends:
+        return tokens
+    out = []  # (start, end, digits, whether it may follow the one before over blanks)
+    for a, b in tokens:
+        number = bool(_NUMBER.fullmatch(text, a, b))
+        digits = _NOT_DIGIT.sub("", text[a:b]) if number else ""
+        follows = bool(
+            number and out and out[-1][2] and _BLANKS.fullmatch(text, out[-1][1], a)
+        )
+        out.append((a, b, digits, follows))
+        first, whole, best = len(out) - 1, digits, None
+        while out[first][3] and len(whole) < LONGEST:
+            first -= 1
+            whole = out[first][2] + whole
+            if whole in ends:
+                best = first
+        if best is not None:
+            # Nothing is joined to it on its left any more; it ends the row.
+            start = out[best][0]
+            del out[best:]
+            out.append((start, b, "", False))
+    return [(a, b) for a, b, _, _ in out]
+
+
 def added_spans(
     text: str, base: list[tuple[int, int, int]]
 ) -> list[tuple[int, int, int]]:
@@ -158,32 +206,52 @@ def added_spans(
     covered = np.zeros(len(text) + 1, np.int8)
     for a, b, _ in nodes:
         covered[a:b] = 1
+    tokens = []
     for m in _TOKEN.finditer(text):
         a, b = m.span()
         while b > a and text[b - 1] in ".:!?)":
             b -= 1
         if _MAYBE.search(text, a, b) and not covered[a:b].any():
-            nodes.append((a, b, None))
+            tokens.append((a, b))
+    nodes += [(a, b, None) for a, b in _joined(text, tokens, base)]
     nodes.sort(key=lambda n: (n[0], n[1], n[2] is None, n[2] or 0))
+    given: dict[str, dict[int, int]] = {}  # key: kind: its first base span
+    for i, (a, b, kind) in enumerate(nodes):
+        if kind is not None:
+            for key in _keys(text[a:b]):
+                given.setdefault(key, {}).setdefault(kind, i)
     unary, edges, weights, last = [], [], [], {}
     for i, (a, b, kind) in enumerate(nodes):
         weight = _shape(text[a:b])
         if kind is not None:
             weight = [0.0] * len(LABELS)
-            weight[kind + 1] = GIVEN
         unary.append(weight)
         if i:
             edges.append((i - 1, i))
             weights.append(CHAIN)
         for key in _keys(text[a:b]):
+            linked = set(given.get(key, {}).values()) if kind is None else set()
             if key in last:
-                edges.append((last[key], i))
+                linked.add(last[key])
+            for other in sorted(linked):
+                edges.append((other, i))
                 weights.append(SKIP)
             last[key] = i
     if len(nodes) == len(base):
         return []
+    # What a base span tells a neighbour is known, and nothing moves its own label.
+    free = []
+    for (x, y), weight in zip(edges, weights):
+        if nodes[x][2] is None and nodes[y][2] is None:
+            free.append((x, y, weight))
+        elif nodes[x][2] is None:
+            unary[x][nodes[y][2] + 1] += weight
+        elif nodes[y][2] is None:
+            unary[y][nodes[x][2] + 1] += weight
     chances = beliefs(
-        np.array(unary), np.array(edges).reshape(-1, 2), np.array(weights)
+        np.array(unary),
+        np.array([(x, y) for x, y, _ in free], np.int64).reshape(-1, 2),
+        np.array([weight for _, _, weight in free]),
     )
     found = []
     for (a, b, kind), chance in zip(nodes, chances):

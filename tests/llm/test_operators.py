@@ -334,6 +334,34 @@ def test_the_model_labels_repeats_and_leaves_others_alone():
     assert pii.added_spans("lone number 10175557713", []) == []
 
 
+@pytest.mark.parametrize("copies", [1, 3, 4, 5, 13, 40, 100, 1000])
+@pytest.mark.parametrize(
+    "base, form",
+    [
+        ("+1 (017) 555-7713", "10175557713"),
+        ("+1 (017) 555-7713", "5557713"),
+        ("+1 (017) 555-7713", "555 7713"),
+        ("+1 (017) 555-7713", "(017) 555 7713"),
+        ("+1 (017) 555-7713", "017 555 - 7713"),
+        ("4539148803436467", "4539  1488  0343 6467"),
+        ("jo.doe@some-site.org", "jo_doe@some-site/org"),
+    ],
+)
+def test_all_repeats_of_a_base_span_are_labelled(base, form, copies):
+    for between in ("; ", "; or 24, in 2024, ", " or "):
+        text = base + between + between.join([form] * copies)
+        found = pii.base_spans(text)
+        assert [text[a:b] for a, _, b in found] == [base]
+        added = pii.added_spans(text, found)
+        assert [text[a:b] for a, _, b in added] == [form] * copies
+        assert {kind for _, kind, _ in added} == {found[0][1]}
+
+
+def test_repeats_without_a_base_span_stay_unlabelled():
+    text = "+1 (017) 555-7713; " + "order 881 2345, 8812345; " * 50
+    assert pii.added_spans(text, pii.base_spans(text)) == []
+
+
 def test_message_passing_equals_enumeration_on_a_tree():
     rng = np.random.default_rng(0)
     unary, edges = rng.normal(size=(4, 5)), np.array([[0, 1], [1, 2], [1, 3]])
