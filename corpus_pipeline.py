@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rolecall.llm.decontamination import decontaminate
-from rolecall.llm.language_id import UNDETERMINED, learn, with_language
+from rolecall.llm.language_id import UNDETERMINED, has_letter, learn, with_language
 from rolecall.llm.line_dedup import dedup_lines
 from rolecall.llm.ngram_join import ngram_components
 from rolecall.llm.packing import pack_documents
@@ -22,9 +22,15 @@ from rolecall.llm.scratch import forget, written
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without text, go; missing labels are filled in."""
+    """Documents without a letter, or without text, go; missing labels are filled in.
+
+    If no language could be learnt, all documents with a letter stay, labels as they are.
+    """
     forget(spark)
-    found = with_language(docs, learn(docs), into="_language")
+    network = learn(docs)
+    if not network.languages:
+        return docs.where(has_letter(docs["text"]))
+    found = with_language(docs, network, into="_language")
     kept = found.where(F.col("_language.lang_pred") != UNDETERMINED)
     lang = F.coalesce("lang", "_language.lang_pred")
     return kept.withColumn("lang", lang).select(*docs.columns)

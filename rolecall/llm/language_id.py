@@ -217,6 +217,22 @@ def learn(
     return train(samples, seed)
 
 
+def _lettered(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        yield pa.array([any(map(str.isalpha, x.as_py() or "")) for x in batch], pa.bool_())
+
+
+_lettered.__annotations__ = {
+    "batches": Iterator[pa.Array],
+    "return": Iterator[pa.Array],
+}
+
+
+def has_letter(text_col: Column) -> Column:
+    """Whether a text has a letter, by the same rule as ``predict``."""
+    return F.arrow_udf(_lettered, returnType="boolean")(text_col)
+
+
 def with_language(
     docs: DataFrame, network: Network, text_col: str = "text", into: str = "language"
 ) -> DataFrame:

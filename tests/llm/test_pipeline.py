@@ -3,9 +3,11 @@
 import random
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from rolecall.llm.language_id import held_out
 from test_operators import _brute_components, _brute_hits, _brute_lines, _sentence
 
 
@@ -87,6 +89,20 @@ def test_near_copies_go_by_five_words_and_four_fifths(spark, small):
     assert got == {doc for doc, group in groups.items() if doc == group}
 
 
+def test_documents_stay_if_no_language_was_learnt(spark, small):
+    rows = [(i, t) for i, t in enumerate([None, "", "12 !?", "ß", "the end", "x1"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bare = docs.selectExpr("*", "cast(null as string) lang")
+    out = corpus_pipeline.keep_known_languages(spark, bare, small)
+    assert out.columns == bare.columns
+    assert sorted((r.doc_id, r.lang) for r in out.collect()) == [(i, None) for i in (3, 4, 5)]
+    # Labels on held-out rows alone teach nothing, and stay.
+    label = F.when(held_out(F.col("doc_id")), F.lit("zz"))
+    many = spark.range(40).selectExpr("id doc_id", "'some text' text").withColumn("lang", label)
+    kept = corpus_pipeline.keep_known_languages(spark, many, small)
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, many.collect()))
+
+
 def test_run_equals_the_stages(spark, small):
     pieces = corpus_pipeline.run(spark, small).collect()
     assert pieces and {r.sequence_id for r in pieces} == set(
