@@ -39,13 +39,14 @@ class WordTokenizer:
 
     For a tokenizer that lower-cases, drops white space and merges inside words only
     (``by_words``), the ids between two spaces don't depend on what stands around, so each
-    distinct stretch is encoded once and remembered, within a bound. Otherwise texts are
-    encoded whole.
+    distinct stretch is encoded once and remembered, within a bound. Otherwise, and where
+    a text holds an added token of the file literally, texts are encoded whole.
     """
 
     def __init__(self, vocabulary: str, by_words: bool = True):
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [token.content.lower() for token in added]
         wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.dtype = np.dtype("<u4" if wide else "<u2")
         self.by_words = by_words
@@ -81,7 +82,10 @@ class WordTokenizer:
     def ids(self, text: str) -> bytes:
         if not self.by_words or _UNUSUAL.search(text):
             return self._encode([text])[0]
-        stretches = text.lower().split()
+        lowered = text.lower()
+        if any(token in lowered for token in self.added):
+            return self._encode([text])[0]
+        stretches = lowered.split()
         found = list(map(self.known.get, stretches))
         if None in found:
             if self.chars > _CACHED_CHARS:

@@ -41,6 +41,15 @@ def test_quick_ids_equal_the_tokenizer_on_latin_texts(plain, quick, text):
     assert np.frombuffer(quick.ids(text), quick.dtype).tolist() == plain(text)
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["a <|endoftext|> b", "<|startoftext|>x<|endoftext|>", "A<|ENDOFTEXT|> b", "a <|endof text|>"],
+)
+def test_added_tokens_in_a_text_are_as_the_file_says(quick, text):
+    want = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(quick.ids(text), quick.dtype).tolist() == want
+
+
 def test_hilbert_curve_visits_every_cell_by_single_steps():
     for dimensions, bits in ((2, 4), (3, 3)):
         cells = np.indices([1 << bits] * dimensions).reshape(dimensions, -1).T
