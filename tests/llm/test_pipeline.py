@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from rolecall.llm.language_id import held_out
-from test_operators import _brute_components, _brute_hits, _brute_lines, _sentence
+from test_llm_operators import _brute_components, _brute_hits, _brute_lines, _sentence
 
 
 def _rows(frame):
