@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rolecall.llm.decontamination import decontaminate
+from rolecall.llm.filter_audit import filter_audit
 from rolecall.llm.language_id import held_out, learn, with_language
 from rolecall.llm.line_dedup import dedup_lines
 from rolecall.llm.ngram_join import ngram_components
@@ -18,6 +19,7 @@ from rolecall.llm.sharding import stratified_shards
 from rolecall.llm.substring_dedup import dedup_passages
 from rolecall.llm.token_output import packed_matrices
 from rolecall.llm.topk_search import exact_top_k
+from rolecall.llm.whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -139,6 +141,24 @@ def _personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whiten(_table(spark, sf_dir, "embeddings"), into="white")
+    each = white.select("vec_id", "white", F.explode("white.components").alias("one"))
+    return each.select(
+        "vec_id",
+        "one.component",
+        "white.n",
+        "white.deviation",
+        "one.whitened",
+        "one.explained",
+        "white.identity_error",
+    )
+
+
+def _filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(_documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": _line_dedup,
     "op2_exact_top_k": _top_k,
@@ -150,6 +170,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": _language,
     "op9_ngram_join": _ngram_join,
     "op10_token_matrices": _token_output,
+    "op12_whitening": _whitening,
+    "op13_filter_audit": _filter_audit,
 }
 
 ORACLES: dict[str, str] = {
@@ -321,4 +343,60 @@ ORACLES: dict[str, str] = {
         FROM scored
         WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
         QUALIFY ROW_NUMBER() OVER best <= 5""",
+    "op13_filter_audit": r"""
+        WITH texts AS (
+          SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents
+        ), worded AS (
+          SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'),
+                                lambda w: w <> '') AS words FROM texts
+        ), judged AS (
+          SELECT doc_id, part,
+            CAST(len(words) < 200 AS INT)
+            + 2 * CAST(100 * len(list_distinct(words)) < 50 * len(words) AS INT)
+            + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g'))
+                       > 3 * length(t) AS INT)
+            + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT)
+            + 16 * CAST(coalesce(doc_id > MIN(doc_id) OVER (PARTITION BY t), FALSE) AS INT)
+            AS fails FROM worded
+        ), told AS (
+          SELECT doc_id, MAX(CAST(quality = 1 AS INT)) AS good,
+                 MAX(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id
+        ), patterns AS (
+          SELECT part, fails, COUNT(*) AS n, SUM(coalesce(good, 0)) AS good,
+                 SUM(coalesce(toxic, 0)) AS toxic
+          FROM judged LEFT JOIN told USING (doc_id) GROUP BY part, fails
+        ), letters AS (
+          SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS name, unnest([1, 2, 4, 8, 16]) AS bit
+        ), orders AS (
+          SELECT a.name || b.name || c.name || d.name || e.name AS filter_order,
+                 [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+          FROM letters a, letters b, letters c, letters d, letters e
+          WHERE (a.bit | b.bit | c.bit | d.bit | e.bit) = 31
+        ), steps AS (
+          SELECT filter_order, unnest(range(1, 6)) AS step, unnest(bits) AS bit,
+                 bits FROM orders
+        ), prefixed AS (
+          SELECT filter_order, step, bit,
+                 CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INT) AS before FROM steps
+        ), counted AS (
+          SELECT part, filter_order, step, bit,
+            SUM(CASE WHEN fails & (before | bit) = 0 THEN n ELSE 0 END) AS kept,
+            SUM(CASE WHEN fails & bit <> 0 AND fails & before = 0 THEN n ELSE 0 END)
+              AS removed,
+            SUM(CASE WHEN fails & bit <> 0 AND fails & before <> 0 THEN n ELSE 0 END)
+              AS redundant,
+            SUM(CASE WHEN fails = bit THEN n ELSE 0 END) AS unique_fails,
+            SUM(CASE WHEN fails & bit <> 0 AND fails & before = 0 THEN good ELSE 0 END)
+              AS good_lost,
+            SUM(CASE WHEN fails & bit <> 0 AND fails & before = 0 THEN toxic ELSE 0 END)
+              AS toxic_lost
+          FROM patterns, prefixed GROUP BY part, filter_order, step, bit
+        )
+        SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept,
+               CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+               CAST(unique_fails AS BIGINT) AS unique_fails,
+               CAST(good_lost AS BIGINT) AS good_lost,
+               CAST(toxic_lost AS BIGINT) AS toxic_lost,
+               CAST(SUM(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+        FROM counted""",
 }
