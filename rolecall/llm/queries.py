@@ -17,6 +17,7 @@ from rolecall.llm.pii import KINDS, with_personal_data
 from rolecall.llm.scratch import written
 from rolecall.llm.sharding import stratified_shards
 from rolecall.llm.substring_dedup import dedup_passages
+from rolecall.llm.suffix_dedup import dedup_substrings
 from rolecall.llm.token_output import packed_matrices
 from rolecall.llm.topk_search import exact_top_k
 from rolecall.llm.whitening import whiten
@@ -141,6 +142,16 @@ def _personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(_documents(spark, sf_dir)).select(
+        "doc_id",
+        "substrings.n_bytes",
+        "substrings.n_removed",
+        "substrings.n_spans",
+        F.sha2("substrings.kept", 256).alias("kept_sha256"),
+    )
+
+
 def _whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     white = whiten(_table(spark, sf_dir, "embeddings"), into="white")
     each = white.select("vec_id", "white", F.explode("white.components").alias("one"))
@@ -170,6 +181,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": _language,
     "op9_ngram_join": _ngram_join,
     "op10_token_matrices": _token_output,
+    "op11_suffix_dedup": _suffix_dedup,
     "op12_whitening": _whitening,
     "op13_filter_audit": _filter_audit,
 }
