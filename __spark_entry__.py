@@ -18,11 +18,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rolecall.functions.derive import at_midnight
 from rolecall.operators.filters import PostingFilter
 from rolecall.operators.ranking import axis_order
-from rolecall.plans import findings, industry, overview, salary, search, trends
+from rolecall.plans import findings, industry, overview, salary, search, sketches, trends
 from rolecall.plans.adhoc import ask
+from rolecall.sources import detect, ingest, quarantine
 from rolecall.sources.ingest import clean
-from rolecall.sources.shared import derived_once
-from rolecall.sources.star import as_delivered, star_postings
+from rolecall.sources.shared import derived_once, label_of, shared_folder
+from rolecall.sources.star import as_delivered, star_postings, write_as_csv
 
 # The parameters that suit the test tables.
 CUT = date(1997, 1, 1)
@@ -30,17 +31,17 @@ INDUSTRY = "Brand#4"
 KEYWORD = "red w"
 WILDCARDS = "r_d%small"
 LEVELS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+# Few postings are paid so well that months and quarters are left empty.
+BEST_PAID = PostingFilter(salary_from=31500, salary_to=None)
 SAMPLE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
 def _optional(name: str) -> ModuleType | None:
-    """A module of the training-data operators, or None where they aren't shipped."""
+    """A module of the training-data operators, or None where it can't be imported."""
     try:
         return import_module(name)
-    except ModuleNotFoundError as missing:
-        if missing.name in (name, "rolecall.llm"):
-            return None
-        raise
+    except ImportError:
+        return None
 
 
 _LLM = _optional("rolecall.llm.queries")
@@ -81,6 +82,90 @@ def _ingest_clean(table: DataFrame) -> DataFrame:
     return cleaned.withColumn(posted, at_midnight(F.col(posted)))
 
 
+def _by_industry(cleaned: DataFrame) -> DataFrame:
+    """A load profile of each industry."""
+    return cleaned.groupBy(F.col("primary_category").alias("industry")).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("average_salary").isNull()).alias("null_salaries"),
+        F.sum("rejected_cells").alias("rejected_cells"),
+        F.sum("salary_maximum").alias("salaries"),
+    )
+
+
+def _folder(table: DataFrame, name: str) -> str:
+    """A shared folder for what a query writes, one for each table."""
+    label = label_of(",".join(sorted(table.inputFiles())))
+    return f"{shared_folder(table.sparkSession)}/{name}-{label}"
+
+
+def _ingest_csv(table: DataFrame) -> DataFrame:
+    """From text files to the clean table, through files on both sides."""
+    spark, path = table.sparkSession, _folder(table, "csv")
+    write_as_csv(as_delivered(table), f"{path}/raw")
+    raw = ingest.read_csv(spark, f"{path}/raw/*/*.txt")
+    ingest.write_postings(clean(raw), f"{path}/clean", by_month=True)
+    return _by_industry(ingest.open_postings(spark, f"{path}/clean"))
+
+
+def _ingest_csv_types(table: DataFrame) -> DataFrame:
+    spark, path = table.sparkSession, _folder(table, "csv-types")
+    write_as_csv(as_delivered(table), path)
+    typed, types = detect.read_csv_detected(spark, f"{path}/*/*.txt")
+    found = spark.createDataFrame(typed.dtypes, "column string, given string")
+    return types.join(found, "column").drop("odd_place")
+
+
+def _ingest_quarantine(table: DataFrame) -> DataFrame:
+    """Both outcomes, row for row."""
+    raw, path = as_delivered(table), _folder(table, "quarantine")
+    kept, held = quarantine.split_postings(raw, path)
+    same = ["title", "categories", F.col("postedCompany_name").alias("company")]
+    return kept.select(
+        F.lit("clean").alias("side"),
+        *same,
+        F.col("average_salary").cast("string").alias("salary"),
+        F.lit("").alias("reasons"),
+    ).unionByName(
+        held.select(
+            F.lit("quarantine").alias("side"),
+            *same,
+            F.col("average_salary").alias("salary"),
+            F.array_join("reasons", ",").alias("reasons"),
+        )
+    )
+
+
+def _ingest_reasons(table: DataFrame) -> DataFrame:
+    path = _folder(table, "reasons")
+    return quarantine.reason_counts(quarantine.split_postings(as_delivered(table), path)[1])
+
+
+def _ingest_months(table: DataFrame) -> DataFrame:
+    """A wrong delivery, a second one, and the first corrected, and once more."""
+    spark, path = table.sparkSession, _folder(table, "months")
+    paid = F.coalesce(F.col("average_salary") > 0, F.lit(False))
+    early = F.col("metadata_originalPostingDate") < F.lit(date(1996, 1, 1))
+    cleaned = table.select(*ingest.CLEAN_SCHEMA.names)
+    for rows, load in (
+        (cleaned.filter(~paid | early), "paid"),
+        (cleaned.filter(~paid), "unpaid"),
+        (cleaned.filter(paid), "paid"),
+        (cleaned.filter(paid), "paid"),
+    ):
+        ingest.load_month_files(rows, path, load)
+    held = ingest.open_months(spark, path)
+    return held.groupBy(at_midnight(F.col("posting_month")).alias("month"), "load").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("average_salary").alias("salaries")
+    )
+
+
+def _sketched_companies(table: DataFrame) -> DataFrame:
+    """Exact counts, and whether the merged sketches come within 2 % of them."""
+    kept = sketches.monthly_sketches(table)
+    errors = sketches.sketch_errors(kept, sketches.monthly_names(table), ["industry"])
+    return errors.select("industry", "companies", (F.col("error") <= 0.02).alias("near"))
+
+
 def _ingest_categories(table: DataFrame) -> DataFrame:
     """Categories of texts of which some are cut short."""
     torn = F.expr("substring(categories, 1, length(categories) - 1)")
@@ -130,11 +215,14 @@ _REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "industry_salary_sample": lambda t: industry.salary_sample(
         t, INDUSTRY, SAMPLE_KEYS, n=1000
     ),
+    "industry_salary_bins": lambda t: industry.salary_round_histogram(t, INDUSTRY),
     # salary
     "salary_heatmap": salary.salary_cells,
     "salary_heatmap_pivot": lambda t: salary.salary_matrix(t, LEVELS),
     "salary_heatmap_levels": lambda t: salary.present_levels(t, LEVELS),
     "salary_box": salary.salary_box,
+    "salary_outliers": lambda t: salary.salary_outliers(t, SAMPLE_KEYS, reach=0.4),
+    "salary_samples": lambda t: salary.salary_samples(t, SAMPLE_KEYS),
     "large_industry_salaries": salary.large_industry_salaries,
     "salary_by_employment": salary.salary_by_employment,
     "top_paying_roles": salary.top_paying_roles,
@@ -145,6 +233,15 @@ _REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "monthly_trend": lambda t: trends.monthly_trend(t, CUT),
     "quarterly_industry_trend": lambda t: trends.quarterly_trend(t, CUT),
     "quarterly_growth": lambda t: trends.quarterly_growth(t, CUT),
+    "monthly_calendar": lambda t: trends.monthly_calendar(t, CUT, BEST_PAID),
+    "quarterly_calendar": lambda t: trends.quarterly_calendar(t, CUT, chosen=BEST_PAID),
+    "sketched_companies": _sketched_companies,
+    "companies_since": lambda t: sketches.exact_companies(
+        sketches.monthly_names(t), ["industry"], since=CUT
+    ),
+    "sketched_postings": lambda t: sketches.rolled_up(
+        sketches.monthly_sketches(t), ["month"], since=CUT
+    ).select(at_midnight(F.col("month")).alias("month"), "postings", "avg_salary"),
     "market_multiple": lambda t: trends.market_multiple(t, CUT, date(1997, 7, 1)),
     "repost_tiers": trends.repost_tiers,
     "application_tiers": trends.application_tiers,
@@ -168,6 +265,7 @@ _REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     ),
     "role_search_count": search.role_count,
     "search_salary_hist": lambda t: search.search_histogram(t, keyword=KEYWORD),
+    "search_salary_bins": lambda t: search.search_round_histogram(t, keyword=KEYWORD),
     # findings
     "seniority_ratio": lambda t: findings.seniority_ratio(t, LEVELS[-1]),
     "industry_rank": findings.industry_rank,
@@ -178,6 +276,12 @@ _REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "ingest_clean": _ingest_clean,
     "ingest_profile": lambda t: _load_profile(clean(as_delivered(t))),
     "ingest_categories": _ingest_categories,
+    "ingest_types": lambda t: detect.detect_types(as_delivered(t), F.col("title")),
+    "ingest_csv": _ingest_csv,
+    "ingest_csv_types": _ingest_csv_types,
+    "ingest_quarantine": _ingest_quarantine,
+    "ingest_reasons": _ingest_reasons,
+    "ingest_months": _ingest_months,
 }
 
 
@@ -326,6 +430,24 @@ _DELIVERED_SQL = """
 )
 """
 
+# The columns whose cell was rejected, in the table's order.
+_REASONS_SQL = """
+, reasoned AS (
+  SELECT *, concat_ws(',',
+    CASE WHEN low_text IS NOT NULL AND low_value IS NULL THEN 'salary_minimum' END,
+    CASE WHEN pay_text IS NOT NULL AND pay_value IS NULL THEN 'average_salary' END,
+    CASE WHEN posted_text IS NOT NULL AND posted_value IS NULL
+         THEN 'metadata_originalPostingDate' END,
+    CASE WHEN reposts_text IS NOT NULL AND reposts_value IS NULL
+         THEN 'metadata_repostCount' END,
+    CASE WHEN apps_text IS NOT NULL AND apps_value IS NULL
+         THEN 'metadata_totalNumberJobApplication' END,
+    CASE WHEN l_suppkey % 41 = 0 THEN 'malformed_row' END,
+    CASE WHEN pay_text IS NULL THEN 'no average_salary' END) AS reasons
+  FROM counted
+)
+"""
+
 _LARGE_SQL = """
 , ranged AS (
   SELECT industry, pay FROM named
@@ -335,6 +457,23 @@ _LARGE_SQL = """
 )
 """
 
+_BOXES_SQL = """
+, boxes AS (
+  SELECT industry, COUNT(*) AS n, quantile_cont(pay, 0.25) AS q1,
+         median(pay) AS median, quantile_cont(pay, 0.75) AS q3
+  FROM ranged WHERE industry IN (SELECT industry FROM large)
+  GROUP BY industry ORDER BY median DESC, industry LIMIT 10
+)
+"""
+
+_CALENDAR_SQL = """
+, best AS (
+  SELECT *, CAST(date_trunc('month', posted) AS DATE) AS month,
+         CAST(date_trunc('quarter', posted) AS DATE) AS quarter
+  FROM named WHERE posted >= DATE '1997-01-01' AND pay >= 31500
+)
+"""
+
 _TOP_PAYING_SQL = """
 , best AS (
   SELECT title, industry, round(AVG(pay), 0) AS avg_salary, COUNT(*) AS postings
@@ -373,6 +512,89 @@ def _hist_sql(rows: str, low: int, high: int) -> str:
     """
 
 
+def _bins_sql(rows: str, low: int, high: int, most: int) -> str:
+    """Bins of the smallest round width that gives at most so many."""
+    return f"""
+    , inside AS (
+      SELECT CAST(floor(pay) AS BIGINT) AS cell FROM {rows} AND pay >= {low} AND pay <= {high}
+    ), bounds AS (
+      SELECT MIN(cell) AS least, MAX(cell) AS greatest FROM inside
+    ), widths AS (
+      SELECT CAST(f * power(10, p) AS BIGINT) AS width
+      FROM (SELECT unnest([1, 2, 5]) AS f), (SELECT unnest(range(0, 7)) AS p)
+    ), best AS (
+      SELECT MIN(width) AS width FROM widths, bounds
+      WHERE greatest // width - least // width + 1 <= {most}
+    )
+    SELECT cell // width AS bin, CAST(cell // width * width AS DOUBLE) AS bin_from,
+           CAST((cell // width + 1) * width AS DOUBLE) AS bin_to, COUNT(*) AS "count"
+    FROM inside, best GROUP BY 1, 2, 3
+    """
+
+
+# What counts as a whole and as any number.
+_WHOLE = "regexp_matches(cell, '^[+-]?[0-9]{1,18}$')"
+_NUMBER = "regexp_matches(cell, '^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$')"
+_FITS = {
+    "bigint": _WHOLE,
+    "boolean": "lower(cell) IN ('true', 'false')",
+    "date:MM/dd/yyyy": "try_strptime(cell, '%m/%d/%Y') IS NOT NULL",
+    "date:dd/MM/yyyy": "try_strptime(cell, '%d/%m/%Y') IS NOT NULL",
+    "date:yyyy-MM-dd": "try_strptime(cell, '%Y-%m-%d') IS NOT NULL",
+    "double": _NUMBER,
+    "int": f"coalesce({_WHOLE} AND TRY_CAST(cell AS INT) IS NOT NULL, FALSE)",
+}
+_NARROWEST = [
+    "boolean", "int", "bigint", "double",
+    "date:yyyy-MM-dd", "date:dd/MM/yyyy", "date:MM/dd/yyyy",
+]
+_DELIVERED_CELLS = {
+    "title": "title",
+    "categories": "categories",
+    "postedCompany_name": "company",
+    "positionLevels": "level",
+    "employmentTypes": "type",
+    "salary_minimum": "low_text",
+    "salary_maximum": "CAST(high AS VARCHAR)",
+    "average_salary": "pay_text",
+    "metadata_originalPostingDate": "posted_text",
+    "metadata_repostCount": "reposts_text",
+    "metadata_totalNumberJobApplication": "apps_text",
+}
+
+
+def _types_sql(more: str) -> str:
+    """Each column's type; the fits are listed by name, which settles ties."""
+    cells = " UNION ALL ".join(
+        f"SELECT '{name}' AS \"column\", nullif(trim({text}), '') AS cell, title FROM delivered"
+        for name, text in _DELIVERED_CELLS.items()
+    )
+    fits = ", ".join(
+        f"{{'misfits': COUNT(*) FILTER (WHERE cell IS NOT NULL AND NOT {test}), 'kind': '{kind}', "
+        f"'odd_cell': MIN(cell) FILTER (WHERE NOT {test}), "
+        f"'odd_place': MIN(title) FILTER (WHERE cell IS NOT NULL AND NOT {test})}}"
+        for kind, test in _FITS.items()
+    )
+    listed = ", ".join(f"'{kind}'" for kind in _NARROWEST)
+    return f"""
+    , cells AS ({cells}), told AS (
+      SELECT "column", COUNT(cell) AS cells, COUNT(*) - COUNT(cell) AS empty,
+             [{fits}] AS fits FROM cells GROUP BY "column"
+    ), judged AS (
+      SELECT *, coalesce(list_filter([{listed}], lambda k: cells > 0 AND len(list_filter(
+               fits, lambda f: f.kind = k AND f.misfits = 0)) > 0)[1], 'string') AS kind,
+             list_sort(list_filter(fits, lambda f: f.misfits > 0 AND f.misfits < cells))[1]
+               AS near
+      FROM told
+    )
+    SELECT "column", CASE WHEN kind LIKE 'date:%' THEN 'date' ELSE kind END AS type,
+           CASE WHEN kind LIKE 'date:%' THEN substr(kind, 6) END AS date_format,
+           cells, empty, near.kind AS nearest, near.misfits AS misfits,
+           near.odd_cell AS odd_cell{more}
+    FROM judged
+    """
+
+
 def _tier_sql(name: str, cases: str, where: str) -> str:
     return f"""
     SELECT CASE {cases} END AS {name}, COUNT(*) AS "count",
@@ -453,6 +675,7 @@ _ORACLES: dict[str, str] = {
         ORDER BY md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)),
                  l_orderkey, l_linenumber, l_partkey, l_suppkey, pay
         LIMIT 1000""",
+    "industry_salary_bins": _bins_sql("named WHERE industry = 'Brand#4'", 500, 30000, 40),
     "salary_heatmap": _CELLS_SQL
     + "SELECT * FROM cells WHERE industry IN (SELECT industry FROM leaders)",
     "salary_heatmap_pivot": _CELLS_SQL
@@ -467,13 +690,8 @@ _ORACLES: dict[str, str] = {
     + ", ".join(f"'{level}'" for level in LEVELS)
     + "], seniority) AS BIGINT) AS ordinal FROM cells",
     "salary_box": _LARGE_SQL
+    + _BOXES_SQL
     + """
-        , boxes AS (
-          SELECT industry, COUNT(*) AS n, quantile_cont(pay, 0.25) AS q1,
-                 median(pay) AS median, quantile_cont(pay, 0.75) AS q3
-          FROM ranged WHERE industry IN (SELECT industry FROM large)
-          GROUP BY industry ORDER BY median DESC, industry LIMIT 10
-        )
         SELECT industry, n AS "count", q1, median, q3, MIN(pay) AS minimum,
                MIN(pay) FILTER (WHERE pay >= q1 - 1.5 * (q3 - q1)) AS whisker_low,
                MAX(pay) FILTER (WHERE pay <= q3 + 1.5 * (q3 - q1)) AS whisker_high,
@@ -482,6 +700,24 @@ _ORACLES: dict[str, str] = {
                                    OR pay > q3 + 1.5 * (q3 - q1)) AS outliers
         FROM ranged JOIN boxes USING (industry)
         GROUP BY industry, n, q1, median, q3""",
+    "salary_outliers": _LARGE_SQL
+    + _BOXES_SQL
+    + """
+        SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, industry,
+               pay AS average_salary
+        FROM named JOIN boxes USING (industry)
+        WHERE pay >= 500 AND pay <= 20000
+          AND (pay < q1 - 0.4 * (q3 - q1) OR pay > q3 + 0.4 * (q3 - q1))
+        QUALIFY ROW_NUMBER() OVER (PARTITION BY industry ORDER BY md5(
+          concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)),
+          l_orderkey, l_linenumber, l_partkey, l_suppkey, pay) <= 50""",
+    "salary_samples": """
+        SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, industry,
+               pay AS average_salary
+        FROM named WHERE industry IS NOT NULL AND pay >= 500 AND pay <= 20000
+        QUALIFY ROW_NUMBER() OVER (PARTITION BY industry ORDER BY md5(
+          concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)),
+          l_orderkey, l_linenumber, l_partkey, l_suppkey, pay) <= 100""",
     "large_industry_salaries": _LARGE_SQL
     + """
         SELECT industry, pay AS average_salary FROM ranged
@@ -511,6 +747,41 @@ _ORACLES: dict[str, str] = {
                CAST(q.postings AS DOUBLE) / p.postings - 1 AS growth
         FROM quarters q LEFT JOIN quarters p
           ON p.industry = q.industry AND p.quarter = q.quarter - INTERVAL 3 MONTH""",
+    "monthly_calendar": _CALENDAR_SQL
+    + """
+        , spine AS (
+          SELECT unnest(generate_series((SELECT MIN(month) FROM best),
+                 (SELECT MAX(month) FROM best), INTERVAL 1 MONTH)) AS month
+        )
+        SELECT CAST(s.month AS TIMESTAMP) AS month, COUNT(b.month) AS postings,
+               round(AVG(pay), 0) AS avg_salary, COUNT(DISTINCT company) AS companies
+        FROM spine s LEFT JOIN best b ON CAST(s.month AS DATE) = b.month GROUP BY 1""",
+    "quarterly_calendar": _CALENDAR_SQL
+    + """
+        , spine AS (
+          SELECT industry, unnest(generate_series(MIN(quarter), MAX(quarter),
+                 INTERVAL 3 MONTH)) AS quarter
+          FROM best WHERE industry IS NOT NULL GROUP BY industry
+        ), filled AS (
+          SELECT s.industry, CAST(s.quarter AS TIMESTAMP) AS quarter,
+                 COUNT(b.quarter) AS postings
+          FROM spine s LEFT JOIN best b
+            ON s.industry = b.industry AND CAST(s.quarter AS DATE) = b.quarter
+          GROUP BY 1, 2
+        )
+        SELECT *, lag(postings) OVER w AS previous,
+               CAST(postings AS DOUBLE) / nullif(lag(postings) OVER w, 0) - 1 AS growth
+        FROM filled WINDOW w AS (PARTITION BY industry ORDER BY quarter)""",
+    "sketched_companies": """
+        SELECT industry, COUNT(DISTINCT company) AS companies, TRUE AS near
+        FROM named WHERE pay > 0 GROUP BY industry""",
+    "companies_since": """
+        SELECT industry, COUNT(DISTINCT company) AS companies
+        FROM named WHERE pay > 0 AND posted >= DATE '1997-01-01' GROUP BY industry""",
+    "sketched_postings": """
+        SELECT CAST(date_trunc('month', posted) AS TIMESTAMP) AS month,
+               COUNT(*) AS postings, round(AVG(pay), 0) AS avg_salary
+        FROM named WHERE pay > 0 AND posted >= DATE '1997-01-01' GROUP BY 1""",
     "market_multiple": """
         SELECT COUNT(*) FILTER (WHERE posted < DATE '1997-04-01') AS earlier_postings,
                COUNT(*) FILTER (WHERE posted >= DATE '1997-07-01') AS later_postings,
@@ -556,6 +827,9 @@ _ORACLES: dict[str, str] = {
     "search_salary_hist": _hist_sql(
         "paid WHERE contains(lower(title), 'red w')", 500, 25000
     ),
+    "search_salary_bins": _bins_sql(
+        "paid WHERE contains(lower(title), 'red w')", 500, 25000, 50
+    ),
     "seniority_ratio": """
         , profile AS (
           SELECT level, COUNT(*) AS "count", round(AVG(pay), 0) AS avg_salary
@@ -611,6 +885,34 @@ _ORACLES: dict[str, str] = {
             END)) AS category
           FROM counted)
         WHERE category <> '' GROUP BY category""",
+    "ingest_types": _DELIVERED_SQL + _types_sql(", near.odd_place AS odd_place"),
+    "ingest_csv": _DELIVERED_SQL
+    + """
+        SELECT industry, COUNT(*) AS "rows", COUNT(*) - COUNT(pay_value) AS null_salaries,
+               CAST(SUM(rejected) AS BIGINT) AS rejected_cells, SUM(high) AS salaries
+        FROM counted GROUP BY industry""",
+    "ingest_csv_types": _DELIVERED_SQL
+    + _types_sql(", CASE WHEN kind LIKE 'date:%' THEN 'date' ELSE kind END AS given"),
+    "ingest_quarantine": _DELIVERED_SQL
+    + _REASONS_SQL
+    + """
+        SELECT CASE WHEN reasons = '' THEN 'clean' ELSE 'quarantine' END AS side,
+               title, categories, company, reasons,
+               CASE WHEN reasons = '' THEN CAST(pay_value AS VARCHAR) ELSE pay_text END
+                 AS salary
+        FROM reasoned""",
+    "ingest_reasons": _DELIVERED_SQL
+    + _REASONS_SQL
+    + """
+        SELECT reason, COUNT(*) AS "rows", CAST(0 AS BIGINT) AS files, MIN(title) AS example
+        FROM (SELECT title, unnest(string_split(reasons, ',')) AS reason
+              FROM reasoned WHERE reasons <> '')
+        GROUP BY reason""",
+    "ingest_months": """
+        SELECT CAST(date_trunc('month', posted) AS TIMESTAMP) AS month,
+               CASE WHEN pay > 0 THEN 'paid' ELSE 'unpaid' END AS load,
+               COUNT(*) AS "rows", SUM(pay) AS salaries
+        FROM named GROUP BY 1, 2""",
 }
 
 

@@ -27,10 +27,27 @@ def period_growth(
     if before is not None:
         previous = F.when(F.lag(period).over(order) == before, previous)
     return cells.withColumn("previous", previous).withColumn(
-        "growth", F.col(count).cast("double") / F.col("previous") - 1
+        "growth", F.col(count).cast("double") / F.nullif(F.col("previous"), F.lit(0)) - 1
     )
 
 
+def on_calendar(
+    cells: DataFrame, keys: list[str], period: str, months: int, counts: list[str]
+) -> DataFrame:
+    """``cells`` with a row for every period of each key, from its first to its last.
+
+    Periods are ``months`` apart; missing ones have 0 in ``counts`` and null elsewhere.
+    Each key's span comes from its own cells, and the spine is as long as the calendar,
+    so neither grows with the rows behind the cells; a period that holds nothing anywhere
+    is there too.
+    """
+    span = cells.groupBy(*keys).agg(F.min(period).alias("_first"), F.max(period).alias("_last"))
+    step = F.make_ym_interval(F.lit(0), F.lit(months))
+    named = span.filter(F.col("_first").isNotNull())
+    spine = named.select(*keys, F.explode(F.sequence("_first", "_last", step)).alias(period))
+    return spine.join(cells, [*keys, period], "left").fillna(0, counts).select(*cells.columns)
+
+
 def ratio_to_base(
     groups: DataFrame, key: str, base: str, measure: str, ratio: str
 ) -> DataFrame:

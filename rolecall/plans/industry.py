@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from rolecall.functions.derive import row_count, whole_mean
-from rolecall.operators.distribution import histogram
+from rolecall.operators.distribution import histogram, round_histogram
 from rolecall.operators.percentiles import percentile_profile, value_counts
 from rolecall.operators.ranking import top_k
 from rolecall.operators.sampling import repeatable_sample
@@ -65,6 +65,19 @@ def salary_histogram(
     return histogram(rows, "average_salary", low, high, width)
 
 
+def salary_round_histogram(
+    postings: DataFrame,
+    industry: str,
+    low: float = 500,
+    high: float = 30000,
+    most: int = 40,
+    finest: float = 1,
+) -> DataFrame:
+    """Salaries of the industry in at most ``most`` bins of a round width."""
+    rows = postings.filter(F.col("primary_category") == industry)
+    return round_histogram(rows, "average_salary", low, high, most, finest)
+
+
 def salary_sample(
     postings: DataFrame,
     industry: str,

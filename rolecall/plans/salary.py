@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from rolecall.functions.derive import row_count, whole_mean
 from rolecall.model import LEVELS
-from rolecall.operators.distribution import box_stats, quartiles
+from rolecall.operators.distribution import box_stats, outlier_rows, quartiles
 from rolecall.operators.filters import USUAL_SALARIES, PostingFilter
 from rolecall.operators.percentiles import percentile_profile, value_counts
 from rolecall.operators.ranking import (
@@ -17,6 +17,7 @@ from rolecall.operators.ranking import (
     top_groups,
     top_k,
 )
+from rolecall.operators.sampling import repeatable_sample
 
 
 def salary_cells(
@@ -85,12 +86,23 @@ def large_industry_salaries(
     return in_large_groups(rows, "industry", more_than)
 
 
-def _named_between(postings: DataFrame, low: float, high: float) -> DataFrame:
+def salary_samples(
+    postings: DataFrame, keys: list[str], n: int = 100, low: float = 500, high: float = 20000
+) -> DataFrame:
+    """At most n raw salaries of every industry, in a fixed pseudo-random choice."""
+    rows = _named_between(postings, low, high, keys)
+    return repeatable_sample(rows, keys, n, by=["industry"])
+
+
+def _named_between(
+    postings: DataFrame, low: float, high: float, keys: list[str] | None = None
+) -> DataFrame:
     rows = postings.filter(
         F.col("primary_category").isNotNull()
         & F.col("average_salary").between(low, high)
     )
-    return rows.select(F.col("primary_category").alias("industry"), "average_salary")
+    industry = F.col("primary_category").alias("industry")
+    return rows.select(*(keys or []), industry, "average_salary")
 
 
 def salary_box(
@@ -106,13 +118,38 @@ def salary_box(
     """
     rows = _named_between(postings, low, high)
     counts = value_counts(rows, ["industry"], "average_salary")
-    boxes = quartiles(counts, "industry", "average_salary")
-    boxes = boxes.filter(F.col("n") > more_than)
-    top = top_k(boxes, "median", k, "industry").drop("mean")
+    top = _top_boxes(counts, more_than, k)
     stats = box_stats(counts, top, "industry", "average_salary")
     return few_in_order(stats, F.desc("median"), *ties("industry"))
 
 
+def _top_boxes(counts: DataFrame, more_than: int, k: int) -> DataFrame:
+    boxes = quartiles(counts, "industry", "average_salary")
+    boxes = boxes.filter(F.col("n") > more_than)
+    return top_k(boxes, "median", k, "industry").drop("mean")
+
+
+def salary_outliers(
+    postings: DataFrame,
+    keys: list[str],
+    n: int = 50,
+    more_than: int = 500,
+    k: int = 10,
+    low: float = 500,
+    high: float = 20000,
+    reach: float = 1.5,
+) -> DataFrame:
+    """The points beside the boxes of ``salary_box``: at most n of each industry.
+
+    (industry, average_salary) and the columns ``keys``, by whose hash the n are chosen.
+    ``reach`` is how many interquartile ranges from the box a point must be.
+    """
+    counts = value_counts(_named_between(postings, low, high), ["industry"], "average_salary")
+    top = _top_boxes(counts, more_than, k)
+    rows = _named_between(postings, low, high, keys)
+    return outlier_rows(rows, top, "industry", "average_salary", keys, n, reach)
+
+
 def salary_by_employment(postings: DataFrame) -> DataFrame:
     """Mean and median salary per employment type, best paid first."""
     rows = postings.filter(

@@ -11,7 +11,7 @@ from rolecall.functions.text import (
     money_text,
     one_decimal_text,
 )
-from rolecall.operators.distribution import histogram
+from rolecall.operators.distribution import histogram, round_histogram
 from rolecall.operators.filters import USUAL_SALARIES, PostingFilter
 from rolecall.operators.ranking import ties
 
@@ -114,3 +114,18 @@ def search_histogram(
     """Salaries of all matching postings, also those in groups below 3 postings."""
     rows = _matching(postings, chosen, keyword, wildcards)
     return histogram(rows, "average_salary", low, high, width)
+
+
+def search_round_histogram(
+    postings: DataFrame,
+    chosen: PostingFilter = USUAL_SALARIES,
+    keyword: str = "",
+    low: float = 500,
+    high: float = 25000,
+    most: int = 50,
+    finest: float = 1,
+    wildcards: bool = False,
+) -> DataFrame:
+    """As ``search_histogram``, in at most ``most`` bins of a round width."""
+    rows = _matching(postings, chosen, keyword, wildcards)
+    return round_histogram(rows, "average_salary", low, high, most, finest)

@@ -15,7 +15,8 @@ from rolecall.functions.derive import (
     row_count,
     whole_mean,
 )
-from rolecall.operators.comparison import period_growth
+from rolecall.operators.comparison import on_calendar, period_growth
+from rolecall.operators.filters import PostingFilter
 from rolecall.operators.ranking import few_in_order, keep_groups, ties, top_groups
 
 _POSTED = "metadata_originalPostingDate"
@@ -52,16 +53,50 @@ def monthly_trend(postings: DataFrame, since: date = SERIES_START) -> DataFrame:
 
     The cut is made on the rows, where the scan can use it, and equals a cut on months.
     """
+    months = _monthly(postings, since).withColumn("month", at_midnight(F.col("month")))
+    return few_in_order(months, "month")
+
+
+def _monthly(postings: DataFrame, since: date) -> DataFrame:
     rows = postings.filter(
         _posted(postings, _month_start_from(since)) & (F.col("average_salary") > 0)
     )
-    grouped = rows.groupBy(month_of(F.col(_POSTED)).alias("month")).agg(
+    return rows.groupBy(month_of(F.col(_POSTED)).alias("month")).agg(
         row_count().alias("postings"),
         whole_mean(F.col("average_salary")).alias("avg_salary"),
         F.count_distinct("postedCompany_name").alias("companies"),
     )
-    months = grouped.withColumn("month", at_midnight(F.col("month")))
-    return few_in_order(months, "month")
+
+
+def monthly_calendar(
+    postings: DataFrame, since: date = SERIES_START, chosen: PostingFilter | None = None
+) -> DataFrame:
+    """As ``monthly_trend``, with every month from the first posting to the last.
+
+    A month without postings has counts of 0 and no mean. ``chosen`` narrows the postings.
+    """
+    cells = _monthly(chosen.apply(postings) if chosen else postings, since)
+    months = on_calendar(cells, [], "month", 1, ["postings", "companies"])
+    return few_in_order(months.withColumn("month", at_midnight(F.col("month"))), "month")
+
+
+def quarterly_calendar(
+    postings: DataFrame,
+    since: date = SERIES_START,
+    k: int | None = None,
+    chosen: PostingFilter | None = None,
+) -> DataFrame:
+    """Quarter-over-quarter growth per industry on a complete calendar.
+
+    Every industry has a row for each quarter from its first to its last posting, empty
+    ones with 0 postings; growth after an empty quarter is null, into one it is -1.
+    """
+    cells = _quarterly(chosen.apply(postings) if chosen else postings, since)
+    if k is not None:
+        cells = keep_groups(cells, top_groups(cells, "industry", "postings", k), "industry")
+    cells = on_calendar(cells, ["industry"], "quarter", 3, ["postings"])
+    grown = period_growth(cells, "industry", "quarter", "postings")
+    return grown.withColumn("quarter", at_midnight(F.col("quarter")))
 
 
 def _quarterly(postings: DataFrame, since: date) -> DataFrame:

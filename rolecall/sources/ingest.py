@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from rolecall.functions.derive import category_list, primary_category
 from rolecall.model import CATEGORY_LIST_TYPE, CLEAN_SCHEMA, POSTING_SCHEMA
 
 MALFORMED_ROW = "malformed_row"
+MALFORMED_TEXT = "malformed_text"
+SOURCE_FILE = "source_file"
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, multi_line: bool = True, with_source: bool = False
+) -> DataFrame:
     """Raw CSV with a header, every column as text, empty cells as null.
 
     Files whose headers differ, in names or order, fail the read. A row of too few or
-    too many cells is marked in ``malformed_row``, which ``clean`` counts. Quotes inside
-    a cell are doubled. ``multi_line`` is needed where a cell may hold a
-    line break; a file is then read by one task, so deliver a large feed as many files,
-    or switch it off where no cell holds one.
+    too many cells is marked in ``malformed_row``, which ``clean`` counts; with
+    ``with_source`` its whole text stands in ``malformed_text``, and every row's file in
+    ``source_file``. Quotes inside a cell are doubled. ``multi_line`` is needed where a
+    cell may hold a line break; a file is then read by one task, so deliver a large
+    feed as many files, or switch it off where no cell holds one.
     """
     reader = spark.read.option("header", True).option("quote", '"').option("escape", '"')
     reader = reader.option("multiLine", multi_line).option("emptyValue", "")
@@ -29,13 +36,19 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFra
         .option("columnNameOfCorruptRecord", MALFORMED_ROW)
         .csv(path)
     )
+    source = [
+        F.col(MALFORMED_ROW).alias(MALFORMED_TEXT),
+        F.col("_metadata.file_path").alias(SOURCE_FILE),
+    ]
     return raw.select(
         *[F.nullif(F.col(f"`{name}`"), F.lit("")).alias(name) for name in names],
         F.col(MALFORMED_ROW).isNotNull().alias(MALFORMED_ROW),
+        *(source if with_source else []),
     )
 
 
-def _typed(text: Column, kind: T.DataType, date_format: str | None) -> Column:
+def _typed(source: Column, kind: T.DataType, date_format: str | None) -> Column:
+    text = source.cast("string")
     if isinstance(kind, T.DateType) and date_format:
         return F.try_to_date(text, date_format)
     if isinstance(kind, T.IntegerType):
@@ -43,12 +56,36 @@ def _typed(text: Column, kind: T.DataType, date_format: str | None) -> Column:
         number = text.try_cast("double")
         return F.when(number == F.floor(number), number.try_cast("int"))
     if isinstance(kind, T.DoubleType):
-        # NaN and infinities are no salaries, and would spoil every mean.
-        number = text.try_cast(kind)
-        return F.when(F.abs(number) < F.lit(float("inf")), number)
+        return _finite(text.try_cast(kind))
     return text.try_cast(kind)
 
 
+def _finite(number: Column) -> Column:
+    """NaN and infinities are no salaries, and would spoil every mean."""
+    return F.when(F.abs(number) < F.lit(float("inf")), number)
+
+
+def typed_cells(
+    raw: DataFrame, date_format: str | None = None
+) -> tuple[list[Column], dict[str, Column]]:
+    """The typed columns, and for each column whether a cell was rejected."""
+    typed, rejected = [], {}
+    for field in POSTING_SCHEMA.fields:
+        source = F.col(field.name)
+        if raw.schema[field.name].dataType != field.dataType:
+            value = _typed(source, field.dataType, date_format)
+        elif isinstance(field.dataType, T.DoubleType):
+            value = _finite(source)
+        else:
+            typed.append(source)
+            continue
+        typed.append(value.alias(field.name))
+        rejected[field.name] = source.isNotNull() & value.isNull()
+    if MALFORMED_ROW in raw.columns:
+        rejected[MALFORMED_ROW] = F.col(MALFORMED_ROW)
+    return typed, rejected
+
+
 def clean(
     raw: DataFrame, date_format: str | None = None, with_category_list: bool = False
 ) -> DataFrame:
@@ -56,25 +93,16 @@ def clean(
 
     A cell whose text does not fit its type becomes null and is counted in
     ``rejected_cells``; a malformed row counts as one more. Columns already typed are
-    taken as they are.
+    taken as they are, but for numbers that aren't finite.
     """
-    typed, rejected = [], []
-    for field in POSTING_SCHEMA.fields:
-        source = F.col(field.name)
-        if raw.schema[field.name].dataType == field.dataType:
-            typed.append(source)
-            continue
-        value = _typed(source.cast("string"), field.dataType, date_format)
-        typed.append(value.alias(field.name))
-        rejected.append((source.isNotNull() & value.isNull()).cast("int"))
-    if MALFORMED_ROW in raw.columns:
-        rejected.append(F.col(MALFORMED_ROW).cast("int"))
-    lists = [category_list(F.col("categories")).alias("category_list")]
+    typed, rejected = typed_cells(raw, date_format)
     return raw.select(
         *typed,
         primary_category(F.col("categories")).alias("primary_category"),
-        sum(rejected, F.lit(0)).cast("int").alias("rejected_cells"),
-        *(lists if with_category_list else []),
+        sum((flag.cast("int") for flag in rejected.values()), F.lit(0))
+        .cast("int")
+        .alias("rejected_cells"),
+        *([category_list(F.col("categories")).alias("category_list")] * with_category_list),
     )
 
 
@@ -113,3 +141,62 @@ def open_postings(
     if with_category_list:
         schema = schema.add("category_list", T.DataType.fromDDL(CATEGORY_LIST_TYPE))
     return spark.read.schema(schema).parquet(path)
+
+
+def load_month_files(postings: DataFrame, path: str, load: str) -> DataFrame:
+    """Adds one delivery of clean postings to a table split by month and delivery.
+
+    Rewrites this delivery's part of the months it holds, and removes its part of months
+    that it held before and no longer does; nothing else is touched or read. So
+    loading a delivery twice, or a corrected one later, gives the same table as loading
+    the last version once, and a lost job is simply run again. Months are evened out as
+    in ``write_postings``. Returns the delivery's months and rows:
+    (posting_month, rows), a row without a date under null.
+    """
+    if not re.fullmatch(r"[\w.-]+", load):
+        raise ValueError(f"a delivery's name is part of a folder's: {load!r}")
+    spark = postings.sparkSession
+    month = F.trunc("metadata_originalPostingDate", "month")
+    rows = postings.withColumn("posting_month", month).withColumn("load", F.lit(load))
+    held = _months_of(spark, path, load)
+    stale = sorted(set(held) - _months_in(rows)) if held else []
+    order = ["posting_month", "primary_category", "metadata_originalPostingDate"]
+    (
+        rows.hint("rebalance", "posting_month")
+        .sortWithinPartitions(*order)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("posting_month", "load")
+        .parquet(path)
+    )
+    for name in stale:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/posting_month={name}/load={load}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    loaded = open_months(spark, path).filter(F.col("load") == load)
+    return loaded.groupBy("posting_month").agg(F.count(F.lit(1)).alias("rows"))
+
+
+_NO_MONTH = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _months_in(rows: DataFrame) -> set[str]:
+    """The names of the month folders that rows go to: one for each month there is."""
+    found = rows.select(F.col("posting_month").cast("string").alias("m")).distinct().collect()
+    return {row["m"] or _NO_MONTH for row in found}
+
+
+def _months_of(spark: SparkSession, path: str, load: str) -> list[str]:
+    """The month folders that hold a part of a delivery, from the names alone."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/posting_month=*/load={load}")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    names = [status.getPath().getParent().getName() for status in found or []]
+    return [name.split("=", 1)[1] for name in names]
+
+
+def open_months(spark: SparkSession, path: str) -> DataFrame:
+    """A table made by ``load_month_files``: the clean columns, posting_month and load."""
+    schema = T.StructType(
+        [*CLEAN_SCHEMA.fields, T.StructField("posting_month", T.DateType()),
+         T.StructField("load", T.StringType())]
+    )
+    return spark.read.schema(schema).parquet(path)

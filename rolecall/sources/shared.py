@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from collections.abc import Callable
 from threading import Lock
 
@@ -12,9 +13,33 @@ from pyspark.sql.types import StructType
 from rolecall.sources.ingest import write_postings
 
 _written: dict[tuple[str, str], tuple[str, StructType]] = {}
+_temporary: dict[str, str] = {}
 _lock = Lock()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this application below ``spark.checkpoint.dir``.
+
+    Only where that is unset and all tasks run in this process, as in tests, it is a
+    temporary folder of this machine.
+    """
+    application = spark.conf.get("spark.app.id")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that executors share")
+        with _lock:
+            if application not in _temporary:
+                _temporary[application] = tempfile.mkdtemp(prefix="rolecall-")
+            root = f"file://{_temporary[application]}"
+    return f"{root.rstrip('/')}/rolecall/{application}"
+
+
+def label_of(name: str) -> str:
+    """A short name for a folder."""
+    return hashlib.sha1(name.encode()).hexdigest()[:16]
+
+
 def derived_once(
     spark: SparkSession, name: str, build: Callable[[], DataFrame]
 ) -> DataFrame:
@@ -30,8 +55,7 @@ def derived_once(
     application = spark.conf.get("spark.app.id")
     with _lock:
         if (application, name) not in _written:
-            label = hashlib.sha1(name.encode()).hexdigest()[:16]
-            path = f"{root.rstrip('/')}/rolecall/{application}/{label}"
+            path = f"{root.rstrip('/')}/rolecall/{application}/{label_of(name)}"
             files = spark.conf.get("spark.rolecall.ingest.files", None)
             table = build()
             write_postings(table, path, files=int(files) if files else None)

@@ -113,3 +113,22 @@ def as_delivered(postings: DataFrame) -> DataFrame:
         for name in POSTING_SCHEMA.names
     ]
     return postings.select(*cells, _every("l_suppkey", 41).alias(MALFORMED_ROW))
+
+
+def write_as_csv(delivered: DataFrame, path: str, files: int = 4) -> None:
+    """The delivered table as CSV files with a header; malformed rows get a cell too many.
+
+    Cells with quotes, commas or blanks at their ends come back as they are.
+    """
+    names = [name for name in delivered.columns if name != MALFORMED_ROW]
+    cells = [F.col(name) for name in names]
+    options = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false",
+               "ignoreTrailingWhiteSpace": "false"}
+    line = F.to_csv(F.struct(*cells), options)
+    line = F.when(F.col(MALFORMED_ROW), F.concat(line, F.lit(",surplus"))).otherwise(line)
+    file = F.pmod(F.xxhash64(*cells), F.lit(files)).cast("int")
+    lines = delivered.select(file.alias("file"), F.lit(1).alias("place"), line.alias("value"))
+    spark = delivered.sparkSession
+    heads = spark.range(files).selectExpr("cast(id as int) file", "0 place", f"'{','.join(names)}' value")
+    whole = lines.unionByName(heads).repartition(files, "file").sortWithinPartitions("file", "place")
+    whole.select("file", "value").write.mode("overwrite").partitionBy("file").text(path)
