@@ -572,7 +572,7 @@ def _types_sql(more: str) -> str:
     fits = ", ".join(
         f"{{'misfits': COUNT(*) FILTER (WHERE cell IS NOT NULL AND NOT {test}), 'kind': '{kind}', "
         f"'odd_cell': MIN(cell) FILTER (WHERE NOT {test}), "
-        f"'odd_place': MIN(title) FILTER (WHERE cell IS NOT NULL AND NOT {test})}}"
+        f"'odd_place': arg_min(title, {{'c': cell, 't': title}}) FILTER (WHERE NOT {test})}}"
         for kind, test in _FITS.items()
     )
     listed = ", ".join(f"'{kind}'" for kind in _NARROWEST)

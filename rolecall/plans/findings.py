@@ -28,6 +28,9 @@ def industry_rank(postings: DataFrame) -> DataFrame:
     grouped = rows.groupBy(F.col("primary_category").alias("industry")).agg(
         row_count().alias("postings"), whole_mean(F.col("average_salary")).alias("avg_salary")
     )
+    # Every industry has a mean. Asking for it keeps both measures in all readers, so that
+    # these share one scan and one shuffle.
+    grouped = grouped.filter((F.col("postings") > 0) & F.col("avg_salary").isNotNull())
     ranked = with_dense_rank(grouped, "postings", "volume_rank")
     ranked = with_dense_rank(ranked, "avg_salary", "salary_rank")
     both = F.col("volume_rank") + F.col("salary_rank")

@@ -19,16 +19,40 @@ _BOOKKEEPING = {MALFORMED_ROW, MALFORMED_TEXT, SOURCE_FILE}
 _INT = (-(2**31), 2**31 - 1)
 
 
-def _tests(cell: Column, date_formats: tuple[str, ...]) -> dict[str, Column]:
-    """Candidate types, narrowest first, and whether a cell fits each."""
-    whole = F.when(cell.rlike(WHOLE), cell.try_cast("bigint"))
-    return {
-        "boolean": cell.rlike(TRUTH),
-        "int": F.coalesce(whole.between(*_INT), F.lit(False)),
-        "bigint": whole.isNotNull(),
-        "double": cell.rlike(NUMBER),
-        **{f"date:{f}": _date(cell, f).isNotNull() for f in date_formats},
-    }
+# The widest cell that any number, date or truth value is looked for in.
+_LONGEST = 40
+
+
+def _misfit_bits(cell: Column, date_formats: tuple[str, ...]) -> Column:
+    """One bit for each candidate type that a cell doesn't fit; 0 for an empty cell.
+
+    Asks for the commonest shapes first, so that most cells meet one pattern or two.
+    """
+    kinds = _kinds(date_formats)
+    every = (1 << len(kinds)) - 1
+
+    def but(*fitting: str) -> Column:
+        return F.lit(every - sum(1 << kinds.index(kind) for kind in fitting))
+
+    whole = cell.rlike(WHOLE)
+    dates = F.lit(every)
+    for date_format in date_formats:
+        bit = 1 << kinds.index(f"date:{date_format}")
+        dates = dates - F.when(_date(cell, date_format).isNotNull(), bit).otherwise(0)
+    return (
+        F.when(cell.isNull(), 0)
+        .when(F.length(cell) > _LONGEST, every)
+        .when(whole & cell.try_cast("bigint").between(*_INT), but("int", "bigint", "double"))
+        .when(whole, but("bigint", "double"))
+        .when(cell.rlike(NUMBER), but("double"))
+        .when(cell.rlike(TRUTH), but("boolean"))
+        .otherwise(dates)
+    )
+
+
+def _kinds(date_formats: tuple[str, ...]) -> list[str]:
+    """Candidate types, narrowest first."""
+    return ["boolean", "int", "bigint", "double", *[f"date:{f}" for f in date_formats]]
 
 
 def _date(cell: Column, date_format: str) -> Column:
@@ -49,8 +73,8 @@ def detect_types(
     that every cell fits, else string; blanks around a cell don't count, empty cells
     fit all, and a column of these only is a string. ``nearest`` is the type that fits
     some cells but not all and has the fewest ``misfits`` (ties by name); ``odd_cell`` is
-    the least of these, and ``odd_place`` the least ``place`` of one: a column or an
-    expression, or the source file if there is one.
+    the least of these, and ``odd_place`` its least ``place``: a column or an expression,
+    or the source file if there is one.
 
     One scan and one aggregation give all of it, however many columns there are: partial
     counts are combined from all tasks, so a single odd cell anywhere changes the type.
@@ -58,24 +82,29 @@ def detect_types(
     names = [f.name for f in raw.schema.fields if f.name not in _BOOKKEEPING]
     if place is None:
         place = F.col(SOURCE_FILE) if SOURCE_FILE in raw.columns else F.lit(None).cast("string")
-    kinds = list(_tests(F.lit(""), date_formats))
+    kinds = _kinds(date_formats)
+    cells = [
+        F.nullif(F.trim(F.col(f"`{name}`").cast("string")), F.lit("")).alias(f"cell_{i}")
+        for i, name in enumerate(names)
+    ]
+    rows = raw.select(place.cast("string").alias("place"), *cells)
+    bits = [_misfit_bits(F.col(f"cell_{i}"), date_formats) for i in range(len(names))]
+    rows = rows.select("*", *[bit.alias(f"bits_{i}") for i, bit in enumerate(bits)])
     counts = []
-    for i, name in enumerate(names):
-        cell = F.nullif(F.trim(F.col(f"`{name}`").cast("string")), F.lit(""))
-        counts.append(F.count(cell).alias(f"cells_{i}"))
-        for j, fits in enumerate(_tests(cell, date_formats).values()):
-            odd = cell.isNotNull() & ~fits
-            found = F.struct(F.count_if(odd), F.min(F.when(odd, cell)), F.min(F.when(odd, place)))
-            counts.append(found.alias(f"odd_{i}_{j}"))
-    one = raw.agg(F.count(F.lit(1)).alias("rows"), *counts)
+    for i in range(len(names)):
+        counts.append(F.count(f"cell_{i}").alias(f"cells_{i}"))
+        for j in range(len(kinds)):
+            odd = F.col(f"bits_{i}").bitwiseAND(1 << j) != 0
+            least = F.min(F.when(odd, F.struct(F.col(f"cell_{i}").alias("cell"), "place")))
+            counts += [F.count_if(odd).alias(f"odd_{i}_{j}"), least.alias(f"least_{i}_{j}")]
+    one = rows.agg(F.count(F.lit(1)).alias("rows"), *counts)
 
     def misfit(i: int, j: int) -> Column:
-        odd = F.col(f"odd_{i}_{j}")
         return F.struct(
             F.lit(kinds[j]).alias("type"),
-            odd["col1"].alias("cells"),
-            odd["col2"].alias("example"),
-            odd["col3"].cast("string").alias("place"),
+            F.col(f"odd_{i}_{j}").alias("cells"),
+            F.col(f"least_{i}_{j}")["cell"].alias("example"),
+            F.col(f"least_{i}_{j}")["place"].alias("place"),
         )
 
     columns = F.array(
