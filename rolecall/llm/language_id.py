@@ -3,9 +3,10 @@
 Bytes are embedded; filters two, three and four bytes wide run over windows of fixed
 length; each filter's greatest response in a window goes through one softmax layer. The
 network is trained in numpy on a bounded sample of labelled rows: at most
-``docs_per_language`` rows of each of the ``max_languages`` most frequent labels, chosen
-by a hash of the id, and the first ``sample_chars`` characters of each. A text's
-prediction is the mean over all its windows, weighted by their lengths.
+``docs_per_language`` rows of each label, and ``max_docs`` of all (but one at least of
+each), chosen by a hash of the id; of a long text, ``pieces`` stretches from places
+all over it, chosen by a hash too. A text's prediction is the mean over all its windows,
+weighted by their lengths.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, and so is
 every text if nothing was learnt; rows without id or label teach nothing; equal texts
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 WINDOW, EMBED, FILTERS, WIDTHS = 256, 6, 8, (2, 3, 4)
 WIDEST = max(WIDTHS)
@@ -169,52 +170,61 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(crc % 4 == 2, F.lit(False))
 
 
+def _stretches(text: Column, id_col: Column, pieces: int, seed: int) -> Column:
+    """The text itself if it isn't longer than ``pieces`` windows, else as many of it.
+
+    A piece is short enough to fill one window even if many characters take two bytes.
+    """
+    size = WINDOW * 3 // 4
+    beyond = F.char_length(text) - size + 1
+
+    def piece(k: Column) -> Column:
+        place = F.pmod(F.xxhash64(F.lit(seed), id_col, k), beyond.cast("long"))
+        return F.substr(text, (place + 1).cast("int"), F.lit(size))
+
+    cut = F.transform(F.sequence(F.lit(1), F.lit(pieces)), piece)
+    return F.when(F.char_length(text) <= pieces * WINDOW, F.array(text)).otherwise(cut)
+
+
 def learn(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
     docs_per_language: int = 300,
-    sample_chars: int = 1024,
-    max_languages: int = 64,
+    pieces: int = 5,
+    max_docs: int = 20_000,
     seed: int = 42,
 ) -> Network:
-    """Train on a bounded sample of the labelled rows that aren't held out."""
+    """Train on a bounded sample of the labelled rows that aren't held out.
+
+    Every label found is learnt, however many there are.
+    """
     usable = docs.where(docs[id_col].isNotNull() & ~held_out(docs[id_col]))
     usable = usable.where(docs[lang_col].isNotNull() & docs[text_col].isNotNull())
-    counts = (
-        usable.groupBy(docs[lang_col].alias("lang"))
-        .count()
-        .orderBy(F.desc("count"), "lang")
-        .limit(max_languages)
-        .collect()
-    )
-    if not counts:
+    labels = usable.groupBy(docs[lang_col].alias("lang")).count().orderBy("lang").collect()
+    if not labels:
         return train([])
-    # Twice as many as wanted are expected below this share of the hash.
-    share = F.lit(0.0)
-    for row in counts:
-        part = min(1.0, 2 * docs_per_language / row["count"])
-        share = F.when(docs[lang_col] == row["lang"], part).otherwise(share)
+    per_label = max(1, min(docs_per_language, max_docs // len(labels)))
+    # Twice as many as wanted, and a few, are expected below a label's share of the hash.
+    shares = []
+    for row in labels:
+        part = min(1.0, (2 * per_label + 20) / row["count"])
+        shares += [F.lit(row["lang"]), F.lit(int(part * (1 << 30)))]
     draw = F.pmod(F.xxhash64(F.lit(seed), docs[id_col]), F.lit(1 << 30))
-    rows = (
-        usable.where(draw < share * (1 << 30))
-        .select(
-            draw.alias("draw"),
-            docs[id_col].alias("id"),
-            docs[lang_col].alias("lang"),
-            F.substring(docs[text_col], 1, sample_chars).alias("sample"),
-        )
-        .orderBy("draw", "id", "sample")
-        .limit(4 * docs_per_language * len(counts))
-        .collect()
+    text = docs[text_col]
+    drawn = usable.where(draw < F.create_map(*shares)[docs[lang_col]]).select(
+        draw.alias("draw"),
+        docs[id_col].cast("string").alias("id"),
+        docs[lang_col].alias("lang"),
+        _stretches(text, docs[id_col], pieces, seed).alias("sample"),
+    )
+    order = Window.partitionBy("lang").orderBy("draw", "id", "sample")
+    rows = drawn.withColumn("place", F.row_number().over(order)).where(
+        F.col("place") <= per_label
     )
-    taken, samples = {}, []
-    for row in sorted(rows, key=lambda r: (r["draw"], str(r["id"]), r["sample"])):
-        if taken.setdefault(row["lang"], 0) < docs_per_language:
-            taken[row["lang"]] += 1
-            samples.append((row["sample"], row["lang"]))
-    return train(samples, seed)
+    taken = rows.select("lang", "place", "sample").orderBy("lang", "place").collect()
+    return train([(piece, row["lang"]) for row in taken for piece in row["sample"]], seed)
 
 
 def _lettered(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -258,4 +268,5 @@ def with_language(
         "return": Iterator[pa.Array],
     }
     udf = F.arrow_udf(predict, returnType="struct<lang_pred: string, score: double>")
-    return docs.withColumn(into, udf(docs[text_col]))
+    # Called so, it isn't evaluated once more for a filter on its result.
+    return docs.withColumn(into, udf.asNondeterministic()(docs[text_col]))

@@ -18,8 +18,9 @@ every word, if there are ``window`` of them, and no first place is ever in a cop
 
 Windows have 64-bit hashes. Defined results: a null text has no words; documents of
 fewer words than a window lose none; a row without id loses none and takes none; rows
-that share an id are one document, and get the removals of that id; an empty table
-gives an empty result.
+equal in id and text are one document; rows that share an id but not the text are
+documents of their own, in the order of their texts' digests; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from rolecall.llm.identity import distinct_ids
 from rolecall.llm.scratch import written
 from rolecall.llm.text import Words, runs
 
@@ -174,8 +176,10 @@ def dedup_passages(
         levels.append(2 * levels[-1])
     if levels[-1] != window or len(levels) < 2:
         raise ValueError("window must be base doubled once or more")
-    texts = docs.where(docs[id_col].isNotNull()).select(
-        docs[id_col].cast("long").alias("doc"), docs[text_col].alias("t")
+    columns = [c for c in docs.columns if c != into]
+    docs = distinct_ids(docs, id_col, text_col, "_document")
+    texts = docs.where("_document IS NOT NULL").select(
+        F.col("_document").alias("doc"), docs[text_col].alias("t")
     )
     copies = written(_copies(texts, window), "copies")
     bases = written(_repeated(_base_places(texts, base, window)), "repeated")
@@ -196,7 +200,7 @@ def dedup_passages(
         F.collect_list("pos").alias("places")
     )
     marks = written(marks, "marks")
-    return _applied(docs, marks, copies, id_col, text_col, window, into)
+    return _applied(docs, columns, marks, copies, text_col, window, into)
 
 
 def _surviving(bases: DataFrame, repeated: DataFrame, length: int) -> DataFrame:
@@ -212,7 +216,7 @@ def _surviving(bases: DataFrame, repeated: DataFrame, length: int) -> DataFrame:
     )
 
 
-def _applied(docs, marks, copies, id_col, text_col, window, into) -> DataFrame:
+def _applied(docs, columns, marks, copies, text_col, window, into) -> DataFrame:
     def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             counts, removed, kept = [], [], []
@@ -248,8 +252,8 @@ def _applied(docs, marks, copies, id_col, text_col, window, into) -> DataFrame:
         apply, returnType="struct<n_words: long, n_removed: long, kept: string>"
     )
     rows = docs.select(
-        F.struct(*[docs[c] for c in docs.columns if c != into]).alias("row"),
-        docs[id_col].cast("long").alias("doc"),
+        F.struct(*[docs[c] for c in columns]).alias("row"),
+        docs["_document"].alias("doc"),
         docs[text_col].alias("body"),
     )
     what = marks.select("holder", "places", F.lit(False).alias("whole")).unionByName(

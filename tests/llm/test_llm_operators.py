@@ -413,3 +413,38 @@ def test_language_edges(spark):
     # Labels of held-out rows are never read.
     secret = docs.withColumn("lang", F.when(language_id.held_out(F.col("doc_id")), "zz"))
     assert language_id.learn(secret).languages == []
+
+
+def test_every_label_is_learnt_however_many_there_are(spark):
+    rows = [(i, f"{'abcdefghij'[i % 7] * 9} {i % 70} " * 5, f"l{i % 70}") for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    network = language_id.learn(docs, docs_per_language=3)
+    assert network.languages == sorted({f"l{k}" for k in range(70)})
+    few = language_id.learn(docs, max_docs=10)  # at least one row of each label
+    assert few.languages == network.languages
+
+
+def test_training_pieces_come_from_all_over_a_text(spark):
+    text = "".join(chr(0x100 + i // 8) for i in range(8000))
+    docs = spark.createDataFrame([(k, text) for k in range(40)] + [(99, "short")], "doc_id long, text string")
+    pieces = docs.select("doc_id", language_id._stretches(F.col("text"), F.col("doc_id"), 5, 1).alias("p"))
+    found = {r.doc_id: r.p for r in pieces.collect()}
+    assert found.pop(99) == ["short"]
+    places = [text.index(p) for ps in found.values() for p in ps]
+    assert all(len(p) == 192 for ps in found.values() for p in ps) and len(places) == 200
+    assert min(places) < 800 and max(places) > 7000
+
+
+def test_passages_of_rows_that_share_an_id(spark):
+    rng = random.Random(12)
+    a, b, c = (_sentence(rng, 40) for _ in range(3))
+    rows = [(1, a), (5, a), (5, b), (5, b), (7, b + " x"), (None, c), (8, c), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = docs.selectExpr("*", "1 AS holder", "2 AS _document_", "'p' AS passages")
+    out = dedup_passages(docs)
+    assert out.columns == ["doc_id", "text", "holder", "_document_", "passages"]
+    got = sorted((str(r.doc_id), r.text or "", r.passages.n_removed) for r in out.collect())
+    # The copy of 1 goes; what only 5 holds stays there, and goes where it stands later.
+    want = [("1", a, 0), ("5", a, 40), ("5", b, 0), ("5", b, 0), ("7", b + " x", 40),
+            ("None", c, 0), ("8", c, 0), ("5", "", 0)]
+    assert got == sorted(want)

@@ -103,6 +103,35 @@ def test_documents_stay_if_no_language_was_learnt(spark, small):
     assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, many.collect()))
 
 
+def test_near_copies_among_rows_that_share_an_id(spark, small):
+    rng = random.Random(9)
+    a, b, c = (_sentence(rng, 60) for _ in range(3))
+    rows = [(1, a, "x"), (5, a + " more", "x"), (5, b, "y"), (5, b, "x"), (7, b, "x"), (9, None, "z"),
+            (9, "", "a"), (None, c, "x"), (None, c, "x"), (8, c, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = corpus_pipeline.drop_near_copies(spark, docs, small)
+    assert out.columns == docs.columns
+    got = sorted((str(r.doc_id), r.text or "", r.source) for r in out.collect())
+    assert got == sorted([("1", a, "x"), ("5", b, "x"), ("9", "", "z"), ("None", c, "x"),
+                          ("None", c, "x"), ("8", c, "x")])
+
+
+def test_no_documents_and_clashing_names(spark, small, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, "the cat sat on the mat", "en", "s", 22), (1, "der hund", "de", "s", 8),
+            (1, "der hund", "de", "s", 8), (None, None, None, None, None)]
+    for k, table in enumerate(([], rows)):
+        docs = spark.createDataFrame(table, schema)
+        docs = docs.selectExpr("*", "1 AS holder", "'w' AS word", "2 AS doc", "3 AS n", "4 AS key")
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, small)
+            if name != "packing":
+                assert out.columns == docs.columns
+            out.write.parquet(f"{tmp_path}/{k}-{name}")
+            docs = spark.read.parquet(f"{tmp_path}/{k}-{name}")
+        assert {r.doc_id for r in docs.collect()} == ({1} if table else set())
+
+
 def test_run_equals_the_stages(spark, small):
     pieces = corpus_pipeline.run(spark, small).collect()
     assert pieces and {r.sequence_id for r in pieces} == set(
