@@ -3,7 +3,9 @@
 Every stage takes (spark, docs, sf_dir) and returns a frame, which is written as Parquet
 and read again as the next stage's ``docs``. All but the last return the columns of
 documents. A stage first removes the working tables of the stage before, whose result
-is written by then.
+is written by then. An empty table goes through all stages and gives no pieces. Columns
+beyond those of documents go along in all but the last, whatever their names, but for
+the five that begin with an underscore here.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rolecall.llm.decontamination import decontaminate
+from rolecall.llm.identity import distinct_ids
 from rolecall.llm.language_id import UNDETERMINED, has_letter, learn, with_language
 from rolecall.llm.line_dedup import dedup_lines
 from rolecall.llm.ngram_join import ngram_components
@@ -21,12 +24,26 @@ from rolecall.llm.packing import pack_documents
 from rolecall.llm.scratch import forget, written
 
 
+# What a task hands to its Python worker at a time: whole texts are large rows.
+BATCH = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
+}
+
+
+def _begin(spark: SparkSession) -> None:
+    """Remove the last stage's working tables, and bound the session's Arrow batches."""
+    forget(spark)
+    for name, value in BATCH.items():
+        spark.conf.set(name, value)
+
+
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or without text, go; missing labels are filled in.
 
     If no language could be learnt, all documents with a letter stay, labels as they are.
     """
-    forget(spark)
+    _begin(spark)
     network = learn(docs)
     if not network.languages:
         return docs.where(has_letter(docs["text"]))
@@ -38,7 +55,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that a smaller document id holds go; the text's length follows."""
-    forget(spark)
+    _begin(spark)
     found = dedup_lines(docs, into="_lines").withColumn("text", F.col("_lines.kept"))
     length = F.char_length("text").cast("long")
     return found.withColumn("n_chars", length).select(*docs.columns)
@@ -48,21 +65,23 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """The smallest id of each group of linked documents stays; so do rows without id.
 
     Documents link when their sets of five-word shingles are similar by 0.8 or more;
-    op9's four words and 85 % are that query's own.
+    op9's four words and 85 % are that query's own. Of rows equal in id and text, the
+    least by its other columns stays; rows that share an id but not the text are
+    documents of their own, in the order of their texts' digests.
     """
-    forget(spark)
-    groups = ngram_components(docs, size=5, percent=80).where("component_id = doc_id")
-    stay = groups.select(F.col("doc_id").alias("_stays"))
-    named = docs.where("doc_id IS NOT NULL").join(
-        stay, F.col("doc_id") == F.col("_stays"), "left_semi"
-    )
-    named = named.dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    _begin(spark)
+    named = distinct_ids(docs.where("doc_id IS NOT NULL"), "doc_id", "text", "_document")
+    groups = ngram_components(named, "_document", size=5, percent=80)
+    stay = groups.where("component_id = doc_id").select(F.col("doc_id").alias("_stays"))
+    kept = named.join(stay, F.col("_document") == F.col("_stays"), "left_semi")
+    row = F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("_row")
+    kept = kept.groupBy("_document").agg(row).select("_row.*")
+    return kept.unionByName(docs.where("doc_id IS NULL"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    forget(spark)
+    _begin(spark)
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate(docs, bench, into="_hits")
     return found.where("_hits.n_hit = 0").select(*docs.columns)
@@ -70,7 +89,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 4096 ids."""
-    forget(spark)
+    _begin(spark)
     path = public_tokenizers.path("word_bpe_49k.json")
     return pack_documents(docs, path, keep_ids=False)
 
