@@ -20,7 +20,7 @@ from rolecall.operators.filters import PostingFilter
 from rolecall.operators.ranking import axis_order
 from rolecall.plans import findings, industry, overview, salary, search, sketches, trends
 from rolecall.plans.adhoc import ask
-from rolecall.sources import detect, ingest, quarantine
+from rolecall.sources import detect, ingest, quarantine, titles
 from rolecall.sources.ingest import clean
 from rolecall.sources.shared import derived_once, label_of, shared_folder
 from rolecall.sources.star import as_delivered, star_postings, write_as_csv
@@ -159,6 +159,28 @@ def _ingest_months(table: DataFrame) -> DataFrame:
     )
 
 
+def _title_index(table: DataFrame) -> str:
+    """The title index over a table, written once per application."""
+    path = _folder(table, "titles")
+    if path not in _indexed:
+        titles.write_title_index(table, path)
+        _indexed.add(path)
+    return path
+
+
+_indexed: set[str] = set()
+
+
+def _search_by_title(table: DataFrame) -> DataFrame:
+    found = titles.postings_with(table.sparkSession, _title_index(table), KEYWORD)
+    return search.role_search(found, keyword=KEYWORD)
+
+
+def _matching_titles(table: DataFrame) -> DataFrame:
+    found = titles.matching_titles(table.sparkSession, _title_index(table), WILDCARDS, True)
+    return found.select("title")
+
+
 def _sketched_companies(table: DataFrame) -> DataFrame:
     """Exact counts, and whether the merged sketches come within 2 % of them."""
     kept = sketches.monthly_sketches(table)
@@ -219,6 +241,7 @@ _REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     # salary
     "salary_heatmap": salary.salary_cells,
     "salary_heatmap_pivot": lambda t: salary.salary_matrix(t, LEVELS),
+    "salary_heatmap_text": lambda t: salary.salary_matrix_text(t, LEVELS, more_than=65),
     "salary_heatmap_levels": lambda t: salary.present_levels(t, LEVELS),
     "salary_box": salary.salary_box,
     "salary_outliers": lambda t: salary.salary_outliers(t, SAMPLE_KEYS, reach=0.4),
@@ -257,6 +280,8 @@ _REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "role_search_filtered": lambda t: search.role_search(
         t, _all_choices(), "red", at_least=1
     ),
+    "role_search_by_title": _search_by_title,
+    "matching_titles": _matching_titles,
     "role_search_wildcards": lambda t: search.role_search(
         t, keyword=WILDCARDS, wildcards=True
     ),
@@ -685,6 +710,14 @@ _ORACLES: dict[str, str] = {
         for level in LEVELS
     )
     + " FROM cells WHERE industry IN (SELECT industry FROM leaders) GROUP BY industry",
+    "salary_heatmap_text": _CELLS_SQL.replace("> 50", "> 65")
+    + "SELECT industry, "
+    + ", ".join(
+        "coalesce('S$' || format('{:,}', CAST(trunc(MAX(avg_salary) FILTER "
+        f"(WHERE seniority = '{level}')) AS BIGINT)), '') AS \"{level}\""
+        for level in LEVELS
+    )
+    + " FROM cells WHERE industry IN (SELECT industry FROM leaders) GROUP BY industry",
     "salary_heatmap_levels": _CELLS_SQL
     + "SELECT DISTINCT seniority AS level, CAST(list_position(["
     + ", ".join(f"'{level}'" for level in LEVELS)
@@ -801,6 +834,9 @@ _ORACLES: dict[str, str] = {
         "apps IS NOT NULL AND pay > 0",
     ),
     "role_search": _roles_sql() + "SELECT * FROM roles",
+    "role_search_by_title": _roles_sql() + "SELECT * FROM roles",
+    "matching_titles": """
+        SELECT DISTINCT title FROM named WHERE lower(title) LIKE '%r_d%small%'""",
     "role_search_low": _roles_sql("avg_salary ASC NULLS LAST") + "SELECT * FROM roles",
     "role_search_most": _roles_sql("cnt DESC") + "SELECT * FROM roles",
     "role_search_all": _roles_sql(where="TRUE") + "SELECT * FROM roles",

@@ -41,6 +41,11 @@ def money_text(amount: Column) -> Column:
     return F.coalesce(F.concat(F.lit(CURRENCY), _whole(amount)), F.lit(MISSING))
 
 
+def cell_text(amount: Column) -> Column:
+    """As ``money_text``, but nothing where the amount is missing."""
+    return F.coalesce(F.concat(F.lit(CURRENCY), _whole(amount)), F.lit(""))
+
+
 def money_range_text(low: Column, high: Column) -> Column:
     return F.coalesce(
         F.concat(F.lit(CURRENCY), _whole(low), F.lit(DASH), _whole(high)),

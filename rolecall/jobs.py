@@ -15,7 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rolecall.operators.filters import PostingFilter
 from rolecall.plans import findings, industry, overview, salary, search, trends
-from rolecall.sources.ingest import clean, open_postings, read_csv, write_postings
+from rolecall.sources.detect import detect_types
+from rolecall.sources.ingest import (
+    clean,
+    load_month_files,
+    open_postings,
+    read_csv,
+    write_postings,
+)
+from rolecall.sources.quarantine import split_postings
 
 REPORTS = {
     report.__name__: report
@@ -24,29 +32,55 @@ REPORTS = {
         overview.salary_bands, overview.salary_band_shares, overview.seniority_profile,
         overview.employment_mix, overview.overview_tiles, overview.category_counts,
         industry.industry_kpis, industry.top_roles, industry.top_companies,
-        industry.salary_histogram,
-        salary.salary_cells, salary.salary_matrix, salary.salary_box,
+        industry.salary_histogram, industry.salary_round_histogram, industry.salary_sample,
+        salary.salary_cells, salary.salary_matrix, salary.salary_matrix_text,
+        salary.present_levels, salary.large_industry_salaries, salary.salary_box,
+        salary.salary_outliers, salary.salary_samples,
         salary.salary_by_employment, salary.top_paying_roles,
-        trends.monthly_trend, trends.quarterly_trend, trends.quarterly_growth,
+        trends.monthly_trend, trends.monthly_calendar, trends.quarterly_trend,
+        trends.quarterly_growth, trends.quarterly_calendar,
         trends.market_multiple, trends.repost_tiers, trends.application_tiers,
         search.role_search, search.role_count, search.search_histogram,
+        search.search_round_histogram,
         findings.seniority_ratio, findings.industry_rank,
         findings.top_companies_overall, findings.load_profile,
     )
 }
 
+# The result of a report, shown as text.
+ROLE_TABLE = search.role_table.__name__
+
 
 def _ingest(spark: SparkSession, options: argparse.Namespace) -> None:
     if options.csv:
-        raw = read_csv(spark, options.csv, multi_line=not options.single_line)
+        source = options.quarantine is not None
+        raw = read_csv(spark, options.csv, not options.single_line, with_source=source)
     else:
         raw = spark.read.parquet(options.parquet)
+    if options.quarantine:
+        kept, _ = split_postings(raw, options.quarantine, date_format=options.date_format)
+        write_postings(kept, options.out, options.by_month)
+        return
     table = clean(raw, options.date_format, options.category_list)
-    write_postings(table, options.out, options.by_month)
+    if options.load:
+        load_month_files(table, options.out, options.load)
+    else:
+        write_postings(table, options.out, options.by_month)
+
+
+def _types(spark: SparkSession, options: argparse.Namespace) -> None:
+    raw = read_csv(spark, options.csv, not options.single_line, with_source=True)
+    detect_types(raw).write.mode("overwrite").parquet(options.out)
 
 
 def run_report(table: DataFrame, options: argparse.Namespace) -> DataFrame:
-    """The named report; options that it does not take, or lacks, are an error."""
+    """The named report; options that it does not take, or lacks, are an error.
+
+    ``role_table`` shows the result of ``role_search``, whose options it takes.
+    """
+    if options.name == ROLE_TABLE:
+        options = argparse.Namespace(**{**vars(options), "name": search.role_search.__name__})
+        return search.role_table(run_report(table, options))
     report = REPORTS[options.name]
     takes = inspect.signature(report).parameters
     choices = {
@@ -65,6 +99,15 @@ def run_report(table: DataFrame, options: argparse.Namespace) -> DataFrame:
         "since": options.since,
         "earlier": options.earlier,
         "later": options.later,
+        "k": options.k,
+        "n": options.n,
+        "limit": options.limit,
+        "at_least": options.at_least,
+        "more_than": options.more_than,
+        "most": options.most,
+        "base": options.base,
+        "keys": options.keys or None,
+        "wildcards": options.wildcards or None,
     }
     given = {k: v for k, v in given.items() if v is not None}
     if unused := [k for k in given if k not in takes]:
@@ -89,9 +132,17 @@ def _parser() -> argparse.ArgumentParser:
     load.add_argument("--date-format")
     load.add_argument("--category-list", action="store_true")
     load.add_argument("--by-month", action="store_true")
+    aside = load.add_mutually_exclusive_group()
+    aside.add_argument("--quarantine", help="folder for the rows that are not clean")
+    aside.add_argument("--load", help="name of this delivery, to add it month by month")
+
+    types = jobs.add_parser("types")
+    types.add_argument("--csv", required=True)
+    types.add_argument("--out", required=True)
+    types.add_argument("--single-line", action="store_true")
 
     report = jobs.add_parser("report")
-    report.add_argument("name", choices=sorted(REPORTS))
+    report.add_argument("name", choices=sorted([*REPORTS, ROLE_TABLE]))
     report.add_argument("--table", required=True)
     report.add_argument("--out", required=True)
     report.add_argument("--category-list", action="store_true")
@@ -103,6 +154,11 @@ def _parser() -> argparse.ArgumentParser:
     report.add_argument("--industry")
     report.add_argument("--keyword")
     report.add_argument("--order", choices=list(search.ORDERS))
+    report.add_argument("--wildcards", action="store_true")
+    report.add_argument("--base", help="the level that others are compared to")
+    report.add_argument("--keys", nargs="*", default=[], help="columns that tell rows apart")
+    for name in ("--k", "--n", "--limit", "--at-least", "--more-than", "--most"):
+        report.add_argument(name, type=int)
     for name in ("--since", "--earlier", "--later"):
         report.add_argument(name, type=date.fromisoformat)
     return parser
@@ -113,6 +169,8 @@ def main(arguments: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName(f"rolecall {options.job}").getOrCreate()
     if options.job == "ingest":
         _ingest(spark, options)
+    elif options.job == "types":
+        _types(spark, options)
     else:
         table = open_postings(spark, options.table, options.category_list)
         run_report(table, options).write.mode("overwrite").parquet(options.out)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from rolecall.functions.derive import row_count, whole_mean
+from rolecall.functions.text import cell_text
 from rolecall.model import LEVELS
 from rolecall.operators.distribution import box_stats, outlier_rows, quartiles
 from rolecall.operators.filters import USUAL_SALARIES, PostingFilter
@@ -65,6 +66,18 @@ def salary_matrix(
     return few_in_order(matrix, "industry")
 
 
+def salary_matrix_text(
+    postings: DataFrame,
+    levels: list[str] = LEVELS,
+    more_than: int = 50,
+    k: int = 12,
+) -> DataFrame:
+    """``salary_matrix`` as text for display; a cell without a mean is empty."""
+    matrix = salary_matrix(postings, levels, more_than, k)
+    shown = [cell_text(F.col(f"`{level}`")).alias(level) for level in levels]
+    return matrix.select("industry", *shown)
+
+
 def present_levels(
     postings: DataFrame, levels: list[str] = LEVELS, more_than: int = 50
 ) -> DataFrame:

@@ -79,6 +79,47 @@ def test_options_that_do_not_fit_are_refused(spark, clean_table, tmp_path, argum
         report(spark, clean_table, tmp_path, *arguments)
 
 
+def test_search_options(spark, clean_table, tmp_path):
+    got = report(
+        spark, clean_table, tmp_path, "role_table", "--keyword", "c_ok", "--wildcards",
+        "--at-least", "1", "--limit", "5",
+    )
+    assert got == [('Cook, "Chef"', "Food", "Executive", "Permanent", "S$2,001",
+                    "S$1,000–S$3,000".replace("–S$", "–"), 1, "5.0")]
+    assert report(spark, clean_table, tmp_path, "role_search", "--keyword", "cook") == []
+    top = report(spark, clean_table, tmp_path, "top_industries", "--k", "1")
+    assert top == [("", 1, 2000.0)]
+    ratio = report(spark, clean_table, tmp_path, "seniority_ratio", "--base", "Manager")
+    assert [r[0] for r in ratio] == ["Manager", "Executive"]
+    sample = report(
+        spark, clean_table, tmp_path, "salary_sample", "--industry", "Food", "--keys", "title"
+    )
+    assert sample == [('Cook, "Chef"', 2000.5)]
+    bins = report(
+        spark, clean_table, tmp_path, "salary_round_histogram", "--industry", "Food", "--most", "9"
+    )
+    assert bins == [(2000, 2000.0, 2001.0, 1)]
+
+
+def test_types_job(spark, csv_file, tmp_path):  # noqa: F811
+    out = str(tmp_path / "types")
+    jobs.main(["types", "--csv", csv_file, "--out", out])
+    found = {r["column"]: r["type"] for r in spark.read.parquet(out).collect()}
+    assert found["extra"] == "int" and found["salary_maximum"] == "int"
+    assert found["average_salary"] == "double" and found["salary_minimum"] == "string"
+
+
+def test_ingest_with_quarantine_and_by_delivery(spark, csv_file, tmp_path):  # noqa: F811
+    out, aside, months = (str(tmp_path / name) for name in ("out", "aside", "months"))
+    jobs.main(["ingest", "--csv", csv_file, "--out", out, "--quarantine", aside])
+    assert [r.title for r in spark.read.parquet(out).collect()] == ['Cook, "Chef"']
+    held = spark.read.parquet(aside).filter("quarantined = 'true'")
+    assert sorted(len(r.reasons) for r in held.collect()) == [1, 3]
+    for _ in range(2):
+        jobs.main(["ingest", "--csv", csv_file, "--out", months, "--load", "file1"])
+    assert spark.read.parquet(months).count() == 3
+
+
 def test_every_report_takes_its_table_first():
     import inspect
 
