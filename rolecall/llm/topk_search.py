@@ -16,7 +16,7 @@ Queries go to the index in blocks of ``block`` rows, each a broadcast of fixed s
 Defined results: vectors that are null, or hold null, NaN or an infinity, take no part,
 nor do rows without id; a missing component counts as 0; a row is no candidate for a
 query of its own id, and rows that share an id ask one query; scores beyond 64 bits
-are cut to the largest number; an empty table gives an empty result.
+raise an error; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ _EXACT = float(1 << 53)
 _LONG = (1 << 63) - 1
 _NONE = -_LONG  # no score
 FOUND = "query_id long, vec_id long, score long"
+RANKED = "query_id long, rank int, vec_id long, score long"
 
 
 def _usable(vector: Column) -> Column:
@@ -64,7 +65,9 @@ def scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
         return (queries @ rows.T).astype(np.int64)
     whole = [np.array([[int(x) for x in r] for r in m], object) for m in (queries, rows)]
     product = whole[0] @ whole[1].T
-    return np.clip(product, _NONE + 1, _LONG).astype(np.int64)
+    if product.size and not _NONE < product.min() <= product.max() <= _LONG:
+        raise OverflowError("scores don't fit in 64 bits")
+    return product.astype(np.int64)
 
 
 class Queries:
@@ -198,7 +201,7 @@ def exact_top_k(
     draw = F.xxhash64(F.lit(seed), "id")
     sample = used.orderBy(draw, "id", "v").limit(pivots).collect()
     if not sample:
-        return vectors.sparkSession.createDataFrame([], f"rank int, {FOUND}")
+        return vectors.sparkSession.createDataFrame([], RANKED)
     pivot_rows = _matrix(pa.array([r["v"] for r in sample], pa.list_(pa.float64())), width)
     pivot_ids = np.array([r["id"] for r in sample])
     # A repeated id isn't certain to be another candidate.
@@ -216,7 +219,7 @@ def exact_top_k(
         found = _search(index, asked)
         parts.append(found if len(rows) < block else written(found, "found"))
     if not parts:
-        return vectors.sparkSession.createDataFrame([], f"rank int, {FOUND}")
+        return vectors.sparkSession.createDataFrame([], RANKED)
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)

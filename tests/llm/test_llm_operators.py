@@ -18,7 +18,7 @@ from rolecall.llm.line_dedup import dedup_lines
 from rolecall.llm.ngram_join import linked, ngram_components
 from rolecall.llm.sharding import stratified_shards
 from rolecall.llm.substring_dedup import dedup_passages
-from rolecall.llm.topk_search import exact_top_k
+from rolecall.llm.topk_search import exact_top_k, scores
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -283,7 +283,17 @@ def test_top_k_against_brute_force(spark, scale):
         want += [(q, rank + 1, c, min(score[c], (1 << 63) - 1)) for rank, c in enumerate(best)]
     got = exact_top_k(frame, pivots=16, block=3).select("query_id", "rank", "vec_id", "score")
     assert sorted(map(tuple, got.collect())) == sorted(want)
-    assert exact_top_k(frame.where("false")).count() == 0
+    for none in (frame.where("false"), frame.where("vec_id = 7")):  # no row, and no query
+        empty = exact_top_k(none)
+        assert empty.columns == got.columns and empty.count() == 0
+
+
+def test_scores_beyond_64_bits_raise():
+    rows = np.full((2, 3), 1e12)
+    with pytest.raises(OverflowError):
+        scores(rows, rows)
+    assert scores(np.full((1, 3), 1e9), np.full((2, 3), -1e9)).tolist() == [[-3 * 10**18] * 2]
+    assert scores(rows, rows[:0]).shape == (2, 0)
 
 
 _PLAIN = [
