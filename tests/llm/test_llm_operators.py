@@ -26,7 +26,7 @@ WORDS = [f"w{i}" for i in range(400)]
 @pytest.fixture(scope="module")
 def connection(medium):
     with duckdb.connect() as open_connection:
-        for name in ("documents", "embeddings", "benchmark"):
+        for name in ("documents", "embeddings", "benchmark", "labels"):
             open_connection.execute(
                 f"CREATE VIEW {name} AS SELECT * FROM '{medium}/{name}.parquet'"
             )
