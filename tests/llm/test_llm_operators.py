@@ -18,7 +18,7 @@ from rolecall.llm.line_dedup import dedup_lines
 from rolecall.llm.ngram_join import linked, ngram_components
 from rolecall.llm.sharding import stratified_shards
 from rolecall.llm.substring_dedup import dedup_passages
-from rolecall.llm.topk_search import exact_top_k, scores
+from rolecall.llm.topk_search import Best, Queries, distances, exact_top_k, scores
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -288,6 +288,39 @@ def test_top_k_against_brute_force(spark, scale):
         assert empty.columns == got.columns and empty.count() == 0
 
 
+def test_groups_of_vectors_are_not_all_scored():
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(60, 32)) * 60
+    rows = np.floor(centres[rng.integers(0, 60, 30_000)] + rng.normal(size=(30_000, 32)) * 5)
+    ids, pivots = np.arange(len(rows)), rows[:128]
+    far = distances(rows, pivots)
+    order = np.lexsort((ids, far.min(axis=1), far.argmin(axis=1)))
+    pivot, distance = far.argmin(axis=1)[order], far.min(axis=1)[order]
+    ids, rows, squares = ids[order], rows[order], (rows[order] ** 2).sum(axis=1)
+    most = np.array([squares[pivot == p].max(initial=-1) for p in range(len(pivots))])
+    asked = np.flatnonzero(ids % 50 == 0)
+    asked = asked[np.argsort(pivot[asked], kind="stable")][:100]  # neighbours, as in a block
+    product = rows[asked] @ rows.T
+    product[np.arange(len(asked)), asked] = -np.inf
+    fifth = np.sort(product, axis=1)[:, -5].astype(np.int64)
+    for to_beat, share in [(None, 0.2), (fifth, 0.1)]:
+        best = Best(Queries(ids[asked], rows[asked], pivots, 5, to_beat))
+        best.search(pivot, distance, ids, squares, rows)
+        assert best.scored < share * len(asked) * len(rows)
+        assert (best.scores[:, -1] == fifth).all()
+    read = np.zeros(len(rows), bool)
+    for p, low, high in Queries(ids[asked], rows[asked], pivots, 5, fifth).ranges(most):
+        read |= (pivot == p) & (low <= distance) & (distance <= high)
+    assert read.mean() < 0.5 and read[(product >= fifth[:, None]).any(axis=0)].all()
+
+
+def test_top_k_of_vectors_beyond_squares(spark):
+    rows = [(50, [0.0, 1.0]), (1, [1e300, 2.0]), (2, [0.0, 3.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = exact_top_k(frame).select("query_id", "rank", "vec_id", "score")
+    assert sorted(map(tuple, got.collect())) == [(50, 1, 2, 768 << 8), (50, 2, 1, 512 << 8)]
+
+
 def test_scores_beyond_64_bits_raise():
     rows = np.full((2, 3), 1e12)
     with pytest.raises(OverflowError):
