@@ -16,15 +16,18 @@ the smallest id that links lead to.
 4. In each cluster a T-occurrence search answers each set's query: DivideSkip sets its
    longest inverted lists aside, merges the short ones, and probes the long ones by
    binary search for those that can still reach T. A large cluster is cut into blocks,
-   and every pair of blocks is a task of its own. Candidates whose class is already the
-   query's are skipped, since the class is the result.
-5. The links found give the components.
-
-Nothing is capped, and shingles have 64-bit hashes. Defined results: a null text or one
-without words has an empty set and links with nothing, not even with its copies; a text
-of fewer words has its whole sequence as its one shingle; a row without id has a null
-class unless other rows link to it; repeated rows get equal results; an empty table
-gives an empty result.
+   and every pair of blocks is a task of its own. Every candidate is verified. A task
+   hands on each class's number of linked documents, and enough links to join all
+   that they join.
+5. These give the components, and with the sizes of the classes each document's links.
+
+Nothing is capped, and shingles have 64-bit hashes. Classes of the same smallest id, which
+only rows that share an id can bring about, are one class in steps 2 to 5. Defined
+results: a null text or one without words has an empty set and links with nothing, not
+even with its copies; a text of fewer words has its whole sequence as its one shingle; a
+row without id has a null class unless other rows link to it, no number of links, and
+counts as nobody's link; repeated rows get equal results and are links of each other; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,7 +46,8 @@ from rolecall.llm.text import Words, runs
 PERCENT = 85
 SLACK = 5  # percent of a set that the first filter asks to be repeated
 BLOCK = 128  # documents of a cluster in one block
-MU = 0.01  # DivideSkip's weight of a probe against a merge step
+MU = 1.0  # DivideSkip's weight of a probe against a merge step
+_STEPS = 1 << 20  # merge steps at a time
 
 
 def shingles(words: Words, size: int) -> np.ndarray:
@@ -117,10 +121,23 @@ def _clusters(classes: DataFrame) -> DataFrame:
     return components(stars.select(F.col("rep").alias("a"), F.col("hub").alias("b")))
 
 
+def _merged(inverted, start, length, n: int, x: int) -> np.ndarray:
+    """How often each rank below ``x`` stands in the lists, by parts of bounded size."""
+    met = np.zeros(x, np.int64)
+    cuts = np.flatnonzero(np.diff(np.cumsum(length) // _STEPS)) + 1
+    for begin, steps in zip(np.split(start, cuts), np.split(length, cuts)):
+        at = np.repeat(begin - np.cumsum(steps) + steps, steps) + np.arange(steps.sum())
+        met += np.bincount(inverted[at] % n, minlength=x)[:x]
+    return met
+
+
 def linked(
     sets: list[np.ndarray], percent: int, blocks: np.ndarray | None = None
-) -> list[tuple[int, int]]:
-    """Links that join all sets which links can join; between blocks only, if given."""
+) -> tuple[np.ndarray, np.ndarray]:
+    """All links, and enough of them to join all that they join; as rows of two places.
+
+    With ``blocks``, only links between different blocks.
+    """
     order = np.array(sorted(range(len(sets)), key=lambda i: (len(sets[i]), i)))
     size = np.array([len(sets[i]) for i in order], np.int64)
     n = len(order)
@@ -129,7 +146,7 @@ def linked(
     # Inverted lists, one after another: token * n + rank, in order.
     inverted = np.sort(token * n + np.repeat(np.arange(n), size))
     begins = np.r_[0, np.cumsum(size)]
-    parent, links = np.arange(n), []
+    parent, links, spanning = np.arange(n), [], []
     for x in range(1, n):
         least = least_overlap(int(size[x]), percent)
         low = int(np.searchsorted(size, least))
@@ -144,26 +161,28 @@ def linked(
         aside = int(min(need - 1, need / (MU * np.log2(longest) + 1)))
         long, short = by_length[:aside], by_length[aside:]
         # Merge the short lists: how often each candidate stands in them.
-        steps = length[short]
-        if not (total := int(steps.sum())):
-            continue
-        at = np.repeat(start[short] - np.cumsum(steps) + steps, steps) + np.arange(total)
-        met = np.bincount(inverted[at] % n, minlength=x)[:x]
+        met = _merged(inverted, start[short], length[short], n, x)
         chosen = np.flatnonzero(met >= max(1, need - aside))
         if blocks is not None:
             chosen = chosen[blocks[order[chosen]] != blocks[order[x]]]
-        chosen = chosen[parent[chosen] != parent[x]]
         if not len(chosen):
             continue
         # Probe the long lists by binary search.
-        wanted = mine[long][:, None] * n + chosen
-        place = np.minimum(np.searchsorted(inverted, wanted), len(inverted) - 1)
-        both = met[chosen] + (inverted[place] == wanted).sum(axis=0)
-        for y in chosen[100 * both >= percent * (size[chosen] + size[x] - both)]:
-            if parent[y] != parent[x]:
-                links.append((int(order[x]), int(order[y])))
-                parent[parent == parent[y]] = parent[x]
-    return links
+        both = met[chosen]
+        for probed in np.array_split(long, len(long) * len(chosen) // _STEPS + 1):
+            wanted = mine[probed][:, None] * n + chosen
+            place = np.minimum(np.searchsorted(inverted, wanted), len(inverted) - 1)
+            both = both + (inverted[place] == wanted).sum(axis=0)
+        found = chosen[100 * both >= percent * (size[chosen] + size[x] - both)]
+        links.append(np.stack([np.full(len(found), order[x]), order[found]], axis=1))
+        roots, first = np.unique(parent[found], return_index=True)
+        new = roots != parent[x]
+        if new.any():
+            parts = order[found[first[new]]]
+            spanning.append(np.stack([np.full(len(parts), order[x]), parts], axis=1))
+            parent[np.isin(parent, roots[new])] = parent[x]
+    none = np.zeros((0, 2), np.int64)
+    return np.concatenate([none, *links]), np.concatenate([none, *spanning])
 
 
 def _members(docs, clusters, id_col, text_col, size) -> DataFrame:
@@ -231,8 +250,12 @@ def _split(members: DataFrame, percent: int) -> DataFrame:
     return written(_sized(parts), "clusters")
 
 
-def _links(members: DataFrame, percent: int) -> DataFrame:
-    """a and b: links between classes, enough of them to join all that link."""
+def _links(members: DataFrame, weights: DataFrame, percent: int) -> DataFrame:
+    """a and b: links between classes, enough of them to join all that link.
+
+    And a and n without b: numbers of documents linked to class a, to be added up;
+    ``weights`` has the number of documents of each class.
+    """
     sized = _split(members, percent)
     bins = max(1, sized.count() // (2 * BLOCK))
     # Small clusters share a task by their hash; a large one has a task for each pair
@@ -244,6 +267,7 @@ def _links(members: DataFrame, percent: int) -> DataFrame:
     share = F.when(
         F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(bins))
     ).otherwise(F.col("cluster"))
+    sized = sized.join(weights, sized["node"] == weights["rep"])
     sets = members.select(F.col("node").alias("id"), "set")
     rows = (
         sets.join(sized.hint("merge"), F.expr("id = node"))
@@ -253,6 +277,7 @@ def _links(members: DataFrame, percent: int) -> DataFrame:
             "cluster",
             "block",
             "set",
+            "weight",
             (F.col("blocks") > 1).alias("large"),
             share.alias("share"),
             F.least("block", "other").alias("i"),
@@ -267,17 +292,43 @@ def _links(members: DataFrame, percent: int) -> DataFrame:
         ends, flat = column.offsets.to_numpy(), column.values.to_numpy()
         sets = [flat[x:y] for x, y in zip(ends[:-1], ends[1:])]
         cross = bool(len(block)) and block.min() != block.max() and table["large"][0].as_py()
-        a, b = [], []
+        weight = table["weight"].to_numpy()
+        joins, ends_of, adds = [], [], []
         order = np.lexsort((node, cluster))
         cuts = np.flatnonzero(np.diff(cluster[order])) + 1
         for mine in np.split(order, cuts):
-            picked = [sets[i] for i in mine]
-            for x, y in linked(picked, percent, block[mine] if cross else None):
-                a.append(node[mine[x]])
-                b.append(node[mine[y]])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            links, spanning = linked(
+                [sets[i] for i in mine], percent, block[mine] if cross else None
+            )
+            joins.append(node[mine[spanning]])
+            # Rows that share an id are one node, and a link counts once.
+            names, first, place = np.unique(
+                node[mine], return_index=True, return_inverse=True
+            )
+            pairs = np.unique(np.sort(place[links], axis=1), axis=0)
+            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+            many = weight[mine][first]
+            total = np.zeros(len(names), np.int64)
+            np.add.at(total, pairs[:, 0], many[pairs[:, 1]])
+            np.add.at(total, pairs[:, 1], many[pairs[:, 0]])
+            used = np.flatnonzero(total)
+            ends_of.append(names[used])
+            adds.append(total[used])
+        none = np.zeros(0, np.int64)
+        joined = np.concatenate([np.zeros((0, 2), np.int64), *joins])
+        ends_of, adds = np.concatenate([none, *ends_of]), np.concatenate([none, *adds])
+        left, right = pa.nulls(len(joined), pa.int64()), pa.nulls(len(adds), pa.int64())
+        return pa.table(
+            {
+                "a": pa.chunked_array([joined[:, 0], ends_of], pa.int64()),
+                "b": pa.chunked_array([pa.array(joined[:, 1]), right], pa.int64()),
+                "n": pa.chunked_array([left, pa.array(adds)], pa.int64()),
+            }
+        )
 
-    found = rows.groupBy("large", "share", "i", "j").applyInArrow(search, "a long, b long")
+    found = rows.groupBy("large", "share", "i", "j").applyInArrow(
+        search, "a long, b long, n long"
+    )
     return written(found, "found")
 
 
@@ -288,7 +339,10 @@ def ngram_components(
     size: int = 4,
     percent: int = PERCENT,
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row for each row of ``docs``."""
+    """doc_id, n_shingles, component_id, n_links: one row for each row of ``docs``.
+
+    ``n_links`` counts the other rows that a document links to, equal texts among them.
+    """
     sets = _sets(docs, id_col, text_col, size, percent)
     classes = sets.where("n > 0 AND doc IS NOT NULL").groupBy("key").agg(
         F.min("doc").alias("rep"),
@@ -296,16 +350,31 @@ def ngram_components(
         F.first("head").alias("head"),
     )
     members = _members(docs, _clusters(classes), id_col, text_col, size)
-    joined = components(_links(members, percent))
+    weights = (
+        sets.where("n > 0 AND doc IS NOT NULL")
+        .groupBy("key")
+        .agg(F.min("doc").alias("rep"), F.count("*").alias("copies"))
+        .groupBy("rep")
+        .agg(F.sum("copies").alias("weight"))
+    )
+    links = _links(members, weights, percent)
+    joined = components(links.where("b IS NOT NULL").select("a", "b"))
+    others = links.where("n IS NOT NULL").groupBy("a").agg(F.sum("n").alias("others"))
     reps = (
         sets.where("n > 0")
         .groupBy(F.col("key").alias("class"))
-        .agg(F.min("doc").alias("rep"))
+        .agg(F.min("doc").alias("rep"), F.count("doc").alias("copies"))
         .join(joined, F.expr("rep = node"), "left")
-        .select("class", F.coalesce("component", "rep").alias("joined"))
+        .join(others, F.expr("rep = a"), "left")
+        .select(
+            "class",
+            F.coalesce("component", "rep").alias("joined"),
+            (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"),
+        )
     )
     return sets.join(reps, (F.col("key") == F.col("class")) & (F.col("n") > 0), "left").select(
         F.col("doc").alias("doc_id"),
         F.col("n").alias("n_shingles"),
         F.coalesce("joined", "doc").alias("component_id"),
+        F.when(F.col("doc").isNotNull(), F.coalesce("links", F.lit(0))).alias("n_links"),
     )

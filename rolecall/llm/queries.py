@@ -310,7 +310,8 @@ ORACLES: dict[str, str] = {
           UNION SELECT r.a, w.b FROM reached r JOIN both_ways w ON r.b = w.a
         )
         SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles,
-               coalesce(MIN(r.b), d.doc_id) AS component_id
+               coalesce(MIN(r.b), d.doc_id) AS component_id,
+               (SELECT COUNT(*) FROM both_ways w WHERE w.a = d.doc_id) AS n_links
         FROM documents d LEFT JOIN sized s USING (doc_id)
         LEFT JOIN reached r ON r.a = d.doc_id
         GROUP BY d.doc_id, s.n""",

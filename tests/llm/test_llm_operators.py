@@ -149,14 +149,15 @@ def _brute_components(rows, percent=85):
         words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({i: i + 32 for i in range(65, 91)}))
         size = min(4, len(words))
         sets[doc] = {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if words else set()
-    group = {doc: doc for doc in sets}
+    group, links = {doc: doc for doc in sets}, Counter()
     for a in sorted(sets):
         for b in sorted(sets):
             both = len(sets[a] & sets[b])
             if a < b and both and 100 * both >= percent * len(sets[a] | sets[b]):
+                links.update([a, b])
                 low, high = sorted((group[a], group[b]))
                 group = {d: low if g == high else g for d, g in group.items()}
-    return sorted((doc, len(sets[doc]), group[doc]) for doc in sets)
+    return sorted((doc, len(sets[doc]), group[doc], links[doc]) for doc in sets)
 
 
 def test_ngram_components_against_brute_force(spark, monkeypatch):
@@ -180,7 +181,29 @@ def test_ngram_components_against_brute_force(spark, monkeypatch):
     got = sorted(map(tuple, ngram_components(frame).collect()))
     assert got == _brute_components(rows)
     empty = ngram_components(frame.where("false"))
-    assert empty.columns == ["doc_id", "n_shingles", "component_id"] and empty.count() == 0
+    assert empty.columns == ["doc_id", "n_shingles", "component_id", "n_links"]
+    assert empty.count() == 0
+
+
+def test_links_of_shared_and_missing_ids(spark):
+    a = " ".join(WORDS[:40])
+    b, other = a + " x", " ".join(WORDS[100:140])
+    rows = [(1, a), (1, a), (2, b), (3, b), (3, other), (4, other), (None, a), (5, None), (6, "lone")]
+    frame = _docs(spark, [t for _, t in rows], [i for i, _ in rows])
+    got = ngram_components(frame).collect()
+    # A row without id has a class, but is nobody's link.
+    found = sorted((str(r.doc_id), r.n_shingles, r.component_id, r.n_links) for r in got)
+    assert found == [
+        ("1", 37, 1, 3),
+        ("1", 37, 1, 3),
+        ("2", 38, 1, 3),
+        ("3", 37, 3, 1),
+        ("3", 38, 1, 3),
+        ("4", 37, 3, 1),
+        ("5", 0, 5, 0),
+        ("6", 1, 6, 0),
+        ("None", 37, 1, None),
+    ]
 
 
 def test_block_search_finds_what_links_join():
@@ -208,8 +231,10 @@ def test_block_search_finds_what_links_join():
             if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))
         ]
         across = [(i, j) for i, j in true if blocks[i] != blocks[j]]
-        assert joined(50, true) == joined(50, linked(sets, 85))
-        assert joined(50, across) == joined(50, linked(sets, 85, blocks))
+        for want, cut in [(true, None), (across, blocks)]:
+            links, spanning = (x.tolist() for x in linked(sets, 85, cut))
+            assert sorted(sorted(x) for x in links) == sorted(sorted(x) for x in want)
+            assert joined(50, want) == joined(50, spanning)
 
 
 def test_components_of_paths_stars_and_nothing(spark):

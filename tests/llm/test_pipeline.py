@@ -39,7 +39,7 @@ def test_stages_take_effect_and_lose_nothing_else(spark, small, tmp_path):
             assert {i: r.text for i, r in after.items()} == want
             assert all(r.n_chars == len(r.text) for r in after.values())
         elif name == "ngram_join":
-            want = {doc for doc, _, group in _brute_components(texts) if doc == group}
+            want = {doc for doc, _, group, _ in _brute_components(texts) if doc == group}
             assert after.keys() == want and all(after[i] == before[i] for i in after)
         elif name == "decontamination":
             want = {i for i, text in texts if not _brute_hits(text, bench, 10)[1]}
