@@ -18,20 +18,9 @@ _IS_WHITE[[9, 10, 11, 12, 13, 32]] = True
 _IS_ALNUM = np.zeros(256, bool)
 _IS_ALNUM[48:58] = _IS_ALNUM[97:123] = _IS_ALNUM[128:] = True
 
-_BYTE_BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = np.uint64(0xD6E8FEB86659FD93)
-_POWERS: dict[int, np.ndarray] = {}
-_STRETCH = 1 << 15
-
-
-def _powers(n: int, base: int) -> np.ndarray:
-    """base ** 0 ... base ** (n - 1) modulo 2 ** 64."""
-    have = _POWERS.get(base, np.ones(1, np.uint64))
-    while len(have) < n:
-        step = np.uint64(pow(base, len(have), 1 << 64))
-        have = np.concatenate([have, have * step])
-    _POWERS[base] = have
-    return have[:n]
+_BYTES_BASE = np.uint64(0x9E3779B97F4A7C15)
+_LONGEST = 32  # bytes of a word that is hashed in place
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -41,7 +30,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_LENGTH_MIX = mixed(np.arange(256, dtype=np.uint64))
+_LENGTH_MIX = mixed(np.arange(_LONGEST + 1, dtype=np.uint64) + np.uint64(1))
+# The first k of eight bytes.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 class Words:
@@ -64,37 +55,31 @@ class Words:
         inside[1:-1] = _IS_ALNUM[data] if letters else ~_IS_WHITE[data]
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         self.starts, self.ends = edges[0::2], edges[1::2]
-        self.hashes = _hashed(data, self.starts, self.ends)
+        self.hashes = _hashed(raw, self.starts, self.ends)
 
     def __len__(self) -> int:
         return len(self.starts)
 
 
-def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each slice of data, from prefix sums of a polynomial modulo 2 ** 64.
+def _hashed(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each slice of raw: eight bytes at a time, mixed after each step.
 
-    Works in stretches of _STRETCH bytes, so that memory doesn't follow the text; a
-    longer slice gets a digest of its own.
+    Slices of one length of up to eight bytes differ for certain, as every step is a
+    bijection. A slice of more than _LONGEST bytes gets a digest.
     """
-    out = np.zeros(len(starts), np.uint64)
-    powers = _powers(_STRETCH + 1, _BYTE_BASE)
-    inverse = _powers(_STRETCH + 1, pow(_BYTE_BASE, -1, 1 << 64))
-    at = 0
-    while at < len(starts):
-        begin = starts[at]
-        to = int(np.searchsorted(ends, begin + _STRETCH, "right"))
-        if to <= at:
-            digest = hashlib.blake2b(data[begin : ends[at]].tobytes(), digest_size=8)
-            out[at] = int.from_bytes(digest.digest(), "little")
-            at += 1
-            continue
-        first, last = starts[at:to] - begin, ends[at:to] - begin
-        n = int(last[-1])
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((data[begin : begin + n] + np.uint64(1)) * powers[:n], out=sums[1:])
-        raw = (sums[last] - sums[first]) * inverse[first]
-        out[at:to] = mixed(raw ^ _LENGTH_MIX[np.minimum(last - first, 255)])
-        at = to
+    # eights[i] are the eight bytes from i on.
+    eights = np.ndarray((len(raw) + 1,), "<u8", raw + bytes(8), 0, (1,))
+    sizes = ends - starts
+    out = _LENGTH_MIX[np.minimum(sizes, _LONGEST)]
+    for begin in range(0, _LONGEST, 8):
+        at = np.flatnonzero(sizes > begin)
+        if not len(at):
+            break
+        part = eights[starts[at] + begin] & _FIRST[np.minimum(sizes[at] - begin, 8)]
+        out[at] = mixed((out[at] ^ part) * _BYTES_BASE)
+    for i in np.flatnonzero(sizes > _LONGEST).tolist():
+        digest = hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=8)
+        out[i] = int.from_bytes(digest.digest(), "little")
     return out
 
 

@@ -18,6 +18,7 @@ from rolecall.llm.line_dedup import dedup_lines
 from rolecall.llm.ngram_join import linked, ngram_components
 from rolecall.llm.sharding import stratified_shards
 from rolecall.llm.substring_dedup import dedup_passages
+from rolecall.llm.text import Words
 from rolecall.llm.topk_search import Best, Queries, distances, exact_top_k, scores
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -143,6 +144,19 @@ def test_passages_against_brute_force(spark, window, base):
     assert sorted(map(tuple, got.collect()), key=str) == _brute_passages(rows, window)
 
 
+def test_hashes_tell_words_apart():
+    morse = [bin(i).count("1") & 1 for i in range(4096)]
+    words = [f"{a}{i}{b}" for i in range(20_000) for a, b in [("", ""), ("é", "x" * 9), ("x" * 40, "")]]
+    for size in (8, 16, 24, 32, 33, 64, 1024, 4096):
+        words += ["".join("ab"[m ^ flip] for m in morse[:size]) for flip in (0, 1)]
+    found = Words(" ".join(words)).hashes
+    assert len(set(found.tolist())) == len(set(words)) == len(words)
+    # A word's hash is its own, wherever it stands.
+    again = Words("  ".join(reversed(words)) + "\n")
+    assert (again.hashes[::-1] == found).all()
+    assert len(Words(None)) == len(Words("")) == len(Words(" \t")) == 0
+
+
 def _brute_components(rows, percent=85):
     sets = {}
     for doc, text in rows:
