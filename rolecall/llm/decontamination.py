@@ -6,8 +6,8 @@ holds a window holds all its shingles, so the necessary prefix is one shingle, a
 rarest is taken: how often each shingle of the benchmark stands in the documents is
 counted over all of them first. A document's shingles are looked up among the
 prefixes; the prefix's place in the window gives the only place where the window could
-start (positional bound), which must leave room for its length (length bound); the hash
-of the whole window verifies it. Shingle and window have hashes of 64 bits each.
+start (positional bound), which must leave room for its length (length bound); where
+the hash of the whole window agrees as well, its words are compared one with another.
 
 The benchmark is read in blocks of at most ``block_bytes`` of text, so that what each
 task holds is bounded. Usually there is one block, and it is applied in a single pass
@@ -62,28 +62,38 @@ class Keys:
         return maybe[known], which[known]
 
 
+def _joined_words(words: Words, start: int, size: int) -> bytes:
+    ends = zip(words.starts[start : start + size], words.ends[start : start + size])
+    return b" ".join([words.data[i:j] for i, j in ends])
+
+
 class Index:
     """One block of the benchmark: its distinct windows, and a prefix for each."""
 
     def __init__(self, block: list[tuple[str, str]], window: int):
-        self.windows: dict[tuple[int, int], int] = {}
+        self.windows: dict[bytes, int] = {}  # words, joined by a blank
+        sizes, wholes = [], []
         shingles: list[tuple[int, np.ndarray]] = []  # length, its hashes in order
         items: list[set[str]] = []
         for item, text in block:
-            hashes = Words(text, letters=True).hashes
+            words = Words(text, letters=True)
+            hashes = words.hashes
             size = min(window, len(hashes))
             if not size:
                 continue
             part = min(SHINGLE, size)
             parts = runs(hashes, part)
             for start, whole in enumerate(runs(hashes, size).tolist()):
-                at = self.windows.setdefault((size, whole), len(items))
+                at = self.windows.setdefault(_joined_words(words, start, size), len(items))
                 if at == len(items):
                     items.append(set())
+                    sizes.append(size)
+                    wholes.append(whole)
                     shingles.append((part, parts[start : start + size - part + 1]))
                 items[at].add(item)
         self.items = [sorted(names) for names in items]
         self.shingles = shingles
+        self.sizes, self.wholes = np.array(sizes, np.int64), np.array(wholes, np.uint64)
         self.by_length: dict[int, Keys] = {}
         for length in {length for length, _ in shingles}:
             mine = [parts for size, parts in shingles if size == length]
@@ -102,8 +112,6 @@ class Index:
 
     def choose_prefixes(self, counts: dict[tuple[int, int], int]) -> None:
         """Keep the rarest shingle of each window; ties by hash, then by place."""
-        sizes = [size for size, _ in self.windows]
-        wholes = [whole for _, whole in self.windows]
         chosen = defaultdict(list)
         for at, (length, parts) in enumerate(self.shingles):
             rarest = min(
@@ -123,13 +131,13 @@ class Index:
                 np.array([r[1] for r in rows], np.int64),
                 np.array([r[2] for r in rows], np.int64),
             )
-        self.sizes = np.array(sizes, np.int64)
-        self.wholes = np.array(wholes, np.uint64)
+        self.texts = list(self.windows)
         del self.windows, self.shingles, self.by_length
 
     def hits(self, text: str | None) -> tuple[int, np.ndarray, list[str]]:
         """Number of words, the spans of words hit, and the items that occur."""
-        hashes = Words(text, letters=True).hashes
+        words = Words(text, letters=True)
+        hashes = words.hashes
         starts, found = [], []
         for length, (keys, low, high, window, offset) in self.prefixes.items():
             place, which = keys.find(runs(hashes, length))
@@ -145,9 +153,11 @@ class Index:
             start, at = start[fits], at[fits]
             for size in np.unique(self.sizes[at]).tolist():
                 mine = self.sizes[at] == size
-                equal = runs(hashes, size)[start[mine]] == self.wholes[at[mine]]
-                starts.append(start[mine][equal])
-                found.append(at[mine][equal])
+                mine[mine] = runs(hashes, size)[start[mine]] == self.wholes[at[mine]]
+                pairs = zip(start[mine].tolist(), at[mine].tolist())
+                same = [_joined_words(words, i, size) == self.texts[j] for i, j in pairs]
+                starts.append(start[mine][same])
+                found.append(at[mine][same])
         if not starts:
             return len(hashes), np.zeros((0, 2), np.int64), []
         start, at = np.concatenate(starts), np.concatenate(found)

@@ -278,6 +278,23 @@ def _brute_hits(text, items, window):
     return len(mine), len(hit), sorted(names)
 
 
+def test_windows_of_equal_hash_are_told_apart(monkeypatch):
+    from rolecall.llm import decontamination
+
+    def few_hashes(hashes, length):
+        return np.full(max(0, len(hashes) - length + 1), length, np.uint64)
+
+    monkeypatch.setattr(decontamination, "runs", few_hashes)
+    items = [("1", "a b c d"), ("2", "x y"), ("3", "b c d e f g"), ("4", "A-b, c D")]
+    texts = ["a b c d e", "x", "q x Y z a b c", "b c d e f g b c d e f g h", "", None]
+    index = decontamination.Index(items, 4)
+    index.choose_prefixes({})
+    for text in texts:
+        n, spans, names = index.hits(text)
+        n_hit = int((spans[:, 1] - spans[:, 0]).sum())
+        assert (n, n_hit, names) == _brute_hits(text, items, 4)
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 24, 200])
 def test_decontamination_against_brute_force(spark, block_bytes):
     rng = random.Random(9)
