@@ -18,8 +18,9 @@ def star_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Text is put together, and the category found, on the dimension rows before they
     are joined: once per part rather than once per order line. Customers are
-    joined to orders before these meet the far more numerous lines. No join
-    is hinted, so a side is broadcast only where its known size is small, and
+    joined to orders before these meet the far more numerous lines. Lines are shuffled
+    as they are stored: amounts are worked out after the last join, and parts, whose
+    text is widest, are joined last. No join is hinted, so a side is broadcast only where its known size is small, and
     a hot key is split at run time.
     """
 
@@ -60,10 +61,15 @@ def star_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("metadata_originalPostingDate"),
     )
 
-    base = F.floor(F.col("l_extendedprice") / 3).cast("double")
+    lines = read("lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        F.floor(F.col("l_extendedprice") / 3).alias("_base"),
+        F.when(~_every("l_partkey", 89), F.col("l_quantity"))
+        .cast("int").alias("metadata_totalNumberJobApplication"),
+    )
 
     def salary(step: int):
-        amount = base + step * F.col("l_linenumber")
+        amount = F.col("_base").cast("double") + step * F.col("l_linenumber")
         return (
             F.when(_every("l_orderkey", 263), F.lit(None))
             .when(_every("l_orderkey", 61), F.lit(0.0))
@@ -71,21 +77,21 @@ def star_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
             .cast("double")
         )
 
-    lines = read("lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+    joined = (
+        lines.join(orders, "l_orderkey")
+        .join(companies, "l_suppkey")
+        .join(parts, "l_partkey")
+    )
+    return joined.select(
+        "l_orderkey", "l_suppkey", "l_partkey", "l_linenumber",
         salary(0).alias("salary_minimum"),
         salary(100).alias("salary_maximum"),
         salary(50).alias("average_salary"),
         F.when(~_every("l_orderkey", 257), F.col("l_linenumber") - 1)
         .cast("int").alias("metadata_repostCount"),
-        F.when(~_every("l_partkey", 89), F.col("l_quantity"))
-        .cast("int").alias("metadata_totalNumberJobApplication"),
-    )
-    return (
-        lines.join(parts, "l_partkey")
-        .join(companies, "l_suppkey")
-        .join(orders, "l_orderkey")
-        .withColumn("rejected_cells", F.lit(0))
+        "metadata_totalNumberJobApplication", "title", "categories", "primary_category",
+        "postedCompany_name", "positionLevels", "employmentTypes",
+        "metadata_originalPostingDate", F.lit(0).alias("rejected_cells"),
     )
 
 

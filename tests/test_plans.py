@@ -123,6 +123,19 @@ def test_broadcasts_are_bounded_by_a_limit(spark, small, table):
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
 
 
+def test_lines_are_shuffled_before_they_get_text_and_amounts(spark, small):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(star_postings(spark, small))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Read from the top: the last join is that with the parts.
+    joins = re.findall(r"(?:Join|HashJoin) \[(\w+)#", text)
+    assert joins == ["l_partkey", "l_suppkey", "l_orderkey", "o_custkey"]
+    below = text[text.index("Exchange") :]
+    assert "salary_minimum" not in below and "salary_maximum" not in below
+
+
 def test_hot_key_is_split_at_run_time(spark, small):
     """One part holds most order lines; the join still gets several tasks for it."""
     settings = {
