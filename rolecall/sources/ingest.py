@@ -107,14 +107,19 @@ def clean(
 
 
 def write_postings(
-    postings: DataFrame, path: str, by_month: bool = False, files: int | None = None
+    postings: DataFrame,
+    path: str,
+    by_month: bool = False,
+    files: int | None = None,
+    compression: str | None = None,
 ) -> None:
     """Writes the clean table as Parquet, each file sorted by industry and date.
 
     The sort is local to a task, so it adds no shuffle, and lets a scan skip row groups
     and pages of other industries. ``by_month`` partitions the folder by posting month;
     the rows are then rebalanced by month, with large months split over several
-    files. ``files`` fixes the number of files, for small tables.
+    files. ``files`` fixes the number of files, for small tables; ``compression`` is the
+    session's where none is given.
     """
     order = ["primary_category", "metadata_originalPostingDate"]
     if files:
@@ -125,6 +130,8 @@ def write_postings(
         postings = postings.hint("rebalance", "posting_month")
         order = ["posting_month", *order]
     writer = postings.sortWithinPartitions(*order).write.mode("overwrite")
+    if compression:
+        writer = writer.option("compression", compression)
     if by_month:
         writer = writer.partitionBy("posting_month")
     writer.parquet(path)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +41,24 @@ def label_of(name: str) -> str:
     return hashlib.sha1(name.encode()).hexdigest()[:16]
 
 
+# A task joins narrow rows and then sorts whole ones, some ten times as wide.
+_TASK_BYTES = "16m"
+
+
+@contextmanager
+def _small_tasks(spark: SparkSession) -> Iterator[None]:
+    """Smaller shuffle partitions than Spark's usual 64 MB, where the session sets no size."""
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    if spark.conf.get(size, None):
+        yield
+        return
+    spark.conf.set(size, _TASK_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.unset(size)
+
+
 def derived_once(
     spark: SparkSession, name: str, build: Callable[[], DataFrame]
 ) -> DataFrame:
@@ -58,7 +77,10 @@ def derived_once(
             path = f"{root.rstrip('/')}/rolecall/{application}/{label_of(name)}"
             files = spark.conf.get("spark.rolecall.ingest.files", None)
             table = build()
-            write_postings(table, path, files=int(files) if files else None)
+            with _small_tasks(spark):
+                write_postings(
+                    table, path, files=int(files) if files else None, compression="zstd"
+                )
             _written[application, name] = path, table.schema
         path, schema = _written[application, name]
     return spark.read.schema(schema).parquet(path)

@@ -139,6 +139,33 @@ def test_table_is_written_once_to_the_shared_folder(spark, table, small):
     assert again.exceptAll(star.star_postings(spark, small)).isEmpty()
 
 
+def test_the_table_is_derived_in_small_tasks(spark, small):
+    """The session's own partition size is kept, and a missing one is missing afterwards."""
+    size, seen = "spark.sql.adaptive.advisoryPartitionSizeInBytes", []
+
+    class Seen:
+        def __init__(self, frame):
+            self.frame = frame
+
+        def __getattr__(self, name):
+            seen.append(spark.conf.get(size, None))
+            return getattr(self.frame, name)
+
+    def build():
+        return Seen(star.star_postings(spark, small))
+
+    written = shared.derived_once(spark, "small tasks", build)
+    assert seen[0] == "16m" and spark.conf.get(size, None) is None
+    assert all(name.endswith(".zstd.parquet") for name in written.inputFiles())
+    spark.conf.set(size, "1m")
+    try:
+        seen.clear()
+        shared.derived_once(spark, "tasks of the session's size", build)
+        assert seen[0] == spark.conf.get(size) == "1m"
+    finally:
+        spark.conf.unset(size)
+
+
 def test_nothing_is_written_without_the_setting(spark, small):
     unset = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default))
     frame = shared.derived_once(unset, "unused", lambda: star.star_postings(spark, small))
