@@ -3,7 +3,7 @@
 from datetime import date
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrameWriter, functions as F
 
 from frames import postings, rows
 from rolecall.model import CLEAN_SCHEMA, POSTING_SCHEMA
@@ -117,6 +117,26 @@ def test_every_row_is_clean_or_in_quarantine(spark, tmp_path):
     assert none.count() == every.count() == 0
 
 
+def test_rows_are_not_sorted_into_the_two_folders(spark, tmp_path, monkeypatch):
+    writers, seen = "spark.sql.maxConcurrentOutputFileWriters", []
+    write = DataFrameWriter.parquet
+
+    def watched(self, *args, **options):
+        seen.append(spark.conf.get(writers, None))
+        return write(self, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", watched)
+    quarantine.split_postings(_raw(spark, {}, {"average_salary": "x"}), str(tmp_path / "a"))
+    # Spark sorts from as many folders on as the setting says.
+    assert int(seen[0]) > 2 and spark.conf.get(writers, None) is None
+    spark.conf.set(writers, "1")
+    try:
+        quarantine.split_postings(_raw(spark, {}), str(tmp_path / "b"))
+        assert int(seen[1]) > 2 and spark.conf.get(writers) == "1"
+    finally:
+        spark.conf.unset(writers)
+
+
 def test_nothing_required_keeps_empty_salaries(spark, tmp_path):
     raw = _raw(spark, {"average_salary": None}, {"salary_minimum": "x"})
     kept, held = quarantine.split_postings(raw, str(tmp_path / "out"), required=())
