@@ -174,6 +174,19 @@ def test_csv_round_trip_keeps_every_cell(spark, tmp_path):
     assert got == sorted(((t, k == 1) for k, t in enumerate(odd)), key=str)
 
 
+def test_csv_files_are_of_bounded_size(spark, tmp_path):
+    raw = _raw(spark, *[{"title": f"t\n{k}", "malformed_row": k % 5 == 0} for k in range(45)])
+    write_as_csv(raw.repartition(2), str(tmp_path / "csv"), rows=10)
+    back = ingest.read_csv(spark, f"{tmp_path}/csv/*/*.txt", with_source=True)
+    got = sorted(rows(back.select("title", "malformed_row")))
+    assert got == sorted((f"t\n{k}", k % 5 == 0) for k in range(45))
+    sizes = [n for _, n in rows(back.groupBy("source_file").count())]
+    assert max(sizes) == 10 and len(sizes) >= 5
+    write_as_csv(raw.limit(0), str(tmp_path / "none"))
+    none = ingest.read_csv(spark, f"{tmp_path}/none/*/*.txt")
+    assert none.columns == raw.columns and none.count() == 0
+
+
 def _loaded(spark, path):
     table = ingest.open_months(spark, path)
     return sorted(
