@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -14,6 +15,7 @@ NUMBER = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 # Numeric formats only: a letter stands for one digit.
 DATE_FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy")
 TRUTH = r"^(?i)(true|false)$"
+_TRUTH_STARTS = "tTfF"
 
 _BOOKKEEPING = {MALFORMED_ROW, MALFORMED_TEXT, SOURCE_FILE}
 _INT = (-(2**31), 2**31 - 1)
@@ -26,7 +28,8 @@ _LONGEST = 40
 def _misfit_bits(cell: Column, date_formats: tuple[str, ...]) -> Column:
     """One bit for each candidate type that a cell doesn't fit; 0 for an empty cell.
 
-    Asks for the commonest shapes first, so that most cells meet one pattern or two.
+    A pattern is slow, so a cell's first character is looked at first: most text
+    meets no pattern, and most other cells one or two.
     """
     kinds = _kinds(date_formats)
     every = (1 << len(kinds)) - 1
@@ -34,7 +37,9 @@ def _misfit_bits(cell: Column, date_formats: tuple[str, ...]) -> Column:
     def but(*fitting: str) -> Column:
         return F.lit(every - sum(1 << kinds.index(kind) for kind in fitting))
 
-    whole = cell.rlike(WHOLE)
+    first = F.substring(cell, 1, 1)
+    starts = set("0123456789+-.") | set(_TRUTH_STARTS)
+    starts |= {f[0] for f in date_formats if not f[0].isalpha()}
     dates = F.lit(every)
     for date_format in date_formats:
         bit = 1 << kinds.index(f"date:{date_format}")
@@ -42,10 +47,14 @@ def _misfit_bits(cell: Column, date_formats: tuple[str, ...]) -> Column:
     return (
         F.when(cell.isNull(), 0)
         .when(F.length(cell) > _LONGEST, every)
-        .when(whole & cell.try_cast("bigint").between(*_INT), but("int", "bigint", "double"))
-        .when(whole, but("bigint", "double"))
+        .when(~first.isin(*sorted(starts)), every)
+        .when(first.isin(*_TRUTH_STARTS), F.when(cell.rlike(TRUTH), but("boolean")).otherwise(dates))
+        .when(
+            cell.rlike(WHOLE),
+            F.when(cell.try_cast("bigint").between(*_INT), but("int", "bigint", "double"))
+            .otherwise(but("bigint", "double")),
+        )
         .when(cell.rlike(NUMBER), but("double"))
-        .when(cell.rlike(TRUTH), but("boolean"))
         .otherwise(dates)
     )
 
@@ -55,10 +64,44 @@ def _kinds(date_formats: tuple[str, ...]) -> list[str]:
     return ["boolean", "int", "bigint", "double", *[f"date:{f}" for f in date_formats]]
 
 
+def _shapes(
+    date_formats: tuple[str, ...],
+) -> list[tuple[Callable[[Column], Column], set[str]]]:
+    """What cells are told apart by: a test of their bits, and the types they misfit.
+
+    A cell is of one shape, so that one count and one least cell are kept up for it
+    rather than those of all types it misfits; a date is also of the shapes of the formats
+    that it doesn't have.
+    """
+    kinds = _kinds(date_formats)
+    every = (1 << len(kinds)) - 1
+
+    def bits_of(misfits: set[str]) -> int:
+        return sum(1 << kinds.index(kind) for kind in misfits)
+
+    def exactly(misfits: set[str]) -> tuple[Callable[[Column], Column], set[str]]:
+        return lambda bits: bits == bits_of(misfits), misfits
+
+    others, plain = set(kinds), set(kinds[:4])
+
+    def dated(bits: Column) -> Column:
+        return (bits.bitwiseAND(bits_of(plain)) == bits_of(plain)) & (bits != every)
+
+    def dated_but(kind: str) -> tuple[Callable[[Column], Column], set[str]]:
+        other = 1 << kinds.index(kind)
+        return lambda bits: dated(bits) & (bits.bitwiseAND(other) != 0), {kind}
+
+    fits = [(), ("boolean",), ("int", "bigint", "double"), ("bigint", "double"), ("double",)]
+    shapes = [exactly(others - set(fit)) for fit in fits]
+    return [*shapes, (dated, plain), *[dated_but(kind) for kind in kinds[4:]]]
+
+
 def _date(cell: Column, date_format: str) -> Column:
     """The date in a cell. A failed parse is slow, so the cell's shape is looked at first."""
     shape = "".join("[0-9]" if c.isalpha() else re.escape(c) for c in date_format)
-    return F.when(cell.rlike(f"^{shape}$"), F.try_to_date(cell, date_format))
+    # A pattern's end also lies before a last line break, of two characters at most.
+    long_enough = F.length(cell).between(len(date_format), len(date_format) + 2)
+    return F.when(long_enough & cell.rlike(f"^{shape}$"), F.try_to_date(cell, date_format))
 
 
 def detect_types(
@@ -91,20 +134,24 @@ def detect_types(
     bits = [_misfit_bits(F.col(f"cell_{i}"), date_formats) for i in range(len(names))]
     rows = rows.select("*", *[bit.alias(f"bits_{i}") for i, bit in enumerate(bits)])
     counts = []
+    shapes = _shapes(date_formats)
     for i in range(len(names)):
         counts.append(F.count(f"cell_{i}").alias(f"cells_{i}"))
-        for j in range(len(kinds)):
-            odd = F.col(f"bits_{i}").bitwiseAND(1 << j) != 0
-            least = F.min(F.when(odd, F.struct(F.col(f"cell_{i}").alias("cell"), "place")))
-            counts += [F.count_if(odd).alias(f"odd_{i}_{j}"), least.alias(f"least_{i}_{j}")]
+        for k, (test, _) in enumerate(shapes):
+            held = test(F.col(f"bits_{i}"))
+            least = F.min(F.when(held, F.struct(F.col(f"cell_{i}").alias("cell"), "place")))
+            counts += [F.count_if(held).alias(f"held_{i}_{k}"), least.alias(f"least_{i}_{k}")]
     one = rows.agg(F.count(F.lit(1)).alias("rows"), *counts)
 
     def misfit(i: int, j: int) -> Column:
+        odd = [k for k, (_, misfits) in enumerate(shapes) if kinds[j] in misfits]
+        held = [F.col(f"held_{i}_{k}") for k in odd]
+        least = F.least(*[F.col(f"least_{i}_{k}") for k in odd])
         return F.struct(
             F.lit(kinds[j]).alias("type"),
-            F.col(f"odd_{i}_{j}").alias("cells"),
-            F.col(f"least_{i}_{j}")["cell"].alias("example"),
-            F.col(f"least_{i}_{j}")["place"].alias("place"),
+            sum(held[1:], held[0]).alias("cells"),
+            least["cell"].alias("example"),
+            least["place"].alias("place"),
         )
 
     columns = F.array(

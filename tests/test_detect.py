@@ -57,6 +57,41 @@ def test_one_late_odd_cell_changes_the_type(spark):
     assert (found["odd_cell"], found["odd_place"]) == ("n/a", "19999")
 
 
+def test_odd_shapes_and_the_least_of_them(spark):
+    found = _types(
+        spark,
+        breaks=["12\n", "7", None, None],
+        truths=["tRuE", "faLSe\n", "t", None],
+        dates=["31/01/2023", "01/02/2023\r\n", "2023-01-31", None],
+        mixed=["5", "2.5", "true", "x"],
+        wide=["9" * 41, "3000000000", "1", None],
+        codes=["1-URGENT", "2-HIGH", "-", "+"],
+    )
+    told = {n: (r["type"], r["nearest"], r["misfits"], r["odd_cell"]) for n, r in found.items()}
+    assert told == {
+        "breaks": ("int", None, None, None),
+        "truths": ("string", "boolean", 1, "t"),
+        "dates": ("string", "date:dd/MM/yyyy", 2, "01/02/2023\r\n"),
+        "mixed": ("string", "double", 2, "true"),
+        "wide": ("string", "bigint", 1, "9" * 41),
+        "codes": ("string", None, None, None),
+    }
+
+
+def test_a_cell_is_counted_under_one_shape(spark):
+    """Each value of the bits but 0 has one shape, and more only for the formats of a date."""
+    for formats in (detect.DATE_FORMATS, (), ("yyyy-MM-dd",), ("MM/dd/yyyy", "dd/MM/yyyy")):
+        kinds = detect._kinds(formats)
+        shapes = detect._shapes(formats)
+        dates = [15 + (m << 4) for m in range((1 << len(formats)) - 1)]
+        every = (1 << len(kinds)) - 1
+        for bits in [every, every - 1, every - 14, every - 12, every - 8, *dates]:
+            tests = [test(F.lit(bits)).alias(f"s{k}") for k, (test, _) in enumerate(shapes)]
+            held = spark.range(1).select(*tests).first()
+            counted = [kind for k, (_, odd) in enumerate(shapes) if held[k] for kind in odd]
+            assert sorted(counted) == sorted(k for j, k in enumerate(kinds) if bits >> j & 1)
+
+
 def test_no_rows_and_odd_names(spark):
     empty = spark.createDataFrame([], "`a.b` string, place string, cell_0 string")
     found = detect.detect_types(empty).collect()
