@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -64,38 +63,6 @@ def _kinds(date_formats: tuple[str, ...]) -> list[str]:
     return ["boolean", "int", "bigint", "double", *[f"date:{f}" for f in date_formats]]
 
 
-def _shapes(
-    date_formats: tuple[str, ...],
-) -> list[tuple[Callable[[Column], Column], set[str]]]:
-    """What cells are told apart by: a test of their bits, and the types they misfit.
-
-    A cell is of one shape, so that one count and one least cell are kept up for it
-    rather than those of all types it misfits; a date is also of the shapes of the formats
-    that it doesn't have.
-    """
-    kinds = _kinds(date_formats)
-    every = (1 << len(kinds)) - 1
-
-    def bits_of(misfits: set[str]) -> int:
-        return sum(1 << kinds.index(kind) for kind in misfits)
-
-    def exactly(misfits: set[str]) -> tuple[Callable[[Column], Column], set[str]]:
-        return lambda bits: bits == bits_of(misfits), misfits
-
-    others, plain = set(kinds), set(kinds[:4])
-
-    def dated(bits: Column) -> Column:
-        return (bits.bitwiseAND(bits_of(plain)) == bits_of(plain)) & (bits != every)
-
-    def dated_but(kind: str) -> tuple[Callable[[Column], Column], set[str]]:
-        other = 1 << kinds.index(kind)
-        return lambda bits: dated(bits) & (bits.bitwiseAND(other) != 0), {kind}
-
-    fits = [(), ("boolean",), ("int", "bigint", "double"), ("bigint", "double"), ("double",)]
-    shapes = [exactly(others - set(fit)) for fit in fits]
-    return [*shapes, (dated, plain), *[dated_but(kind) for kind in kinds[4:]]]
-
-
 def _date(cell: Column, date_format: str) -> Column:
     """The date in a cell. A failed parse is slow, so the cell's shape is looked at first."""
     shape = "".join("[0-9]" if c.isalpha() else re.escape(c) for c in date_format)
@@ -119,39 +86,49 @@ def detect_types(
     the least of these, and ``odd_place`` its least ``place``: a column or an expression,
     or the source file if there is one.
 
-    One scan and one aggregation give all of it, however many columns there are: partial
-    counts are combined from all tasks, so a single odd cell anywhere changes the type.
+    One scan gives all of it, however many columns there are: cells are counted by column
+    and by the types they misfit, and these partial counts are combined from all tasks, so a single odd cell anywhere changes the type.
     """
     names = [f.name for f in raw.schema.fields if f.name not in _BOOKKEEPING]
     if place is None:
         place = F.col(SOURCE_FILE) if SOURCE_FILE in raw.columns else F.lit(None).cast("string")
     kinds = _kinds(date_formats)
     cells = [
-        F.nullif(F.trim(F.col(f"`{name}`").cast("string")), F.lit("")).alias(f"cell_{i}")
-        for i, name in enumerate(names)
+        F.nullif(F.trim(F.col(f"`{name}`").cast("string")), F.lit("")) for name in names
     ]
-    rows = raw.select(place.cast("string").alias("place"), *cells)
-    bits = [_misfit_bits(F.col(f"cell_{i}"), date_formats) for i in range(len(names))]
-    rows = rows.select("*", *[bit.alias(f"bits_{i}") for i, bit in enumerate(bits)])
+    each = F.array(
+        *[F.struct(F.lit(i).alias("at"), cell.alias("cell")) for i, cell in enumerate(cells)]
+    )
+    rows = raw.select(place.cast("string").alias("place"), F.inline(each))
+    rows = rows.withColumn("bits", _misfit_bits(F.col("cell"), date_formats))
+    # A few groups for each column. Least structs alone would be found by sorting all
+    # cells; beside a set they are hashed (up to 128 groups a task, then sorted). The
+    # set is never empty, but would be left out if nothing asked for it.
+    shapes = rows.groupBy("at", "bits").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min(F.struct("cell", "place")).alias("least"),
+        F.collect_set("bits").alias("hashed"),
+    )
+
+    def total(test: Column) -> Column:
+        return F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+
     counts = []
-    shapes = _shapes(date_formats)
     for i in range(len(names)):
-        counts.append(F.count(f"cell_{i}").alias(f"cells_{i}"))
-        for k, (test, _) in enumerate(shapes):
-            held = test(F.col(f"bits_{i}"))
-            least = F.min(F.when(held, F.struct(F.col(f"cell_{i}").alias("cell"), "place")))
-            counts += [F.count_if(held).alias(f"held_{i}_{k}"), least.alias(f"least_{i}_{k}")]
-    one = rows.agg(F.count(F.lit(1)).alias("rows"), *counts)
+        here = F.col("at") == i
+        counts.append(total(here & (F.col("bits") != 0)).alias(f"cells_{i}"))
+        for j in range(len(kinds)):
+            odd = here & (F.col("bits").bitwiseAND(1 << j) != 0)
+            least = F.min(F.when(odd, F.col("least")))
+            counts += [total(odd).alias(f"odd_{i}_{j}"), least.alias(f"least_{i}_{j}")]
+    one = shapes.filter(F.size("hashed") > 0).agg(total(F.col("at") == 0).alias("rows"), *counts)
 
     def misfit(i: int, j: int) -> Column:
-        odd = [k for k, (_, misfits) in enumerate(shapes) if kinds[j] in misfits]
-        held = [F.col(f"held_{i}_{k}") for k in odd]
-        least = F.least(*[F.col(f"least_{i}_{k}") for k in odd])
         return F.struct(
             F.lit(kinds[j]).alias("type"),
-            sum(held[1:], held[0]).alias("cells"),
-            least["cell"].alias("example"),
-            least["place"].alias("place"),
+            F.col(f"odd_{i}_{j}").alias("cells"),
+            F.col(f"least_{i}_{j}")["cell"].alias("example"),
+            F.col(f"least_{i}_{j}")["place"].alias("place"),
         )
 
     columns = F.array(

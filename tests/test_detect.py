@@ -78,18 +78,12 @@ def test_odd_shapes_and_the_least_of_them(spark):
     }
 
 
-def test_a_cell_is_counted_under_one_shape(spark):
-    """Each value of the bits but 0 has one shape, and more only for the formats of a date."""
-    for formats in (detect.DATE_FORMATS, (), ("yyyy-MM-dd",), ("MM/dd/yyyy", "dd/MM/yyyy")):
-        kinds = detect._kinds(formats)
-        shapes = detect._shapes(formats)
-        dates = [15 + (m << 4) for m in range((1 << len(formats)) - 1)]
-        every = (1 << len(kinds)) - 1
-        for bits in [every, every - 1, every - 14, every - 12, every - 8, *dates]:
-            tests = [test(F.lit(bits)).alias(f"s{k}") for k, (test, _) in enumerate(shapes)]
-            held = spark.range(1).select(*tests).first()
-            counted = [kind for k, (_, odd) in enumerate(shapes) if held[k] for kind in odd]
-            assert sorted(counted) == sorted(k for j, k in enumerate(kinds) if bits >> j & 1)
+def test_cells_are_hashed_not_sorted(spark):
+    cells = spark.range(1000).selectExpr("cast(id as string) pay", "'a' name")
+    text = detect.detect_types(cells)._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate(keys=[at#" in text
+    below = text[text.index("ObjectHashAggregate(keys=[at#") :]
+    assert "SortAggregate" not in below and "Sort [" not in below
 
 
 def test_no_rows_and_odd_names(spark):
