@@ -5,6 +5,7 @@ from itertools import permutations
 
 import pytest
 
+from rolecall.llm import filter_audit as audit
 from rolecall.llm.filter_audit import filter_audit
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -106,3 +107,31 @@ def test_every_order_removes_the_same_in_all(spark):
         last = max(steps, key=lambda r: r[2])
         totals.setdefault(part, set()).add((sum(r[4] for r in steps), last[3]))
     assert all(len(found) == 1 for found in totals.values())
+
+
+def test_the_driver_holds_no_row_ids(spark):
+    """Their files are small at any number of rows, so Spark would broadcast them."""
+
+    def plan(frame):
+        frame.collect()
+        return frame._jdf.queryExecution().executedPlan().toString()
+
+    ids = "id AS uid, 'en' AS part, id % 2 = 0 AS good, id % 3 = 0 AS toxic"
+    failing = {name: spark.range(k, 40, k).selectExpr(*ids.split(", ")) for k, name in
+               ((2, "A"), (3, "B"), (5, "C"))}
+    survivors = audit._survivors(failing)
+    found = sorted(tuple(r) for r in audit._removals(survivors, failing).collect())
+    want = {}
+    for uid in range(2, 40):
+        fails = sum(1 << k for k, n in enumerate((2, 3, 5)) if uid % n == 0)
+        for prefix in range(8):
+            for bit in (1, 2, 4):
+                if fails & bit and not prefix & bit and not fails & prefix:
+                    row = want.setdefault(("en", prefix, bit), [0, 0, 0])
+                    for k, one in enumerate((True, uid % 2 == 0, uid % 3 == 0)):
+                        row[k] += one
+    assert found == sorted((*key, *row) for key, row in want.items())
+    labels = spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int")
+    labelled = audit._labelled(spark.range(9).selectExpr("id AS uid", "id"), labels, "doc_id")
+    for frame in (audit._removals(survivors, failing), labelled):
+        assert "SortMergeJoin" in plan(frame) and "Broadcast" not in plan(frame)
