@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -15,7 +16,11 @@ SOURCE_FILE = "source_file"
 
 
 def read_csv(
-    spark: SparkSession, path: str, multi_line: bool = True, with_source: bool = False
+    spark: SparkSession,
+    path: str | list[str],
+    multi_line: bool = True,
+    with_source: bool = False,
+    names: list[str] | None = None,
 ) -> DataFrame:
     """Raw CSV with a header, every column as text, empty cells as null.
 
@@ -24,11 +29,12 @@ def read_csv(
     ``with_source`` its whole text stands in ``malformed_text``, and every row's file in
     ``source_file``. Quotes inside a cell are doubled. ``multi_line`` is needed where a
     cell may hold a line break; a file is then read by one task, so deliver a large
-    feed as many files, or switch it off where no cell holds one.
+    feed as many files, or switch it off where no cell holds one. ``names`` is what all
+    headers must be; otherwise that is the first file's.
     """
     reader = spark.read.option("header", True).option("quote", '"').option("escape", '"')
     reader = reader.option("multiLine", multi_line).option("emptyValue", "")
-    names = reader.csv(path).columns
+    names = names or reader.csv(path).columns
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, MALFORMED_ROW]])
     raw = (
         reader.schema(schema)
@@ -112,6 +118,7 @@ def write_postings(
     by_month: bool = False,
     files: int | None = None,
     compression: str | None = None,
+    add: bool = False,
 ) -> None:
     """Writes the clean table as Parquet, each file sorted by industry and date.
 
@@ -119,7 +126,7 @@ def write_postings(
     and pages of other industries. ``by_month`` partitions the folder by posting month;
     the rows are then rebalanced by month, with large months split over several
     files. ``files`` fixes the number of files, for small tables; ``compression`` is the
-    session's where none is given.
+    session's where none is given. With ``add``, what the folder holds is kept.
     """
     order = ["primary_category", "metadata_originalPostingDate"]
     if files:
@@ -129,7 +136,7 @@ def write_postings(
         postings = postings.withColumn("posting_month", month)
         postings = postings.hint("rebalance", "posting_month")
         order = ["posting_month", *order]
-    writer = postings.sortWithinPartitions(*order).write.mode("overwrite")
+    writer = postings.sortWithinPartitions(*order).write.mode("append" if add else "overwrite")
     if compression:
         writer = writer.option("compression", compression)
     if by_month:
@@ -137,6 +144,50 @@ def write_postings(
     writer.parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Has Spark remove the shuffle files of tables that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def write_csv_by_month(
+    spark: SparkSession, pattern: str, path: str, rounds: int = 8, least: int = 128 << 20
+) -> None:
+    """All CSV files of a pattern, cleaned and written as ``write_postings`` does by month.
+
+    Their rows are shuffled in as many as ``rounds`` rounds, of ``least`` bytes of files at
+    least, and each round's shuffle is removed before the next: so that not all rows lie on
+    disk once more beside the files and the table. A month gets a file or more from
+    each round. A load that fails leaves some rounds' rows; the next one overwrites them.
+    """
+    names = read_csv(spark, pattern).columns[:-1]
+    for k, files in enumerate(_rounds(_files_of(spark, pattern), rounds, least)):
+        raw = read_csv(spark, files, names=names)
+        write_postings(clean(raw), path, by_month=True, add=k > 0)
+        del raw
+        release_shuffles(spark)
+
+
+def _files_of(spark: SparkSession, pattern: str) -> list[tuple[str, int]]:
+    """The files that Spark reads for a pattern, with their bytes, by name."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []
+    files = [(s.getPath().getName(), s.getPath().toString(), s.getLen()) for s in found]
+    return sorted((path, size) for name, path, size in files if name[0] not in "._")
+
+
+def _rounds(files: list[tuple[str, int]], rounds: int, least: int) -> list[list[str]]:
+    """The files' names, in order, in lists of about equal bytes."""
+    share = max(least, 1, -(-sum(size for _, size in files) // rounds))
+    lists: dict[int, list[str]] = {}
+    before = 0
+    for path, size in files:
+        # A file belongs where its middle lies.
+        lists.setdefault((before + size // 2) // share, []).append(path)
+        before += size
+    return list(lists.values())
+
+
 def open_postings(
     spark: SparkSession, path: str, with_category_list: bool = False
 ) -> DataFrame:

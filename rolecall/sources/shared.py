@@ -11,7 +11,7 @@ from threading import Lock
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from rolecall.sources.ingest import write_postings
+from rolecall.sources.ingest import release_shuffles, write_postings
 
 _written: dict[tuple[str, str], tuple[str, StructType]] = {}
 _temporary: dict[str, str] = {}
@@ -82,5 +82,7 @@ def derived_once(
                     table, path, files=int(files) if files else None, compression="zstd"
                 )
             _written[application, name] = path, table.schema
+            del table
+            release_shuffles(spark)
         path, schema = _written[application, name]
     return spark.read.schema(schema).parquet(path)

@@ -126,13 +126,18 @@ _ROWS_PER_FILE = 100_000
 
 
 def write_as_csv(
-    delivered: DataFrame, path: str, files: int | None = None, rows: int = _ROWS_PER_FILE
+    delivered: DataFrame,
+    path: str,
+    files: int | None = None,
+    rows: int = _ROWS_PER_FILE,
+    compression: str = "none",
 ) -> None:
     """The delivered table as CSV files with a header; malformed rows get a cell too many.
 
     Cells with quotes, commas or blanks at their ends come back as they are. Each task
     writes what it holds, in files of at most ``rows`` rows, without a shuffle unless
     ``files`` asks for so many tasks. A file without rows holds the header of an empty table.
+    ``compression`` is a codec of Spark's text files, named in the files' endings.
     """
     if files:
         delivered = delivered.repartition(files)
@@ -148,4 +153,5 @@ def write_as_csv(
     line = F.when(place % rows == 0, F.concat(head, F.lit("\n"), line)).otherwise(line)
     alone = delivered.sparkSession.range(0, 1, 1, 1).select(head.alias("value"))
     whole = delivered.select(line.alias("value")).unionByName(alone)
-    whole.write.mode("overwrite").option("maxRecordsPerFile", rows).text(f"{path}/lines")
+    writer = whole.write.mode("overwrite").option("maxRecordsPerFile", rows)
+    writer.option("compression", compression).text(f"{path}/lines")

@@ -3,6 +3,7 @@
 import os
 import re
 from datetime import date
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
@@ -188,3 +189,56 @@ def test_rows_of_wrong_length_are_marked(spark, tmp_path):
     path = _csv_folder(tmp_path, ["a,b", "1,2", "3", "4,5,6"])
     rows = ingest.read_csv(spark, path).collect()
     assert [r.malformed_row for r in rows] == [False, True, True]
+
+
+def test_csv_files_in_rounds_equal_one(spark, tmp_path, monkeypatch):
+    header = ",".join(POSTING_SCHEMA.names)
+    days = [f"2023-0{1 + k % 4}-1{k % 9}" if k % 7 else "" for k in range(60)]
+    lines = [f"t{k},[],Acme,,,1,2,{k},{day},0,{'x' if k % 5 == 0 else 4}"
+             for k, day in enumerate(days)]
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for i in range(6):
+        (folder / f"{i} a.csv").write_text("\n".join([header, *lines[i::6]]) + "\n")
+    # Files that Spark leaves out.
+    (folder / "_old.csv").write_text("other\n1\n")
+    (folder / ".old.csv").write_text("other\n1\n")
+    pattern = f"{folder}/*.csv"
+    released = []
+    monkeypatch.setattr(ingest, "release_shuffles", released.append)
+    want = sorted(rows(ingest.clean(ingest.read_csv(spark, pattern))), key=str)
+    assert len(want) == 60
+    for least, some in ((1, 4), (1 << 20, 1), (1, 4)):
+        ingest.write_csv_by_month(spark, pattern, str(tmp_path / "out"), rounds=4, least=least)
+        got = ingest.open_postings(spark, str(tmp_path / "out")).drop("posting_month")
+        assert sorted(rows(got), key=str) == want
+        assert len(released) == some
+        released.clear()
+    months = [path.name for path in (tmp_path / "out").iterdir() if path.name.startswith("p")]
+    assert len(months) == 5
+    (folder / "6.csv").write_text("\n".join([header.replace("title", "name"), lines[0]]) + "\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        ingest.write_csv_by_month(spark, pattern, str(tmp_path / "out"), rounds=4, least=1)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        ingest.write_csv_by_month(spark, f"{folder}/*.none", str(tmp_path / "out"))
+
+
+def test_delivered_csv_takes_little_more_space_than_its_table(spark, tmp_path, small):
+    import __spark_entry__ as contract
+
+    table = contract.postings(spark, small)
+    contract._ingest_csv(table)
+    folder = contract._folder(table, "csv").removeprefix("file://").removeprefix("file:")
+    sizes = [path.stat().st_size for path in Path(folder, "raw", "lines").glob("part-*")]
+    stored = [Path(name.removeprefix("file://")).stat().st_size for name in table.inputFiles()]
+    assert sum(sizes) < 2 * sum(stored)
+    back = ingest.read_csv(spark, f"{folder}/raw/*/*")
+    assert back.count() == table.count()
+
+
+def test_a_table_derived_once_leaves_no_shuffle(spark, monkeypatch):
+    released = []
+    monkeypatch.setattr(shared, "release_shuffles", released.append)
+    shared.derived_once(spark, "no shuffle left", lambda: postings(spark, {}))
+    shared.derived_once(spark, "no shuffle left", lambda: postings(spark, {}))
+    assert released == [spark]
